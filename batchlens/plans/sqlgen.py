@@ -235,3 +235,27 @@ def candidates_cte(src: str = "features") -> str:
 
 
 SCENARIOS = DEFAULT_SCENARIOS
+
+
+def dominance_sql(u: str = "u", v: str = "v") -> str:
+    from batchlens.constants import OBJECTIVE_DIRECTIONS
+
+    ge, gt = [], []
+    for o in PRIMARY_OBJECTIVES:
+        if OBJECTIVE_DIRECTIONS[o] == "max":
+            ge.append(f"{v}.{o} >= {u}.{o}")
+            gt.append(f"{v}.{o} > {u}.{o}")
+        else:
+            ge.append(f"{v}.{o} <= {u}.{o}")
+            gt.append(f"{v}.{o} < {u}.{o}")
+    return "(" + " AND ".join(ge) + " AND (" + " OR ".join(gt) + "))"
+
+
+def ranked_all_cte(src: str = "cand", scenarios: dict | None = None) -> str:
+    """UNION ALL of every scenario's scored candidates -> ``ranked``."""
+    scenarios = scenarios or DEFAULT_SCENARIOS
+    parts = [
+        f"SELECT {src}.*, '{n}' AS scenario, {score_sql(w)} AS Scenario_Score FROM {src} CROSS JOIN ost"
+        for n, w in scenarios.items()
+    ]
+    return "ranked AS (\n" + "\nUNION ALL\n".join(parts) + ")"
