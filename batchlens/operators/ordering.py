@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from batchlens.operators.stats import materialize
 
 
-def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str]):
+def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_cols: list[str] | None = None):
+    fill_cols = fill_cols or []
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -37,6 +39,7 @@ def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str]):
         prev_pos = 0
         prev_sums = {c: 0.0 for c in sum_cols}
         prev_lags = {c: None for c in lag_cols}
+        prev_fill = {c: None for c in fill_cols}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -50,13 +53,13 @@ def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str]):
             out = pdf.copy()
             pos = g.groupby(gid).cumcount().to_numpy() + 1
             cont = (gid == 1) & first_is_cont
-            out["__lpos"] = np.where(cont, pos + prev_pos, pos).astype("int64")
+            out["_os_lpos"] = np.where(cont, pos + prev_pos, pos).astype("int64")
             for c in sum_cols:
-                v = pd.to_numeric(pdf[f"__s_{c}"], errors="coerce").fillna(0.0).astype(float)
+                v = pd.to_numeric(pdf[f"_os_s_{c}"], errors="coerce").fillna(0.0).astype(float)
                 cs = v.groupby(gid).cumsum().to_numpy()
-                out[f"__ls_{c}"] = np.where(cont, cs + prev_sums[c], cs)
+                out[f"_os_ls_{c}"] = np.where(cont, cs + prev_sums[c], cs)
             for c in lag_cols:
-                src = pdf[f"__g_{c}"]
+                src = pdf[f"_os_g_{c}"]
                 if pd.api.types.is_integer_dtype(src):
                     src = src.astype("Int64")
                 lagged = src.groupby(gid).shift(1)
@@ -65,13 +68,26 @@ def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str]):
                 if first_is_cont:
                     lagged = lagged.astype(object)
                     lagged.iloc[0] = prev_lags[c]
-                out[f"__ll_{c}"] = lagged
+                out[f"_os_ll_{c}"] = lagged
+            for c in fill_cols:
+                src = pdf[f"_os_f_{c}"]
+                if pd.api.types.is_integer_dtype(src):
+                    src = src.astype("Int64")
+                filled = src.groupby(gid).ffill()
+                if first_is_cont and prev_fill[c] is not None:
+                    head = (gid == 1) & filled.isna().to_numpy()
+                    filled = filled.astype(object)
+                    filled[head] = prev_fill[c]
+                if filled.dtype == object:
+                    filled = filled.where(pd.notna(filled), None)
+                out[f"_os_lf_{c}"] = filled
             last = len(pdf) - 1
+            prev_fill = {c: (None if pd.isna(out[f"_os_lf_{c}"].iloc[last]) else out[f"_os_lf_{c}"].iloc[last]) for c in fill_cols}
             prev_key = ktuples[last]
-            prev_pos = int(out["__lpos"].iloc[last])
-            prev_sums = {c: float(out[f"__ls_{c}"].iloc[last]) for c in sum_cols}
-            prev_lags = {c: pdf[f"__g_{c}"].iloc[last] for c in lag_cols}
-            out["__pid"] = pid
+            prev_pos = int(out["_os_lpos"].iloc[last])
+            prev_sums = {c: float(out[f"_os_ls_{c}"].iloc[last]) for c in sum_cols}
+            prev_lags = {c: pdf[f"_os_g_{c}"].iloc[last] for c in lag_cols}
+            out["_os_pid"] = pid
             yield out
 
     return run
@@ -83,66 +99,75 @@ def ordered_scan(
     order: Sequence[str | Column],
     sums: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
+    ffills: Mapping[str, Column] | None = None,
     partitions: int | None = None,
     pos_col: str = "pos",
 ) -> DataFrame:
     """Add ``pos_col`` (1-based position within ``keys`` by ``order``), the
     inclusive running sum of each ``sums`` expression (NULL counts as 0), and
     the previous row's value of each ``lags`` expression (NULL on a key's
-    first row). With ``keys=[]`` the whole table is one ordered sequence."""
+    first row), and each ``ffills`` expression forward-filled within the key
+    (last non-NULL value so far). With ``keys=[]`` the whole table is one
+    ordered sequence."""
     spark = df.sparkSession
     sums = dict(sums or {})
     lags = dict(lags or {})
+    ffills = dict(ffills or {})
     keys = list(keys)
     d = df
     if not keys:
-        d = d.withColumn("__k", F.lit(0))
-        keys = ["__k"]
-    d = d.withColumns({f"__s_{n}": e.cast("double") for n, e in sums.items()})
-    d = d.withColumns({f"__g_{n}": e for n, e in lags.items()})
+        d = d.withColumn("_os_k", F.lit(0))
+        keys = ["_os_k"]
+    d = d.withColumns({f"_os_s_{n}": e.cast("double") for n, e in sums.items()})
+    d = d.withColumns({f"_os_g_{n}": e for n, e in lags.items()})
+    d = d.withColumns({f"_os_f_{n}": e for n, e in ffills.items()})
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = d.repartitionByRange(P, *[F.col(k) for k in keys], *order_cols).sortWithinPartitions(
         *[F.col(k) for k in keys], *order_cols
     )
-    fields = list(d.schema.fields) + [T.StructField("__lpos", T.LongType())]
-    fields += [T.StructField(f"__ls_{n}", T.DoubleType()) for n in sums]
-    fields += [T.StructField(f"__ll_{n}", d.schema[f"__g_{n}"].dataType) for n in lags]
-    fields += [T.StructField("__pid", T.IntegerType())]
-    scanned = materialize(ranged.mapInPandas(_scan_fn(keys, list(sums), list(lags)), T.StructType(fields)))
+    fields = list(d.schema.fields) + [T.StructField("_os_lpos", T.LongType())]
+    fields += [T.StructField(f"_os_ls_{n}", T.DoubleType()) for n in sums]
+    fields += [T.StructField(f"_os_ll_{n}", d.schema[f"_os_g_{n}"].dataType) for n in lags]
+    fields += [T.StructField(f"_os_lf_{n}", d.schema[f"_os_f_{n}"].dataType) for n in ffills]
+    fields += [T.StructField("_os_pid", T.IntegerType())]
+    scanned = materialize(ranged.mapInPandas(_scan_fn(keys, list(sums), list(lags), list(ffills)), T.StructType(fields)))
 
     # Keys on partition edges: first and last key of every partition (<= 2P rows).
     kstruct = F.struct(*[F.col(k) for k in keys])
-    edges = scanned.groupBy("__pid").agg(F.min(kstruct).alias("lo"), F.max(kstruct).alias("hi"))
-    edge_keys = edges.select("__pid", F.explode(F.array("lo", "hi")).alias("k")).select(
-        "__pid", *[F.col(f"k.{k}").alias(k) for k in keys]
+    edges = scanned.groupBy("_os_pid").agg(F.min(kstruct).alias("_os_lo"), F.max(kstruct).alias("_os_hi"))
+    edge_keys = edges.select("_os_pid", F.explode(F.array("_os_lo", "_os_hi")).alias("_os_kk")).select(
+        "_os_pid", *[F.col(f"_os_kk.{k}").alias(k) for k in keys]
     ).distinct()
-    tot_aggs = [F.max("__lpos").alias("n")]
-    tot_aggs += [F.max_by(F.col(f"__ls_{n}"), F.col("__lpos")).alias(f"t_{n}") for n in sums]
-    tot_aggs += [F.max_by(F.col(f"__g_{n}"), F.col("__lpos")).alias(f"last_{n}") for n in lags]
-    tot = scanned.join(F.broadcast(edge_keys), on=["__pid", *keys], how="inner").groupBy("__pid", *keys).agg(*tot_aggs)
+    tot_aggs = [F.max("_os_lpos").alias("_os_n")]
+    tot_aggs += [F.max_by(F.col(f"_os_ls_{n}"), F.col("_os_lpos")).alias(f"_os_t_{n}") for n in sums]
+    tot_aggs += [F.max_by(F.col(f"_os_g_{n}"), F.col("_os_lpos")).alias(f"_os_last_{n}") for n in lags]
+    tot_aggs += [F.max_by(F.col(f"_os_lf_{n}"), F.col("_os_lpos")).alias(f"_os_lastf_{n}") for n in ffills]
+    tot = scanned.join(F.broadcast(edge_keys), on=["_os_pid", *keys], how="inner").groupBy("_os_pid", *keys).agg(*tot_aggs)
     # The first-row positions and sums of a partition already include what the
     # same task saw earlier; across partitions the carry is the sum of earlier
     # partitions' totals for that key, and the lag is their last value.
-    w = Window.partitionBy(*keys).orderBy("__pid")
+    w = Window.partitionBy(*keys).orderBy("_os_pid")
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select(
-        "__pid", *keys,
-        F.coalesce(F.sum("n").over(prev), F.lit(0)).alias("c_n"),
-        *[F.coalesce(F.sum(f"t_{n}").over(prev), F.lit(0.0)).alias(f"c_{n}") for n in sums],
-        *[F.lag(f"last_{n}").over(w).alias(f"p_{n}") for n in lags],
+        "_os_pid", *keys,
+        F.coalesce(F.sum("_os_n").over(prev), F.lit(0)).alias("_os_c_n"),
+        *[F.coalesce(F.sum(f"_os_t_{n}").over(prev), F.lit(0.0)).alias(f"_os_c_{n}") for n in sums],
+        *[F.lag(f"_os_last_{n}").over(w).alias(f"_os_p_{n}") for n in lags],
+        *[F.last(f"_os_lastf_{n}", ignorenulls=True).over(prev).alias(f"_os_pf_{n}") for n in ffills],
     )
-    out = scanned.join(F.broadcast(carry), on=["__pid", *keys], how="left")
-    first_in_part = F.col("__lpos") == F.lit(1)
-    cols = {pos_col: F.col("__lpos") + F.coalesce(F.col("c_n"), F.lit(0))}
+    out = scanned.join(F.broadcast(carry), on=["_os_pid", *keys], how="left")
+    first_in_part = F.col("_os_lpos") == F.lit(1)
+    cols = {pos_col: F.col("_os_lpos") + F.coalesce(F.col("_os_c_n"), F.lit(0))}
     for n in sums:
-        cols[n] = F.col(f"__ls_{n}") + F.coalesce(F.col(f"c_{n}"), F.lit(0.0))
+        cols[n] = F.col(f"_os_ls_{n}") + F.coalesce(F.col(f"_os_c_{n}"), F.lit(0.0))
     for n in lags:
         # only a key's first row in a partition can need the carried value
-        cols[n] = F.when(first_in_part & F.col("c_n").isNotNull() & (F.col("c_n") > 0), F.col(f"p_{n}")).otherwise(F.col(f"__ll_{n}"))
+        cols[n] = F.when(first_in_part & F.col("_os_c_n").isNotNull() & (F.col("_os_c_n") > 0), F.col(f"_os_p_{n}")).otherwise(F.col(f"_os_ll_{n}"))
+    for n in ffills:
+        cols[n] = F.coalesce(F.col(f"_os_lf_{n}"), F.col(f"_os_pf_{n}"))
     out = out.withColumns(cols)
-    helper = {"c_n", *[f"c_{n}" for n in sums], *[f"p_{n}" for n in lags]}
-    return out.drop(*[c for c in out.columns if c.startswith("__") or c in helper])
+    return out.drop(*[c for c in out.columns if c.startswith("_os_")])
 
 
 def ordered_index(df: DataFrame, order: Sequence[str | Column], col: str = "row_index") -> DataFrame:

@@ -59,3 +59,20 @@ def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def clear() -> None:
     with _LOCK:
         _CACHE.clear()
+
+
+def adaptive(spark: SparkSession, sf_dir: str, emission_factor: float = DEFAULT_EMISSION_FACTOR):
+    """Adaptive path over the sensor view (memoised like ``structured``)."""
+    from batchlens.plans.adaptive import run_adaptive
+    from batchlens.sources.tables import sensor_readings
+
+    key = _key(spark, sf_dir, "adaptive", emission_factor)
+    with _LOCK:
+        hit = _CACHE.get(key)
+    if hit is not None:
+        return hit
+    res = run_adaptive(sensor_readings(spark, sf_dir), "row_order", emission_factor)
+    res.features = materialize(res.features)
+    with _LOCK:
+        _CACHE[key] = res
+    return res

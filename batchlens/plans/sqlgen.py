@@ -259,3 +259,123 @@ def ranked_all_cte(src: str = "cand", scenarios: dict | None = None) -> str:
         for n, w in scenarios.items()
     ]
     return "ranked AS (\n" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def zfill4_sql(expr: str) -> str:
+    return f"(CASE WHEN length(CAST({expr} AS VARCHAR)) < 4 THEN lpad(CAST({expr} AS VARCHAR), 4, '0') ELSE CAST({expr} AS VARCHAR) END)"
+
+
+def token_sql(m: str) -> str:
+    return f"substr(upper(regexp_replace({m}, '[^A-Za-z0-9]+', '', 'g')), 1, 12)"
+
+
+def sessions_ctes(src: str = "sensor_readings") -> str:
+    """Virtual batches on the sensor view: ``vb`` has row_order, gap_id, win_id,
+    and ``vb_choice`` the automatic sparse decision."""
+    from batchlens.constants import ACTIVE_MODES
+
+    modes = ", ".join(f"'{m}'" for m in ACTIVE_MODES)
+    w = "PARTITION BY m ORDER BY ts, row_order"
+    return f"""s0 AS (SELECT row_order, CAST(timestamp AS TIMESTAMP) AS ts,
+    coalesce(nullif(CAST(machine_id AS VARCHAR), ''), 'M01') AS m,
+    coalesce(CAST(machine_id AS VARCHAR), 'M01') AS mach_raw,
+    coalesce(CAST(operation_mode AS VARCHAR), 'Run') AS Phase,
+    coalesce(lower(CAST(operation_mode AS VARCHAR)) IN ({modes}), false) AS act0
+  FROM {src}),
+s_any AS (SELECT count_if(act0) > 0 AS any_act FROM s0),
+s1 AS (SELECT s0.*, CASE WHEN any_act THEN act0 ELSE true END AS act FROM s0 CROSS JOIN s_any),
+s2 AS (SELECT s1.*,
+    coalesce(date_diff('microsecond', lag(ts) OVER ({w}), ts) / 60000000.0, 0.0) AS gap,
+    act AND NOT coalesce(lag(act) OVER ({w}), false) AS mode_start,
+    row_number() OVER ({w}) AS mpos
+  FROM s1),
+s_thr AS (SELECT least(greatest(coalesce(quantile_cont(gap, 0.5) FILTER (WHERE gap > 0), 30.0) * 3.0, 30.0), 720.0) AS thr FROM s2),
+s3 AS (SELECT s2.*, sum(CASE WHEN gap > thr OR mode_start THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nb
+  FROM s2 CROSS JOIN s_thr),
+vb AS (SELECT s3.*,
+    'AUTO_' || {token_sql('m')} || '_' || {zfill4_sql('nb + 1')} AS gap_id,
+    'AUTO_' || {token_sql('m')} || '_' || {zfill4_sql('CAST(floor((mpos - 1) / 60) AS BIGINT) + 1')} AS win_id
+  FROM s3),
+vb_choice AS (SELECT count(DISTINCT gap_id) > greatest(1000, CAST(floor(CAST(count(*) AS DOUBLE) * 0.2) AS BIGINT)) AS sparse FROM vb),
+vb_auto AS (SELECT vb.*, CASE WHEN sparse THEN win_id ELSE gap_id END AS Batch_ID FROM vb CROSS JOIN vb_choice)"""
+
+
+def adaptive_ctes(ef: float = DEFAULT_EMISSION_FACTOR) -> str:
+    """Adaptive path on the sensor view (branches fixed by its columns:
+    power -> energy, throughput -> output, defect -> quality)."""
+    efr = repr(float(ef))
+    return f"""{views('sensor_readings')},
+{sessions_ctes()},
+st_d AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts, row_order), ts) / 60000000.0 AS d FROM s0),
+stp AS (SELECT coalesce(least(greatest(quantile_cont(d, 0.5), 0.2), 15.0), 1.0) AS step FROM st_d WHERE d > 0 AND d < 120),
+sa AS (SELECT quantile_cont(temperature_c, 0.5) AS med_t, quantile_cont(power_kw, 0.5) AS med_p,
+    quantile_cont(throughput, 0.5) AS med_o, max(defect_rate) AS max_d,
+    min(throughput) AS min_o, max(throughput) AS max_o FROM sensor_readings),
+r1 AS (SELECT r.row_order, v.Batch_ID, v.ts, v.mach_raw AS Machine_ID, v.Phase, r.temperature_c, r.power_kw, r.throughput,
+    {clip('r.power_kw', '0.0')} * step / 60.0 AS energy,
+    {clip("100.0 - r.defect_rate * (CASE WHEN max_d <= 1.5 THEN 100.0 ELSE 1.0 END)", '0.0', '100.0')} AS quality
+  FROM sensor_readings r JOIN vb_auto v USING (row_order) CROSS JOIN stp CROSS JOIN sa),
+sb AS (SELECT quantile_cont(energy, 0.5) AS med_e FROM r1),
+bstart AS (SELECT Batch_ID, min(ts) AS t0 FROM r1 GROUP BY Batch_ID),
+ts_filled AS (SELECT r1.row_order, r1.Batch_ID,
+    coalesce(date_diff('microsecond', t0, ts) / 60000000.0, 0.0) AS Time_Minutes,
+    Phase,
+    coalesce(temperature_c, med_t) AS Temperature_C,
+    5.0 AS Pressure_Bar, 45.0 AS Humidity_Percent,
+    {norm('throughput', 'min_o', 'max_o')} * 250.0 + 120.0 AS Motor_Speed_RPM,
+    22.0 AS Compression_Force_kN, 10.0 AS Flow_Rate_LPM,
+    coalesce(power_kw, med_p) AS Power_Consumption_kW,
+    1.5 AS Vibration_mm_s, Machine_ID,
+    coalesce(throughput, med_o) AS Output_Signal,
+    coalesce(quality, 55.0) AS Quality_Score_Row,
+    coalesce(energy, med_e) AS Energy_kWh_Row
+  FROM r1 JOIN bstart USING (Batch_ID) CROSS JOIN sa CROSS JOIN sb),
+ad_agg AS (SELECT Batch_ID, max(Time_Minutes) AS Duration_Minutes, count(Time_Minutes) AS Data_Points,
+    {xavg('Temperature_C')} AS Avg_Temperature, max(Temperature_C) AS Max_Temperature,
+    {xavg('Pressure_Bar')} AS Avg_Pressure, {xavg('Humidity_Percent')} AS Avg_Humidity_Percent,
+    max(Compression_Force_kN) AS Max_Compression_Force_kN,
+    {xavg('Power_Consumption_kW')} AS Avg_Power_Consumption_kW, max(Power_Consumption_kW) AS Peak_Power_kW,
+    max(Motor_Speed_RPM) AS Max_Motor_Speed_RPM, {xavg('Vibration_mm_s')} AS Avg_Vibration_mm_s,
+    {xavg('Flow_Rate_LPM')} AS Avg_Flow_Rate_LPM, count(DISTINCT Phase) AS Phase_Count,
+    {xavg('Output_Signal')} AS Output_Signal, {xavg('Quality_Score_Row')} AS Quality_Score,
+    coalesce({xsum('Energy_kWh_Row')}, 0.0) AS Total_Energy_kWh
+  FROM ts_filled GROUP BY Batch_ID),
+f_s1 AS (SELECT {minmax(['Output_Signal', 'Quality_Score', 'Duration_Minutes', 'Avg_Vibration_mm_s', 'Total_Energy_kWh'])} FROM ad_agg),
+f1 AS (SELECT ad_agg.*, coalesce(Max_Motor_Speed_RPM, {norm('Output_Signal', 'f_s1.min_Output_Signal', 'f_s1.max_Output_Signal')} * 250.0 + 120.0) AS Machine_Speed
+  FROM ad_agg CROSS JOIN f_s1),
+f_ms AS (SELECT min(Machine_Speed) AS min_ms, max(Machine_Speed) AS max_ms FROM f1),
+f2 AS (SELECT f1.*,
+    {rint(clip(f"68.0 + (0.65 * {norm('Output_Signal', 'min_Output_Signal', 'max_Output_Signal')} + 0.35 * {norm('Quality_Score', 'min_Quality_Score', 'max_Quality_Score')}) * 31.0", '60.0', '99.5'))} AS Yield_Percent,
+    {rint(clip(f"(0.40 * {norm('Machine_Speed', 'min_ms', 'max_ms')} + 0.30 * {norm('Duration_Minutes', 'min_Duration_Minutes', 'max_Duration_Minutes', True)} + 0.20 * {norm('Output_Signal', 'min_Output_Signal', 'max_Output_Signal')} + 0.10 * {norm('Avg_Vibration_mm_s', 'min_Avg_Vibration_mm_s', 'max_Avg_Vibration_mm_s', True)}) * 100.0", '0.0', '100.0'))} AS Performance_Score,
+    {rint(f'Total_Energy_kWh * {efr}')} AS Carbon_kg
+  FROM f1 CROSS JOIN f_s1 CROSS JOIN f_ms),
+f3 AS (SELECT f2.*, {rint(f"0.35 * Quality_Score + 0.35 * Yield_Percent + 0.30 * (100.0 - {norm('Total_Energy_kWh', 'min_Total_Energy_kWh', 'max_Total_Energy_kWh')} * 100.0)")} AS Process_Health_Score
+  FROM f2 CROSS JOIN f_s1),
+f_s2 AS (SELECT min(Yield_Percent) AS min_y, max(Yield_Percent) AS max_y, min(Carbon_kg) AS min_c, max(Carbon_kg) AS max_c FROM f3),
+f4 AS (SELECT f3.*, {rint(f"(0.40 * {norm('Yield_Percent', 'min_y', 'max_y')} + 0.15 * {norm('Quality_Score', 'min_Quality_Score', 'max_Quality_Score')} + 0.20 * {norm('Total_Energy_kWh', 'min_Total_Energy_kWh', 'max_Total_Energy_kWh', True)} + 0.15 * {norm('Carbon_kg', 'min_c', 'max_c', True)} + 0.10 * {norm('Duration_Minutes', 'min_Duration_Minutes', 'max_Duration_Minutes', True)}) * 100.0")} AS Eco_Efficiency_Score
+  FROM f3 CROSS JOIN f_s1 CROSS JOIN f_s2),
+f5 AS (SELECT f4.*, CASE WHEN Eco_Efficiency_Score > -1.0 AND Eco_Efficiency_Score <= 40.0 THEN 'Red'
+    WHEN Eco_Efficiency_Score > 40.0 AND Eco_Efficiency_Score <= 70.0 THEN 'Yellow'
+    WHEN Eco_Efficiency_Score > 70.0 AND Eco_Efficiency_Score <= 100.0 THEN 'Green' END AS Green_Zone FROM f4),
+c_st2 AS (SELECT min(coalesce(Output_Signal, 50.0)) AS min_out, max(coalesce(Output_Signal, 50.0)) AS max_out,
+    min(coalesce(Avg_Flow_Rate_LPM, 10.0)) AS min_flow, max(coalesce(Avg_Flow_Rate_LPM, 10.0)) AS max_flow,
+    min(coalesce(Quality_Score, 60.0)) AS min_q, max(coalesce(Quality_Score, 60.0)) AS max_q,
+    quantile_cont(coalesce(Quality_Score, 60.0), 0.5) AS med_q,
+    quantile_cont(60.0 + coalesce(Quality_Score, 60.0) * 0.35, 0.5) AS m_hard,
+    quantile_cont({clip('(100.0 - coalesce(Quality_Score, 60.0)) / 140.0', '0.05', '1.8')}, 0.5) AS m_fri,
+    quantile_cont(65.0 + coalesce(Quality_Score, 60.0) * 0.28, 0.5) AS m_diss,
+    quantile_cont(94.0 + coalesce(Quality_Score, 60.0) * 0.05, 0.5) AS m_cu FROM f5),
+ad_features AS (SELECT f5.* EXCLUDE (Machine_Speed),
+    greatest(coalesce(Duration_Minutes, 30.0) * 0.35, 3.0) AS Granulation_Time,
+    coalesce(2.0 + {norm('coalesce(Output_Signal, 50.0)', 'min_out', 'max_out')} * 8.0, 5.0) AS Binder_Amount,
+    coalesce(Avg_Temperature, 85.0) AS Drying_Temp,
+    greatest(coalesce(Duration_Minutes, 30.0) * 0.25, 2.0) AS Drying_Time,
+    coalesce(Max_Compression_Force_kN, 22.0) AS Compression_Force,
+    greatest(coalesce(Machine_Speed, {norm('coalesce(Output_Signal, 50.0)', 'min_out', 'max_out')} * 250.0 + 120.0), 30.0) AS Machine_Speed,
+    coalesce(0.6 + {norm('coalesce(Avg_Flow_Rate_LPM, 10.0)', 'min_flow', 'max_flow')} * 1.0, 0.9) AS Lubricant_Conc,
+    coalesce({clip('coalesce(Avg_Humidity_Percent, 44.0) / 20.0', '1.2', '6.5')}, 2.2) AS Moisture_Content,
+    500.0 AS Tablet_Weight, m_hard AS Hardness, m_fri AS Friability,
+    (1.0 - (CASE WHEN abs(max_q - min_q) <= 1e-8 THEN 0.5 ELSE least(greatest((med_q - min_q) / (max_q - min_q), 0.0), 1.0) END)) * 20.0 + 6.0 AS Disintegration_Time,
+    m_diss AS Dissolution_Rate, m_cu AS Content_Uniformity,
+    {", ".join(f"0.0 AS {c}" for c in CONTROL_PARAMETERS if c != "Machine_Speed")}
+  FROM f5 CROSS JOIN c_st2)"""
