@@ -76,3 +76,22 @@ def adaptive(spark: SparkSession, sf_dir: str, emission_factor: float = DEFAULT_
     with _LOCK:
         _CACHE[key] = res
     return res
+
+
+def golden_profile(spark: SparkSession, sf_dir: str, scenario: str = "Balanced", strictness: str = "Standard") -> dict:
+    """The scenario's signature profile (its best-ranked batch): one row."""
+    from batchlens.constants import DEFAULT_SCENARIOS
+    from batchlens.operators import ranking
+    from pyspark.sql import functions as F
+
+    key = _key(spark, sf_dir, "golden_profile", scenario, strictness)
+    with _LOCK:
+        hit = _CACHE.get(key)
+    if hit is not None:
+        return hit
+    f = features(spark, sf_dir)
+    r = ranking.rank_batches(f, DEFAULT_SCENARIOS[scenario], ranking.build_targets(f, strictness))
+    row = r.orderBy(F.col("Scenario_Score").desc_nulls_last(), "Batch_ID").first().asDict()
+    with _LOCK:
+        _CACHE[key] = row
+    return row
