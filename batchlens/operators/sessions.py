@@ -17,14 +17,13 @@ from batchlens.constants import ACTIVE_MODES
 from batchlens.operators.ordering import ordered_index, ordered_scan
 from batchlens.operators.stats import pct, stats_row
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 SYNTHETIC_START = "2024-01-01 00:00:00"
 
 
 def epoch_micros(ts: str | Column) -> Column:
     """Wall-clock microseconds since 1970-01-01 (time-zone independent)."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", EPOCH_NTZ, c.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
 
 
 def parse_timestamp(c: Column) -> Column:
