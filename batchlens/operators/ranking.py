@@ -155,3 +155,43 @@ def renormalise_weights(weights: Mapping[str, float]) -> dict[str, float]:
     if abs(total) <= 1e-12:
         return {o: 0.0 for o in PRIMARY_OBJECTIVES}
     return {o: float(weights.get(o, 0.0)) / total for o in PRIMARY_OBJECTIVES}
+
+
+def display_scores(features: DataFrame, weights: Mapping[str, float], targets: Mapping[str, float | None] | None) -> DataFrame:
+    """H6: 0-1 display score. Batches in the ranked set (passing the targets,
+    or all when none pass) use Scenario_Score / 100 (the looked-up 0-100
+    score, rescaled); others the fallback weighted score in which a constant
+    objective counts 0.0. ``Page_Score`` is .45 eco + .30 quality + .25 yield
+    (each / 100), clipped to [0, 1]. One projection, no join."""
+    st = objective_stats(features)
+    total = None
+    for o in PRIMARY_OBJECTIVES:
+        lo, hi = st.get(f"min_{o}"), st.get(f"max_{o}")
+        if lo is None or hi is None or hi == lo:
+            n = F.lit(0.0)
+        else:
+            n = (F.col(o) - F.lit(float(lo))) / F.lit(float(hi - lo))
+            if OBJECTIVE_DIRECTIONS[o] == "min":
+                n = F.lit(1.0) - n
+            n = clip_keep_null(n, 0.0, 1.0)
+        term = F.lit(float(weights.get(o, 0.0))) * n
+        total = term if total is None else total + term
+    tw = float(sum(float(v) for v in weights.values())) or 1.0
+    fallback = rint_dp(clip_keep_null(total / F.lit(tw), 0.0, 1.0), 9)
+    page = clip_keep_null(
+        F.lit(0.45) * (F.col("Eco_Efficiency_Score") / F.lit(100.0))
+        + F.lit(0.3) * (F.col("Quality_Score") / F.lit(100.0))
+        + F.lit(0.25) * (F.col("Yield_Percent") / F.lit(100.0)),
+        0.0, 1.0,
+    )
+    if targets is None:
+        in_ranked = F.lit(True)
+    else:
+        any_pass = target_filter(features, targets).limit(1).count() > 0
+        in_ranked = target_condition(targets) if any_pass else F.lit(True)
+    looked_up = clip_keep_null(score_expr(weights, st) / F.lit(100.0), 0.0, 1.0)
+    return features.select(
+        "Batch_ID",
+        F.when(in_ranked, F.coalesce(looked_up, fallback)).otherwise(fallback).alias("Display_Score"),
+        rint_dp(page, 9).alias("Page_Score"),
+    )

@@ -28,4 +28,4 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from batchlens.plans import q_adaptive, q_analytics, q_compare, q_core, q_decision  # noqa: F401
+    from batchlens.plans import q_adaptive, q_analytics, q_compare, q_core, q_decision, q_misc  # noqa: F401

@@ -276,26 +276,26 @@ def sessions_ctes(src: str = "sensor_readings") -> str:
 
     modes = ", ".join(f"'{m}'" for m in ACTIVE_MODES)
     w = "PARTITION BY m ORDER BY ts, row_order"
-    return f"""s0 AS (SELECT row_order, CAST(timestamp AS TIMESTAMP) AS ts,
+    return f"""vs0 AS (SELECT row_order, CAST(timestamp AS TIMESTAMP) AS ts,
     coalesce(nullif(CAST(machine_id AS VARCHAR), ''), 'M01') AS m,
     coalesce(CAST(machine_id AS VARCHAR), 'M01') AS mach_raw,
     coalesce(CAST(operation_mode AS VARCHAR), 'Run') AS Phase,
     coalesce(lower(CAST(operation_mode AS VARCHAR)) IN ({modes}), false) AS act0
   FROM {src}),
-s_any AS (SELECT count_if(act0) > 0 AS any_act FROM s0),
-s1 AS (SELECT s0.*, CASE WHEN any_act THEN act0 ELSE true END AS act FROM s0 CROSS JOIN s_any),
-s2 AS (SELECT s1.*,
+s_any AS (SELECT count_if(act0) > 0 AS any_act FROM vs0),
+vs1 AS (SELECT vs0.*, CASE WHEN any_act THEN act0 ELSE true END AS act FROM vs0 CROSS JOIN s_any),
+vs2 AS (SELECT vs1.*,
     coalesce(date_diff('microsecond', lag(ts) OVER ({w}), ts) / 60000000.0, 0.0) AS gap,
     act AND NOT coalesce(lag(act) OVER ({w}), false) AS mode_start,
     row_number() OVER ({w}) AS mpos
-  FROM s1),
-s_thr AS (SELECT least(greatest(coalesce(quantile_cont(gap, 0.5) FILTER (WHERE gap > 0), 30.0) * 3.0, 30.0), 720.0) AS thr FROM s2),
-s3 AS (SELECT s2.*, sum(CASE WHEN gap > thr OR mode_start THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nb
-  FROM s2 CROSS JOIN s_thr),
-vb AS (SELECT s3.*,
+  FROM vs1),
+s_thr AS (SELECT least(greatest(coalesce(quantile_cont(gap, 0.5) FILTER (WHERE gap > 0), 30.0) * 3.0, 30.0), 720.0) AS thr FROM vs2),
+vs3 AS (SELECT vs2.*, sum(CASE WHEN gap > thr OR mode_start THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nb
+  FROM vs2 CROSS JOIN s_thr),
+vb AS (SELECT vs3.*,
     'AUTO_' || {token_sql('m')} || '_' || {zfill4_sql('nb + 1')} AS gap_id,
     'AUTO_' || {token_sql('m')} || '_' || {zfill4_sql('CAST(floor((mpos - 1) / 60) AS BIGINT) + 1')} AS win_id
-  FROM s3),
+  FROM vs3),
 vb_choice AS (SELECT count(DISTINCT gap_id) > greatest(1000, CAST(floor(CAST(count(*) AS DOUBLE) * 0.2) AS BIGINT)) AS sparse FROM vb),
 vb_auto AS (SELECT vb.*, CASE WHEN sparse THEN win_id ELSE gap_id END AS Batch_ID FROM vb CROSS JOIN vb_choice)"""
 
@@ -306,7 +306,7 @@ def adaptive_ctes(ef: float = DEFAULT_EMISSION_FACTOR) -> str:
     efr = repr(float(ef))
     return f"""{views('sensor_readings')},
 {sessions_ctes()},
-st_d AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts, row_order), ts) / 60000000.0 AS d FROM s0),
+st_d AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts, row_order), ts) / 60000000.0 AS d FROM vs0),
 stp AS (SELECT coalesce(least(greatest(quantile_cont(d, 0.5), 0.2), 15.0), 1.0) AS step FROM st_d WHERE d > 0 AND d < 120),
 sa AS (SELECT quantile_cont(temperature_c, 0.5) AS med_t, quantile_cont(power_kw, 0.5) AS med_p,
     quantile_cont(throughput, 0.5) AS med_o, max(defect_rate) AS max_d,
