@@ -215,4 +215,11 @@ GAP_SENTENCE = "{abs_delta}{unit} {direction} ({abs_pct}%) than benchmark, {verd
 
 # Feature-store version tag (part of the input fingerprint).
 STORE_VERSION = "batchlens_feature_store_v1"
+# KPI report section rows and compliance labels.
+REPORT_SECTION_PERFORMANCE = "\u2500\u2500 PERFORMANCE \u2500\u2500"
+REPORT_SECTION_COMPLIANCE = "\u2500\u2500 REGULATORY COMPLIANCE \u2500\u2500"
+REPORT_SECTION_ROI = "\u2500\u2500 ROI \u2500\u2500"
+REPORT_SECTION_RECS = "\u2500\u2500 AI RECOMMENDATIONS \u2500\u2500"
+COMPLIANT = "\u2705 COMPLIANT"
+NON_COMPLIANT = "\u274c NON-COMPLIANT"
 # ------------------------------------------------------------ END FIXED VALUES

@@ -142,7 +142,12 @@ def build_timeseries(rows: DataFrame, order_col: str) -> tuple[DataFrame, float]
         F.coalesce(F.col("__quality"), F.lit(55.0)).alias("Quality_Score_Row"),
         F.coalesce(F.col("__energy"), F.lit(float(b["med_energy"]) if b["med_energy"] is not None else 1.0)).alias("Energy_kWh_Row"),
     )
-    return ts, step
+    filled_cols = [sig[x] for x in ("temperature_c", "pressure_bar", "humidity_percent", "motor_speed_rpm",
+                                     "compression_force_kn", "flow_rate_lpm", "power_kw", "vibration_mm_s")]
+    filled_cols += [F.col("__output"), F.col("__quality"), F.col("__energy")]
+    missing = sum((F.count_if(c.isNull()) for c in filled_cols), F.lit(0)).cast("bigint").alias("m")
+    filled = int(stats_row(d, [missing])["m"])
+    return ts, step, filled
 
 
 def adaptive_agg(ts: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def run_adaptive(
 ) -> AdaptiveResult:
     rows, resolved, generated, session = prepare_rows(src, order_col)
     rows = materialize(rows)
-    ts, step = build_timeseries(rows, order_col)
+    ts, step, filled = build_timeseries(rows, order_col)
     ts = materialize(ts)
     agg = materialize(adaptive_agg(ts))
     features = scrub(ensure_controls(adaptive_kpis(agg, emission_factor)))
@@ -231,6 +236,7 @@ def run_adaptive(
         mode = "Minimal"
     report = {
         "rows_production": rows_production,
+        "missing_values_filled": filled,
         "data_mode": mode,
         "batch_strategy": "auto-generated" if generated else "provided",
         "signal_coverage": int(has_energy) + int(has_quality) + int(has_output) + int(has_controls),

@@ -52,7 +52,8 @@ def _num(e: str) -> str:
     return f"CAST(CAST({e} AS DOUBLE) AS VARCHAR)"
 
 
-def _recs_sql() -> str:
+def recs_ctes() -> str:
+    """CTE chain ending in ``recs`` (Batch_ID, Rec_No, Recommendation)."""
     r1 = lambda e: S.rint(e, 1)
     eh = "(g.Total_Energy_kWh > 0 AND f.Total_Energy_kWh > g.Total_Energy_kWh * 1.05)"
     excess = _num(r1("(f.Total_Energy_kWh - g.Total_Energy_kWh) / g.Total_Energy_kWh * 100.0"))
@@ -73,15 +74,15 @@ def _recs_sql() -> str:
         f"CASE WHEN g.Eco_Efficiency_Score > 0 AND f.Eco_Efficiency_Score < g.Eco_Efficiency_Score * 0.95 THEN '{K.REC_ECO}' END",
     ]
     union = "\nUNION ALL\n".join(f"SELECT f.Batch_ID, {i} AS k, {r} AS txt FROM features f CROSS JOIN gp g" for i, r in enumerate(rules))
-    return f"""WITH {_gp_sql()},
+    return f"""{_gp_sql()},
 raw AS ({union}),
 kept AS (SELECT Batch_ID, k, txt FROM raw WHERE txt IS NOT NULL),
 closeby AS (SELECT Batch_ID, 0 AS k, '{K.REC_CLOSE}' AS txt FROM features WHERE Batch_ID NOT IN (SELECT Batch_ID FROM kept)),
-allr AS (SELECT * FROM kept UNION ALL SELECT * FROM closeby)
-SELECT Batch_ID, CAST(row_number() OVER (PARTITION BY Batch_ID ORDER BY k) AS BIGINT) AS Rec_No, txt AS Recommendation FROM allr"""
+allr AS (SELECT * FROM kept UNION ALL SELECT * FROM closeby),
+recs AS (SELECT Batch_ID, CAST(row_number() OVER (PARTITION BY Batch_ID ORDER BY k) AS BIGINT) AS Rec_No, txt AS Recommendation FROM allr)"""
 
 
-@query("recommendations", _recs_sql)
+@query("recommendations", lambda: f"WITH {recs_ctes()}\nSELECT * FROM recs")
 def q_recommendations(spark, sf):
     """V2: rule-based recommendations for every batch vs the golden profile."""
     return C.recommendations(context.features(spark, sf), context.golden_profile(spark, sf))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
 def query(name: str, sql: str | Callable[[], str] | None = None):
@@ -20,7 +20,7 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql() if callable(sql) else sql
+            ORACLES[name] = sql  # text or thunk, evaluated lazily by oracles()
         return fn
 
     return deco
@@ -28,4 +28,8 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from batchlens.plans import q_adaptive, q_analytics, q_compare, q_core, q_decision, q_misc  # noqa: F401
+    from batchlens.plans import q_adaptive, q_analytics, q_compare, q_core, q_decision, q_misc, q_reports  # noqa: F401
+
+
+def oracles() -> dict[str, str]:
+    return {k: (v() if callable(v) else v) for k, v in ORACLES.items()}
