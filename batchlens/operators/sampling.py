@@ -32,10 +32,10 @@ def stride_sample(df: DataFrame, max_rows: int, batch_col: str | None, order: Se
         per_batch = max(1, max_rows // max(st["b"], 1))
         p = _positions(df, batch_col, order)
         k = F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(per_batch)))
-        return p.filter((F.col("pos") - 1) % k == 0).drop("n")
+        return p.filter((F.col("pos") - 1) % k == 0).drop("n", "pos")
     step = max(1, st["n"] // max_rows)
     p = ordered_scan(df, [], [F.col(o) for o in order], pos_col="pos")
-    return p.filter((F.col("pos") - 1) % F.lit(step) == 0)
+    return p.filter((F.col("pos") - 1) % F.lit(step) == 0).drop("pos")
 
 
 def decimate(df: DataFrame, batch_col: str, order: Sequence[str], max_points: int = 900) -> DataFrame:

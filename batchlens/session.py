@@ -46,6 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Cut lineage with a reliable ``checkpoint()`` into the shared checkpoint
+    folder (``spark.checkpoint.dir``): the files are durable, so a lost
+    executor never forces recomputation of the upstream plan. The frame is
+    persisted for the duration of the checkpoint so the plan is computed once
+    (checkpointing an unpersisted RDD recomputes it for the write)."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if os.environ.get("BATCHLENS_MATERIALIZE") == "parquet":
+        import uuid
+
+        path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

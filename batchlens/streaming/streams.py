@@ -39,7 +39,7 @@ def stage_key_chunks(df: DataFrame, key: str, path: str, chunks: int = 4) -> str
     (range partitioning, checkpointed so the split is fixed), written in order."""
     from batchlens.operators.stats import materialize
 
-    ranged = materialize(df.repartitionByRange(chunks, key)).withColumn("_chunk", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(chunks, key).withColumn("_chunk", F.spark_partition_id()))
     for i in range(chunks):
         ranged.filter(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("append").parquet(path)
     return path
