@@ -94,11 +94,16 @@ def corr_expr(a: str, b: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Long form (Metric_A, Metric_B, Corr) from one aggregation pass."""
-    pairs = [(a, b) for a in metrics for b in metrics]
-    row = df.agg(*[corr_expr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("Metric_A"), F.lit(b).alias("Metric_B"), F.col(f"{i}").alias("Corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(arr).alias("x")).select("x.*")
+    """Long form (Metric_A, Metric_B, Corr) from one aggregation pass over the
+    upper triangle (correlation is symmetric); the lower half is mirrored."""
+    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i:]]
+    row = df.agg(*[corr_expr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        cells.append(F.struct(F.lit(a).alias("Metric_A"), F.lit(b).alias("Metric_B"), F.col(f"c{i}").alias("Corr")))
+        if a != b:
+            cells.append(F.struct(F.lit(b).alias("Metric_A"), F.lit(a).alias("Metric_B"), F.col(f"c{i}").alias("Corr")))
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 # ----------------------------------------------------------------------- D8
@@ -145,9 +150,28 @@ def rolling_means(readings: DataFrame, batch_col: str, order: Sequence[str], col
     """Per batch, rolling mean (min 1 value) over the last
     w = max(min_width, n // divisor) rows, n = the batch's row count.
 
-    Running sums and non-NULL counts come from the skew-safe ordered scan; the
-    value w rows back is fetched by an equi-join on (batch, position), which is
-    unique, so the join is skew-free too."""
+    Batches shorter than ``min_width * divisor`` rows all have w = min_width:
+    they use an ordinary per-batch window with a constant frame (each such
+    window partition is small by construction). Longer batches, where w varies
+    and one batch may be huge, use the skew-safe ordered scan: running sums and
+    non-NULL counts, with the value w rows back fetched by an equi-join on
+    (batch, position), which is unique and therefore skew-free."""
+    big = min_width * divisor
+    sizes = readings.groupBy(batch_col).agg(F.count(F.lit(1)).alias("__n"))
+    sized = readings.join(sizes, on=batch_col)
+    small = sized.filter(F.col("__n") < big)
+    w = Window.partitionBy(batch_col).orderBy(*[F.col(o) for o in order])
+    frame = w.rowsBetween(-(min_width - 1), 0)
+    small_out = small.select(
+        *readings.columns,
+        F.row_number().over(w).cast("bigint").alias("pos"),
+        *[rint_dp(F.avg(F.col(c).cast("double")).over(frame), 6).alias(f"{c}_Roll") for c in cols],
+    )
+    large = sized.filter(F.col("__n") >= big).drop("__n")
+    return small_out.unionByName(_rolling_scan(large, batch_col, order, cols, min_width, divisor))
+
+
+def _rolling_scan(readings: DataFrame, batch_col: str, order: Sequence[str], cols: Sequence[str], min_width: int, divisor: int) -> DataFrame:
     sums = {}
     for c in cols:
         sums[f"cs_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -162,8 +186,7 @@ def rolling_means(readings: DataFrame, batch_col: str, order: Sequence[str], col
         tot = F.col(f"cs_{c}") - F.coalesce(F.col(f"b_cs_{c}"), F.lit(0.0))
         cnt = F.col(f"cc_{c}") - F.coalesce(F.col(f"b_cc_{c}"), F.lit(0.0))
         out[f"{c}_Roll"] = rint_dp(F.try_divide(tot, F.when(cnt > 0, cnt)), 6)
-    keep = [c for c in readings.columns]
-    return j.select(*keep, "pos", *[v.alias(k) for k, v in out.items()])
+    return j.select(*readings.columns, F.col("pos").cast("bigint").alias("pos"), *[v.alias(k) for k, v in out.items()])
 
 
 # ------------------------------------------------------------------- W9-W11

@@ -156,6 +156,10 @@ def ordered_scan(
         *[F.lag(f"_os_last_{n}").over(w).alias(f"_os_p_{n}") for n in lags],
         *[F.last(f"_os_lastf_{n}", ignorenulls=True).over(prev).alias(f"_os_pf_{n}") for n in ffills],
     )
+    # The carry table has at most 2 x P rows (a bound independent of the data
+    # size): compute it once and broadcast the small local copy, so consumers
+    # of the result do not rescan the checkpoint to rebuild it.
+    carry = spark.createDataFrame(carry.collect(), carry.schema)
     out = scanned.join(F.broadcast(carry), on=["_os_pid", *keys], how="left")
     first_in_part = F.col("_os_lpos") == F.lit(1)
     cols = {pos_col: F.col("_os_lpos") + F.coalesce(F.col("_os_c_n"), F.lit(0))}

@@ -58,10 +58,11 @@ def repair_timestamps(df: DataFrame, ts_col: str | None, order_col: str, out: st
         idx = ordered_index(df, [order_col], "__n")
         return idx.withColumn(out, F.lit(SYNTHETIC_START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("__n"))).drop("__n")
     d = df.withColumn("__ts", parse_timestamp(F.col(ts_col)))
-    if stats_row(d, [F.count("__ts").alias("n")])["n"] == 0:
+    counts = stats_row(d, [F.count("__ts").alias("n"), F.count_if(F.col("__ts").isNull()).alias("m")])
+    if counts["n"] == 0:
         d = ordered_index(d.drop("__ts"), [order_col], "__n")
         return d.withColumn(out, F.lit(SYNTHETIC_START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("__n"))).drop("__n")
-    if stats_row(d, [F.count_if(F.col("__ts").isNull()).alias("m")])["m"] == 0:
+    if counts["m"] == 0:
         return d.withColumn(out, F.col("__ts")).drop("__ts")
     fwd = ordered_scan(d, [], [F.col(order_col)], ffills={"__fwd": F.col("__ts")}, pos_col="__pos")
     both = ordered_scan(fwd, [], [F.col(order_col).desc()], ffills={"__bwd": F.col("__fwd")}, pos_col="__rpos")

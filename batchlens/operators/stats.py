@@ -83,14 +83,14 @@ def median_impute(
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> dict[str, tuple[float, float] | None]:
-    aggs = []
-    for c in cols:
-        aggs.append(pct(c, 0.25, accuracy).alias(f"q1_{c}"))
-        aggs.append(pct(c, 0.75, accuracy).alias(f"q3_{c}"))
+    # one percentile aggregate per column for both quartiles (one value map, not two)
+    qs = F.array(F.lit(0.25), F.lit(0.75))
+    aggs = [(F.percentile(F.col(c), qs) if accuracy is None else F.percentile_approx(F.col(c), qs, accuracy)).alias(f"q_{c}") for c in cols]
     st = stats_row(df, aggs)
     out: dict[str, tuple[float, float] | None] = {}
     for c in cols:
-        q1, q3 = st[f"q1_{c}"], st[f"q3_{c}"]
+        q = st[f"q_{c}"]
+        q1, q3 = (q[0], q[1]) if q is not None else (None, None)
         if q1 is None or q3 is None or abs(q3 - q1) <= 1e-8:
             out[c] = None
         else:

@@ -138,3 +138,22 @@ def test_median_and_iqr_clip(spark):
     # q1 = 1.75, q3 = 27.25, iqr = 25.5 -> upper 65.5
     assert got[5] == pytest.approx(65.5) and got[3] is None
     assert df.agg(counter).first()[0] == 1
+
+
+def test_rolling_means_small_and_large_batches_match_pandas(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for b, n in (("BIG", 730), ("SMALL", 12)):
+        for i in range(n):
+            v = None if i % 97 == 5 else float(rng.integers(0, 100))
+            rows.append((b, float(i), v))
+    df = spark.createDataFrame(rows, "Batch_ID string, t double, v double").repartition(5)
+    got = analytics.rolling_means(df, "Batch_ID", ["t"], ["v"]).toPandas()
+    for b, g in pd.DataFrame(rows, columns=["Batch_ID", "t", "v"]).groupby("Batch_ID"):
+        w = max(5, len(g) // 50)
+        exp = g.sort_values("t")["v"].astype(float).rolling(window=w, min_periods=1).mean().round(6).tolist()
+        mine = got[got.Batch_ID == b].sort_values("t")["v_Roll"].tolist()
+        assert len(mine) == len(exp)
+        assert all((np.isnan(e) and (m is None or np.isnan(m))) or abs(m - e) < 1e-6 for m, e in zip(mine, exp))
