@@ -180,3 +180,15 @@ def elapsed_minutes(
                 d = ordered_scan(d.drop(out), [], [F.col(order_col)], ffills={"__pt": F.col(process_time_col).cast("double")}, pos_col="__gpos")
                 d = d.withColumn(out, F.coalesce(F.col("__pt"), F.lit(0.0))).drop("__pt", "__gpos")
     return d.withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+
+
+def utc_instant(ntz: str | Column) -> Column:
+    """TIMESTAMP_NTZ wall clock -> the TIMESTAMP instant with that wall clock in
+    UTC (independent of the session time zone; event time for watermarks)."""
+    return F.timestamp_micros(epoch_micros(ntz))
+
+
+def utc_wall_clock(ts: str | Column) -> Column:
+    """TIMESTAMP instant -> its UTC wall clock as TIMESTAMP_NTZ."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

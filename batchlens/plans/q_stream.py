@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens import constants as K
 from batchlens.operators import compare as C
+from batchlens.operators.sessions import utc_instant, utc_wall_clock
 from batchlens.plans import context
 from batchlens.plans import sqlgen as S
 from batchlens.plans.q_compare import _compare_sql
@@ -27,7 +28,7 @@ def _sensor_stream(spark, sf, tag):
     sensor = sensor_readings(spark, sf)
     ST.stage_time_chunks(sensor, "timestamp", src, 4)
     stream = spark.readStream.schema(sensor.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return stream.withColumn("ts", F.col("timestamp").cast("timestamp")), base
+    return stream.withColumn("ts", utc_instant("timestamp")), base
 
 
 @query("stream_machine_window", lambda: f"""WITH {S.views('sensor_readings')}
@@ -40,10 +41,11 @@ def q_stream_machine_window(spark, sf):
     from batchlens.functions.numeric import exact_sum
 
     stream, base = _sensor_stream(spark, sf, "stream-window")
+    # event time = the UTC instant of the wall clock: day windows do not depend on the session time zone
     agg = stream.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 day"), "machine_id").agg(
         F.count(F.lit(1)).alias("n_readings"), exact_sum("power_kw").alias("sum_power_kw"), F.max("temperature_c").alias("max_temperature_c"),
     )
-    out = agg.select(F.date_format(F.col("window.start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+    out = agg.select(F.date_format(utc_wall_clock("window.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      "machine_id", "n_readings", "sum_power_kw", "max_temperature_c")
     ST.run_available_now(out, os.path.join(base, "out"), os.path.join(base, "ckpt"), "update")
     return ST.read_latest(spark, os.path.join(base, "out"), ["window_start", "machine_id"])
@@ -71,8 +73,8 @@ def q_stream_sessions(spark, sf):
         F.count(F.lit(1)).alias("n_readings"))
     out = agg.select(
         "machine_id",
-        F.date_format(F.col("session_window.start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("session_start"),
-        F.date_format(F.col("session_window.end").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("session_end"),
+        F.date_format(utc_wall_clock("session_window.start"), "yyyy-MM-dd HH:mm:ss").alias("session_start"),
+        F.date_format(utc_wall_clock("session_window.end"), "yyyy-MM-dd HH:mm:ss").alias("session_end"),
         "n_readings",
     )
     ST.run_available_now(out, os.path.join(base, "out"), os.path.join(base, "ckpt"), "complete")
