@@ -124,7 +124,7 @@ def structured_ctes(emission_factor: float = DEFAULT_EMISSION_FACTOR) -> str:
     )
     flow = "coalesce(Avg_Flow_Rate_LPM, 10.0)"
     q = "coalesce(Quality_Score, 60.0)"
-    controls = ", ".join(f"0.0 AS {c}" for c in CONTROL_PARAMETERS if c != "Machine_Speed")
+    controls = ", ".join(f"CAST(0.0 AS DOUBLE) AS {c}" for c in CONTROL_PARAMETERS if c != "Machine_Speed")
     return f"""{views("production_batches", "process_readings")},
 p_med AS (SELECT {p_med} FROM production_batches),
 prod AS (SELECT Batch_ID, {prod} FROM production_batches CROSS JOIN p_med),
@@ -169,12 +169,12 @@ features AS (
     {", ".join(AGG_COLS)},
     Quality_Score, Yield_Percent, Performance_Score, Carbon_kg, Process_Health_Score, Eco_Efficiency_Score, Green_Zone,
     greatest(coalesce(Duration_Minutes, 30.0) * 0.35, 3.0) AS Granulation_Time,
-    6.0 AS Binder_Amount,
+    CAST(6.0 AS DOUBLE) AS Binder_Amount,
     coalesce(Avg_Temperature, 85.0) AS Drying_Temp,
     greatest(coalesce(Duration_Minutes, 30.0) * 0.25, 2.0) AS Drying_Time,
     coalesce(Max_Compression_Force_kN, 22.0) AS Compression_Force,
     coalesce(0.6 + {norm(flow, 'min_flow', 'max_flow')} * 1.0, 0.9) AS Lubricant_Conc,
-    500.0 AS Tablet_Weight,
+    CAST(500.0 AS DOUBLE) AS Tablet_Weight,
     {controls}
   FROM k4 CROSS JOIN c_st)"""
 
@@ -321,11 +321,11 @@ ts_filled AS (SELECT r1.row_order, r1.Batch_ID,
     coalesce(date_diff('microsecond', t0, ts) / 60000000.0, 0.0) AS Time_Minutes,
     Phase,
     coalesce(temperature_c, med_t) AS Temperature_C,
-    5.0 AS Pressure_Bar, 45.0 AS Humidity_Percent,
+    CAST(5.0 AS DOUBLE) AS Pressure_Bar, CAST(45.0 AS DOUBLE) AS Humidity_Percent,
     {norm('throughput', 'min_o', 'max_o')} * 250.0 + 120.0 AS Motor_Speed_RPM,
-    22.0 AS Compression_Force_kN, 10.0 AS Flow_Rate_LPM,
+    CAST(22.0 AS DOUBLE) AS Compression_Force_kN, CAST(10.0 AS DOUBLE) AS Flow_Rate_LPM,
     coalesce(power_kw, med_p) AS Power_Consumption_kW,
-    1.5 AS Vibration_mm_s, Machine_ID,
+    CAST(1.5 AS DOUBLE) AS Vibration_mm_s, Machine_ID,
     coalesce(throughput, med_o) AS Output_Signal,
     coalesce(quality, 55.0) AS Quality_Score_Row,
     coalesce(energy, med_e) AS Energy_kWh_Row
@@ -374,8 +374,8 @@ ad_features AS (SELECT f5.* EXCLUDE (Machine_Speed),
     greatest(coalesce(Machine_Speed, {norm('coalesce(Output_Signal, 50.0)', 'min_out', 'max_out')} * 250.0 + 120.0), 30.0) AS Machine_Speed,
     coalesce(0.6 + {norm('coalesce(Avg_Flow_Rate_LPM, 10.0)', 'min_flow', 'max_flow')} * 1.0, 0.9) AS Lubricant_Conc,
     coalesce({clip('coalesce(Avg_Humidity_Percent, 44.0) / 20.0', '1.2', '6.5')}, 2.2) AS Moisture_Content,
-    500.0 AS Tablet_Weight, m_hard AS Hardness, m_fri AS Friability,
+    CAST(500.0 AS DOUBLE) AS Tablet_Weight, m_hard AS Hardness, m_fri AS Friability,
     (1.0 - (CASE WHEN abs(max_q - min_q) <= 1e-8 THEN 0.5 ELSE least(greatest((med_q - min_q) / (max_q - min_q), 0.0), 1.0) END)) * 20.0 + 6.0 AS Disintegration_Time,
     m_diss AS Dissolution_Rate, m_cu AS Content_Uniformity,
-    {", ".join(f"0.0 AS {c}" for c in CONTROL_PARAMETERS if c != "Machine_Speed")}
+    {", ".join(f"CAST(0.0 AS DOUBLE) AS {c}" for c in CONTROL_PARAMETERS if c != "Machine_Speed")}
   FROM f5 CROSS JOIN c_st2)"""
