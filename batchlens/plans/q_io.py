@@ -215,3 +215,26 @@ def q_export_safe_csv(spark, sf):
     path = scratch(spark, "csv")
     export.write_csv(rep, path)
     return export.read_csv(spark, path, "Batch_ID string, Row_No bigint, KPI string, Value string")
+
+
+def stored_features(spark, sf):
+    """Features served from the versioned parquet store (built on first use)."""
+    paths = [os.path.join(sf, f"{t}.parquet") for t in ("orders", "lineitem")]
+    fp = files.fingerprint(spark, paths, K.STORE_VERSION, K.DEFAULT_EMISSION_FACTOR).first()["fingerprint"]
+    root = os.path.join(ensure_checkpoint_dir(spark), "feature_store")
+    tables, _ = store.load_or_build(spark, fp, lambda: {"features": context.features(spark, sf)}, ["features"], root=root)
+    return tables["features"]
+
+
+def _lookup_sql() -> str:
+    from batchlens.plans.q_compare import _gp_sql
+
+    return f"WITH {_gp_sql()}\nSELECT features.* FROM features WHERE Batch_ID = (SELECT Batch_ID FROM gp)"
+
+
+@query("batch_lookup", _lookup_sql)
+def q_batch_lookup(spark, sf):
+    """one batch's feature row by id (here the golden batch); the equality
+    is pushed into the parquet scan of the feature store."""
+    bid = context.golden_profile(spark, sf)["Batch_ID"]
+    return stored_features(spark, sf).filter(F.col("Batch_ID") == F.lit(bid))

@@ -36,3 +36,35 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], version: str, emissio
         F.count(F.lit(1)).alias("n_files"),
         F.sum("length").alias("total_bytes"),
     )
+
+
+def first_non_empty(readers) -> DataFrame | None:
+    """The first reader (a zero-argument callable returning a DataFrame)
+    whose result is readable and has at least one row (``limit(1)`` probe)."""
+    for read in readers:
+        try:
+            df = read()
+        except Exception:  # noqa: BLE001 - an unreadable source is skipped
+            continue
+        if df is not None and df.limit(1).count() > 0:
+            return df
+    return None
+
+
+def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A3: an optional side table (e.g. a summary sheet exported as its own
+    file): read when present, else None. It is carried along, never queried."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - absent side table
+        return None
+
+
+SNIFF_KEYWORDS = ["time", "timestamp", "minute", "temperature", "motor", "rpm", "pressure", "flow"]
+
+
+def looks_like_process_table(columns) -> bool:
+    """A single file is a process-data candidate when at least two column
+    names contain a time or sensor keyword (schema only, no data read)."""
+    names = [str(c).lower() for c in columns]
+    return sum(1 for c in names if any(k in c for k in SNIFF_KEYWORDS)) >= 2
