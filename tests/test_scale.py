@@ -63,3 +63,19 @@ def test_flagship_has_no_window_over_data(spark):
     plan = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "CartesianProduct" not in plan
+
+
+def test_features_identical_for_any_partition_count(spark):
+    from batchlens.plans.structured import build_features
+    from batchlens.sources.tables import process_readings
+
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            res = build_features(production_batches(spark, SF_SMALL), process_readings(spark, SF_SMALL).repartition(int(parts)))
+            results.append(sorted(tuple(r) for r in res.features.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]  # exact equality: sums are order-independent
