@@ -58,44 +58,46 @@ def q_golden_signatures(spark, sf):
 
 
 def _sig_sql_parts() -> str:
-    cur = f"""{S.structured_ctes()}, {S.objective_stats_cte()},
-{S.targets_cte('Strict').replace('targets AS', 't_strict AS')},
-{S.targets_cte('Open').replace('targets AS', 't_open AS')},
-a_s AS (SELECT count(*) > 0 AS any_pass FROM features CROSS JOIN t_strict t WHERE {S.TARGET_COND}),
-c_s AS (SELECT features.* FROM features CROSS JOIN t_strict CROSS JOIN a_s WHERE {S.TARGET_COND} OR NOT any_pass),
-a_o AS (SELECT count(*) > 0 AS any_pass FROM features CROSS JOIN t_open t WHERE {S.TARGET_COND}),
-c_o AS (SELECT features.* FROM features CROSS JOIN t_open CROSS JOIN a_o WHERE {S.TARGET_COND} OR NOT any_pass),
-{S.ranked_all_cte('c_s').replace('ranked AS', 'r_s AS')},
-{S.ranked_all_cte('c_o').replace('ranked AS', 'r_o AS')},
-cur AS (SELECT scenario, Batch_ID AS batch_id, Scenario_Score AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY Scenario_Score DESC NULLS LAST, Batch_ID) AS rn FROM r_s) WHERE rn = 1),
-cnd AS (SELECT scenario, Batch_ID AS cand_batch_id, Scenario_Score AS cand_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY Scenario_Score DESC NULLS LAST, Batch_ID) AS rn FROM r_o) WHERE rn = 1),
+    from batchlens.plans.q_reports import rc_ctes
+
+    case = "CASE scenario " + " ".join(f"WHEN '{n}' THEN {S.score_sql(w)}" for n, w in DEFAULT_SCENARIOS.items()) + " END"
+    return f"""{rc_ctes()},
+cur AS (SELECT scenario, Batch_ID AS batch_id, Scenario_Score AS score FROM top),
+cnd AS (SELECT scenario, Batch_ID AS cand_batch_id, {case} AS cand_score FROM rc CROSS JOIN ost),
 prom AS (SELECT cur.scenario,
   CASE WHEN coalesce(cand_score > score, false) THEN cand_batch_id ELSE batch_id END AS batch_id,
   CASE WHEN coalesce(cand_score > score, false) THEN cand_score ELSE score END AS score,
   coalesce(cand_score > score, false) AS promoted,
-  CASE WHEN coalesce(cand_score > score, false) THEN 'auto_update' ELSE NULL END AS promoted_from,
+  CASE WHEN coalesce(cand_score > score, false) THEN 'simulation' ELSE NULL END AS promoted_from,
   CASE WHEN coalesce(cand_score > score, false) THEN '{AS_OF}' ELSE NULL END AS promoted_at_utc
   FROM cur LEFT JOIN cnd USING (scenario))"""
-    return cur
 
 
 def _current_and_promoted(spark, sf):
+    """Current signatures ('Standard' targets) and the result of challenging
+    them with simulated improved candidates (L5), each scored with its own
+    scenario's weights against the full table's ranges (H3)."""
+    from batchlens.plans.q_reports import simulated_candidates
+
     f = context.features(spark, sf)
-    cur = golden.golden_signatures(f, ranking.build_targets(f, "Strict"), DEFAULT_SCENARIOS, 1).select(
+    cur = golden.golden_signatures(f, ranking.build_targets(f, "Standard"), DEFAULT_SCENARIOS, 1).select(
         "scenario", F.col("Batch_ID").alias("batch_id"), F.col("Scenario_Score").alias("score"),
         F.lit(None).cast("string").alias("promoted_from"), F.lit(None).cast("string").alias("promoted_at_utc"),
     )
-    cand = golden.golden_signatures(f, ranking.build_targets(f, "Open"), DEFAULT_SCENARIOS, 1)
-    return cur, golden.promote_if_better(cur, cand, "auto_update", AS_OF)
+    st = ranking.objective_stats(f)
+    score = None
+    for n, w in DEFAULT_SCENARIOS.items():
+        score = (F.when(F.col("scenario") == n, ranking.score_expr(w, st)) if score is None
+                 else score.when(F.col("scenario") == n, ranking.score_expr(w, st)))
+    cand = simulated_candidates(spark, sf).withColumn("Scenario_Score", score)
+    return cur, golden.promote_if_better(cur, cand, "simulation", AS_OF)
 
 
 @query("golden_promote", lambda: f"""WITH {_sig_sql_parts()}
 SELECT * FROM prom""")
 def q_golden_promote(spark, sf):
-    """H8: 'Strict' signatures challenged by the best 'Open' batches; strictly
-    greater score promotes."""
+    """H8: signatures challenged by simulated improved candidates; a strictly
+    greater score promotes, alternatives and unknown scenarios are untouched."""
     return _current_and_promoted(spark, sf)[1]
 
 

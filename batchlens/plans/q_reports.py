@@ -245,9 +245,8 @@ def q_route_choice(spark, sf):
 SCEN_INDEX = {n: i for i, n in enumerate(DEFAULT_SCENARIOS)}
 
 
-@query("random_candidates", lambda: f"""WITH {_rc_sql()}""")
-def q_random_candidates(spark, sf):
-    """One bounded random improvement per scenario signature (seeded)."""
+def simulated_candidates(spark, sf):
+    """L5 frame: one seeded random improvement per scenario signature."""
     f = context.features(spark, sf)
     top = golden.golden_signatures(f, ranking.build_targets(f, "Standard"), DEFAULT_SCENARIOS, 1)
     idx = F.create_map(*[x for n, i in SCEN_INDEX.items() for x in (F.lit(n), F.lit(i))])[F.col("scenario")]
@@ -258,7 +257,15 @@ def q_random_candidates(spark, sf):
     )
 
 
-def _rc_sql() -> str:
+@query("random_candidates", lambda: f"WITH {rc_ctes()}\nSELECT * FROM rc")
+def q_random_candidates(spark, sf):
+    """One bounded random improvement per scenario signature (seeded)."""
+    return simulated_candidates(spark, sf)
+
+
+def rc_ctes() -> str:
+    """CTE chain ending in ``rc`` (the simulated candidates) with ``top``
+    (current signatures) and ``ost`` (objective ranges) along the way."""
     from batchlens.operators.candidates import LCG_A, LCG_C, LCG_M
 
     def u(draw, lo, hi):
@@ -282,5 +289,5 @@ c0 AS (SELECT scenario, Batch_ID, CAST({scen_case} AS BIGINT) + 42 AS s, Total_E
 c1 AS (SELECT scenario, 'SIM_' || Batch_ID AS Batch_ID, g_e, g_c, {y} AS Yield_Percent, {q} AS Quality_Score, {p} AS Performance_Score,
   {e} AS Total_Energy_kWh, {dt} AS Drying_Time, {dtemp} AS Drying_Temp, {spd} AS Machine_Speed FROM c0),
 c2 AS (SELECT c1.*, {S.rint('Total_Energy_kWh * 0.82', 3)} AS Carbon_kg FROM c1),
-c3 AS (SELECT c2.* EXCLUDE (g_e, g_c), {S.rint("greatest(0.0, least(100.0, (0.40 * (Yield_Percent / 100.0) + 0.15 * (Quality_Score / 100.0) + 0.20 * greatest(0.0, 1.0 - Total_Energy_kWh / greatest(1.0, coalesce(g_e, 1.0))) + 0.15 * greatest(0.0, 1.0 - Carbon_kg / greatest(1.0, coalesce(g_c, 1.0))) + 0.10 * greatest(0.0, 1.0 - Drying_Time / greatest(1.0, Drying_Time))) * 100.0))", 2)} AS Eco_Efficiency_Score FROM c2)
-SELECT c3.*, CASE WHEN Eco_Efficiency_Score >= 70.0 THEN 'Green' WHEN Eco_Efficiency_Score >= 40.0 THEN 'Yellow' ELSE 'Red' END AS Green_Zone FROM c3"""
+c3 AS (SELECT c2.* EXCLUDE (g_e, g_c), {S.rint("greatest(0.0, least(100.0, (0.40 * (Yield_Percent / 100.0) + 0.15 * (Quality_Score / 100.0) + 0.20 * greatest(0.0, 1.0 - Total_Energy_kWh / greatest(1.0, coalesce(g_e, 1.0))) + 0.15 * greatest(0.0, 1.0 - Carbon_kg / greatest(1.0, coalesce(g_c, 1.0))) + 0.10 * greatest(0.0, 1.0 - Drying_Time / greatest(1.0, Drying_Time))) * 100.0))", 2)} AS Eco_Efficiency_Score FROM c2),
+rc AS (SELECT c3.*, CASE WHEN Eco_Efficiency_Score >= 70.0 THEN 'Green' WHEN Eco_Efficiency_Score >= 40.0 THEN 'Yellow' ELSE 'Red' END AS Green_Zone FROM c3)"""
