@@ -32,20 +32,25 @@ def strictness_quantiles(strictness: str) -> tuple[float, float]:
 
 def targets_frame(features: DataFrame, strictness: str = "Standard", with_eco: bool = True) -> DataFrame:
     """D3: one-row targets frame from quantiles of the feature table."""
+    t = build_targets(features, strictness, with_eco)
+    schema = ", ".join(f"{c} double" for c in TARGET_COLUMNS)
+    return features.sparkSession.createDataFrame([tuple(t[c] for c in TARGET_COLUMNS)], schema)
+
+
+def build_targets(features: DataFrame, strictness: str = "Standard", with_eco: bool = True) -> dict:
+    """D3 as plain values (one statistics pass)."""
     q, qmax = strictness_quantiles(strictness)
-    eco = pct("Eco_Efficiency_Score", q) if with_eco else F.lit(None).cast("double")
-    return features.agg(
+    aggs = [
         pct("Yield_Percent", q).alias("min_yield"),
         pct("Quality_Score", q).alias("min_quality"),
         pct("Total_Energy_kWh", qmax).alias("max_energy"),
         pct("Carbon_kg", qmax).alias("max_carbon"),
-        eco.alias("min_eco_score"),
-    )
-
-
-def build_targets(features: DataFrame, strictness: str = "Standard", with_eco: bool = True) -> dict:
-    """D3 as plain values (one aggregate row)."""
-    return targets_frame(features, strictness, with_eco).first().asDict()
+    ]
+    if with_eco:
+        aggs.append(pct("Eco_Efficiency_Score", q).alias("min_eco_score"))
+    t = stats_row(features, aggs)
+    t.setdefault("min_eco_score", None)
+    return t
 
 
 def target_condition(t: Mapping[str, float | None]) -> Column:

@@ -8,14 +8,31 @@ This keeps every plan linear: chaining stats rows as broadcast joins instead
 makes each later stage re-embed the whole upstream plan (exponential plan
 growth across the 4-5 chained passes of the KPI derivation).
 
-Percentiles: ``percentile`` (exact, linear interpolation, equal to
-``quantile_cont``) by default. Exact percentile keeps a value->count map per
-column; for very high-cardinality columns pass ``accuracy=`` to switch to
-``percentile_approx`` explicitly.
+Quantiles are exact (linear interpolation between order statistics, as
+``percentile`` / ``quantile_cont``). Spark's ``percentile`` keeps a value->count
+map of the whole column in one task's memory, which does not scale to
+1e11-row tables, so ``stats_row`` picks a strategy (session conf
+``spark.batchlens.quantiles``):
+
+* ``map``: one pass with ``percentile`` (all quantiles of one expression
+  share one map);
+* ``refine``: exact order statistics by bucket refinement: each pass is one
+  scan whose output is a histogram of at most buckets x targets rows (bounded,
+  independent of the data size); the bucket holding the wanted rank becomes
+  the next interval, until it holds one distinct value or few enough values to
+  fetch (``collect_max``);
+* ``auto`` (default): a first pass counts the rows; up to
+  ``spark.batchlens.quantiles.mapMaxRows`` (5e6) rows use ``map``, above it
+  ``refine``.
+
+``accuracy=`` switches a quantile to ``percentile_approx`` explicitly.
 """
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,18 +42,180 @@ from batchlens.functions.numeric import clip_keep_null, norm_expr
 from batchlens.session import cut_lineage
 
 
-def pct(col: str | Column, q: float, accuracy: int | None = None) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    if accuracy is None:
-        return F.percentile(c, F.lit(float(q)))
-    return F.percentile_approx(c, F.lit(float(q)), accuracy)
+class Quantile:
+    """A quantile request inside ``stats_row`` (resolved by the strategy above)."""
+
+    def __init__(self, expr: Column, q: float, accuracy: int | None = None, name: str | None = None):
+        self.expr, self.q, self.accuracy, self.name = expr, float(q), accuracy, name
+
+    def alias(self, name: str) -> "Quantile":
+        return Quantile(self.expr, self.q, self.accuracy, name)
+
+
+def pct(col: str | Column, q: float, accuracy: int | None = None) -> Quantile:
+    return Quantile(F.col(col) if isinstance(col, str) else col, q, accuracy)
+
+
+MAP_MAX_ROWS_DEFAULT = 5_000_000
+BUCKETS = 1024
+COLLECT_MAX = 50_000
+
+
+_STRATEGY: contextvars.ContextVar[str | None] = contextvars.ContextVar("batchlens_quantiles", default=None)
+
+
+@contextlib.contextmanager
+def quantile_strategy(mode: str | None):
+    """Scope a quantile strategy ('map', 'refine', 'auto' or None = session conf)."""
+    token = _STRATEGY.set(mode)
+    try:
+        yield
+    finally:
+        _STRATEGY.reset(token)
+
 
+def strategy_for_input(spark, paths, small_bytes: int = 2 << 30) -> str | None:
+    """'map' when the input files are small (total bytes from a file listing;
+    no data read), else None (the counted 'auto' decision)."""
+    try:
+        total = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
+    except Exception:  # noqa: BLE001 - unknown size: decide by counting
+        return None
+    return "map" if total <= small_bytes else None
 
-def stats_row(df: DataFrame, aggs: Sequence[Column]) -> dict:
-    """Run one global aggregation and return its single row as a dict."""
+
+def _mode(spark) -> str:
+    hint = _STRATEGY.get()
+    if hint:
+        return hint
+    return (spark.conf.get("spark.batchlens.quantiles", "auto") or "auto").lower()
+
+
+def _interpolate(n: int, q: float, values: dict[int, float]) -> float | None:
+    if n == 0:
+        return None
+    pos = (n - 1) * q
+    lo, hi = math.floor(pos), math.ceil(pos)
+    if lo == hi:
+        return values[lo]
+    return (hi - pos) * values[lo] + (pos - lo) * values[hi]
+
+
+def _ranks(n: int, qs) -> set[int]:
+    out = set()
+    for q in qs:
+        pos = (n - 1) * q
+        out.update({math.floor(pos), math.ceil(pos)})
+    return out
+
+
+def order_statistics(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, set[int]], base: dict[str, tuple]) -> dict[str, dict[int, float]]:
+    """Exact k-th smallest values (0-based ranks) of several expressions by
+    bucket refinement. ``base``: key -> (n, min, max) from a previous pass."""
+    found: dict[str, dict[int, float]] = {k: {} for k in exprs}
+    # target: (key, rank) -> [lo, hi, rank within interval]
+    active = {}
+    for k, rs in ranks.items():
+        n, lo, hi = base[k]
+        for r in rs:
+            if lo == hi:
+                found[k][r] = lo
+            else:
+                active[(k, r)] = [lo, hi, r]
+    fetch = {}
+    while active:
+        groups: dict[tuple, list] = {}
+        for t, (lo, hi, _r) in active.items():
+            groups.setdefault((t[0], lo, hi), []).append(t)
+        entries = []
+        gids = list(groups)
+        for gid, (k, lo, hi) in enumerate(gids):
+            x = exprs[k].cast("double")
+            bucket = F.least(F.lit(BUCKETS - 1), F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(BUCKETS)).cast("int"))
+            entries.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(gid).alias("g"), bucket.alias("b"), x.alias("x"))))
+        hist = (
+            df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+            .groupBy(F.col("e.g").alias("g"), F.col("e.b").alias("b"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx"))
+            .collect()
+        )
+        by_group: dict[int, list] = {}
+        for row in hist:
+            by_group.setdefault(row["g"], []).append(row)
+        nxt = {}
+        for gid, key in enumerate(gids):
+            rows = sorted(by_group.get(gid, []), key=lambda r: r["b"])
+            for t in groups[key]:
+                rr = active[t][2]
+                before = 0
+                for row in rows:
+                    if before + row["c"] > rr:
+                        rr -= before
+                        if row["mn"] == row["mx"]:
+                            found[t[0]][t[1]] = row["mn"]
+                        elif row["c"] <= COLLECT_MAX:
+                            fetch[t] = (row["mn"], row["mx"], rr)
+                        else:
+                            nxt[t] = [row["mn"], row["mx"], rr]
+                        break
+                    before += row["c"]
+        active = nxt
+    for (k, r), (lo, hi, rr) in fetch.items():
+        x = exprs[k].cast("double")
+        vals = sorted(v[0] for v in df.select(x.alias("v")).filter(F.col("v").between(F.lit(lo), F.lit(hi))).collect())
+        found[k][r] = vals[rr]
+    return found
+
+
+def stats_row(df: DataFrame, aggs: Sequence) -> dict:
+    """Run one global aggregation and return its single row as a dict.
+    ``Quantile`` entries are resolved exactly with a scalable strategy."""
     if not aggs:
         return {}
-    return df.agg(*aggs).first().asDict()
+    cols = [a for a in aggs if not isinstance(a, Quantile)]
+    quants = [a for a in aggs if isinstance(a, Quantile)]
+    approx = [qq for qq in quants if qq.accuracy is not None]
+    exact = [qq for qq in quants if qq.accuracy is None]
+    cols += [F.percentile_approx(qq.expr, F.lit(qq.q), qq.accuracy).alias(qq.name) for qq in approx]
+    if not exact:
+        return df.agg(*cols).first().asDict()
+    keyed: dict[str, tuple[Column, list[Quantile]]] = {}
+    for qq in exact:
+        keyed.setdefault(str(qq.expr), (qq.expr, []))[1].append(qq)
+    keys = {k: f"__q{i}" for i, k in enumerate(keyed)}
+    mode = _mode(df.sparkSession)
+    if mode == "map":
+        cols += [F.percentile(e, F.array(*[F.lit(qq.q) for qq in lst])).alias(keys[k]) for k, (e, lst) in keyed.items()]
+        row = df.agg(*cols).first().asDict()
+        out = {c: v for c, v in row.items() if not c.startswith("__q")}
+        for k, (_e, lst) in keyed.items():
+            vals = row[keys[k]]
+            for i, qq in enumerate(lst):
+                out[qq.name] = None if vals is None else vals[i]
+        return out
+    base_aggs = list(cols)
+    for k, (e, _lst) in keyed.items():
+        x = e.cast("double")
+        base_aggs += [F.count(x).alias(f"{keys[k]}_n"), F.min(x).alias(f"{keys[k]}_lo"), F.max(x).alias(f"{keys[k]}_hi")]
+    row = df.agg(*base_aggs).first().asDict()
+    out = {c: v for c, v in row.items() if not c.startswith("__q")}
+    max_rows = int(df.sparkSession.conf.get("spark.batchlens.quantiles.mapMaxRows", str(MAP_MAX_ROWS_DEFAULT)))
+    if mode == "auto" and max(row[f"{keys[k]}_n"] for k in keyed) <= max_rows:
+        qrow = df.agg(*[F.percentile(e, F.array(*[F.lit(qq.q) for qq in lst])).alias(keys[k]) for k, (e, lst) in keyed.items()]).first()
+        for k, (_e, lst) in keyed.items():
+            vals = qrow[keys[k]]
+            for i, qq in enumerate(lst):
+                out[qq.name] = None if vals is None else vals[i]
+        return out
+    exprs = {keys[k]: e for k, (e, _l) in keyed.items()}
+    base = {keys[k]: (row[f"{keys[k]}_n"], row[f"{keys[k]}_lo"], row[f"{keys[k]}_hi"]) for k in keyed}
+    ranks = {keys[k]: _ranks(base[keys[k]][0], [qq.q for qq in lst]) if base[keys[k]][0] else set() for k, (_e, lst) in keyed.items()}
+    stats = order_statistics(df, exprs, ranks, base)
+    for k, (_e, lst) in keyed.items():
+        n = base[keys[k]][0]
+        for qq in lst:
+            out[qq.name] = _interpolate(n, qq.q, stats[keys[k]]) if n else None
+    return out
 
 
 def minmax_aggs(cols: Iterable[str | tuple[str, Column]]) -> list[Column]:
@@ -83,14 +262,13 @@ def median_impute(
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> dict[str, tuple[float, float] | None]:
-    # one percentile aggregate per column for both quartiles (one value map, not two)
-    qs = F.array(F.lit(0.25), F.lit(0.75))
-    aggs = [(F.percentile(F.col(c), qs) if accuracy is None else F.percentile_approx(F.col(c), qs, accuracy)).alias(f"q_{c}") for c in cols]
+    aggs = []
+    for c in cols:
+        aggs += [pct(c, 0.25, accuracy).alias(f"q1_{c}"), pct(c, 0.75, accuracy).alias(f"q3_{c}")]
     st = stats_row(df, aggs)
     out: dict[str, tuple[float, float] | None] = {}
     for c in cols:
-        q = st[f"q_{c}"]
-        q1, q3 = (q[0], q[1]) if q is not None else (None, None)
+        q1, q3 = st[f"q1_{c}"], st[f"q3_{c}"]
         if q1 is None or q3 is None or abs(q3 - q1) <= 1e-8:
             out[c] = None
         else:

@@ -95,3 +95,17 @@ def golden_profile(spark: SparkSession, sf_dir: str, scenario: str = "Balanced",
     with _LOCK:
         _CACHE[key] = row
     return row
+
+
+def input_strategy(spark: SparkSession, sf_dir: str):
+    """Quantile strategy for queries over ``sf_dir`` (memoised per folder)."""
+    from batchlens.operators.stats import strategy_for_input
+
+    key = _key(spark, sf_dir, "quantile_strategy")
+    with _LOCK:
+        if key in _CACHE:
+            return _CACHE[key]
+    mode = strategy_for_input(spark, [os.path.join(sf_dir, "*.parquet")])
+    with _LOCK:
+        _CACHE[key] = mode
+    return mode

@@ -79,3 +79,28 @@ def test_features_identical_for_any_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]  # exact equality: sums are order-independent
+
+
+def test_refined_quantiles_equal_percentile(spark, monkeypatch):
+    import numpy as np
+
+    from batchlens.operators import stats
+
+    rng = np.random.default_rng(11)
+    vals = [None if i % 13 == 0 else float(x) for i, x in enumerate(rng.normal(0, 50, 5000).round(1))]
+    vals += [7.0] * 2000  # a heavy duplicate
+    df = spark.createDataFrame([(v, (v or 0.0) * 2 - 3) for v in vals], "a double, b double").repartition(6)
+    aggs = [stats.pct("a", q).alias(f"a{q}") for q in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)]
+    aggs += [stats.pct(F.col("b") * 0.5, 0.33).alias("b33"), F.count("a").alias("n")]
+    spark.conf.set("spark.batchlens.quantiles", "map")
+    expect = stats.stats_row(df, aggs)
+    monkeypatch.setattr(stats, "BUCKETS", 8)
+    monkeypatch.setattr(stats, "COLLECT_MAX", 40)
+    try:
+        spark.conf.set("spark.batchlens.quantiles", "refine")
+        got = stats.stats_row(df, aggs)
+    finally:
+        spark.conf.unset("spark.batchlens.quantiles")
+    assert got.keys() == expect.keys()
+    for k in expect:
+        assert got[k] == expect[k] or abs(got[k] - expect[k]) < 1e-9, (k, got[k], expect[k])
