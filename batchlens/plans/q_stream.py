@@ -26,8 +26,8 @@ def _sensor_stream(spark, sf, tag):
     base = scratch(spark, tag)
     src = os.path.join(base, "src")
     sensor = sensor_readings(spark, sf)
-    ST.stage_time_chunks(sensor, "timestamp", src, 4)
-    stream = spark.readStream.schema(sensor.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    fpc = ST.stage_time_chunks(sensor, "timestamp", src, 4)
+    stream = spark.readStream.schema(sensor.schema).option("maxFilesPerTrigger", fpc).parquet(src)
     return stream.withColumn("ts", utc_instant("timestamp")), base
 
 
@@ -88,8 +88,8 @@ def q_stream_deviation(spark, sf):
     base = scratch(spark, "stream-deviation")
     src = os.path.join(base, "src")
     f = context.features(spark, sf)
-    ST.stage_key_chunks(f, "Batch_ID", src, 4)
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    fpc = ST.stage_key_chunks(f, "Batch_ID", src, 4)
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", fpc).parquet(src)
     out = C.compare_to_golden(stream, context.golden_profile(spark, sf))
     ST.run_available_now(out, os.path.join(base, "out"), os.path.join(base, "ckpt"), "append")
     return ST.read_all(spark, os.path.join(base, "out"))

@@ -18,31 +18,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def stage_time_chunks(df: DataFrame, ts_col: str, path: str, chunks: int = 4) -> str:
-    """Write ``df`` as ``chunks`` single-file parquet parts covering ascending,
-    disjoint time ranges, one write after the other, so a file stream reading
-    one file per trigger sees event time move forward (replay of a feed)."""
+def stage_time_chunks(df: DataFrame, ts_col: str, path: str, chunks: int = 4, files_per_chunk: int | None = None) -> int:
+    """Replay staging: write ``df`` in ``chunks`` ascending, disjoint time
+    ranges, one write job after the other, each as exactly ``files_per_chunk``
+    files (round-robin, written in parallel), so modification times follow
+    event time. Returns the file count per chunk: use it as
+    ``maxFilesPerTrigger`` and every micro-batch is one whole chunk."""
+    fpc = files_per_chunk or df.sparkSession.sparkContext.defaultParallelism
     bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / chunks
     for i in range(chunks):
-        a = lo + step * i
-        cond = F.col(ts_col) >= F.lit(a)
+        cond = F.col(ts_col) >= F.lit(lo + step * i)
         if i < chunks - 1:
             cond = cond & (F.col(ts_col) < F.lit(lo + step * (i + 1)))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
+        part = df.filter(cond)
+        if part.limit(1).count():
+            part.repartition(fpc).write.mode("append").parquet(path)
+    return fpc
 
 
-def stage_key_chunks(df: DataFrame, key: str, path: str, chunks: int = 4) -> str:
-    """Split a keyed table into ``chunks`` single-file parts by key range
-    (range partitioning, checkpointed so the split is fixed), written in order."""
+def stage_key_chunks(df: DataFrame, key: str, path: str, chunks: int = 4, files_per_chunk: int | None = None) -> int:
+    """Split a keyed table into ``chunks`` key ranges (range partitioning,
+    checkpointed so the split is fixed), written in order, one job each, as
+    ``files_per_chunk`` files; returns that count (for ``maxFilesPerTrigger``)."""
     from batchlens.operators.stats import materialize
 
+    fpc = files_per_chunk or df.sparkSession.sparkContext.defaultParallelism
     ranged = materialize(df.repartitionByRange(chunks, key).withColumn("_chunk", F.spark_partition_id()))
     for i in range(chunks):
-        ranged.filter(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("append").parquet(path)
-    return path
+        part = ranged.filter(F.col("_chunk") == i).drop("_chunk")
+        if part.limit(1).count():
+            part.repartition(fpc).write.mode("append").parquet(path)
+    return fpc
 
 
 def foreach_batch_sink(out_path: str) -> Callable[[DataFrame, int], None]:

@@ -184,8 +184,9 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=7 * i), f"M{i % 3}", float(i)) for i in range(200)],
                                "row_order long, timestamp timestamp_ntz, machine_id string, power_kw double")
-    src = ST.stage_time_chunks(df, "timestamp", str(tmp_path / "src"), 4)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src = str(tmp_path / "src")
+    fpc = ST.stage_time_chunks(df, "timestamp", src, 4, files_per_chunk=3)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", fpc).parquet(src)
     agg = stream.withColumn("ts", sessions.utc_instant("timestamp")).withWatermark("ts", "1 hour") \
         .groupBy(F.window("ts", "1 day"), "machine_id").agg(F.count(F.lit(1)).alias("n")) \
         .select(F.col("window.start").alias("w"), "machine_id", "n")
