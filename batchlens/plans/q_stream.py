@@ -104,3 +104,35 @@ def q_stream_alerts(spark, sf):
     alerts = stream.filter(F.col("defect_rate") >= 0.09).withWatermark("ts", WATERMARK).dropDuplicates(["machine_id"]).select("machine_id")
     ST.run_available_now(alerts, os.path.join(base, "out"), os.path.join(base, "ckpt"), "append")
     return ST.read_all(spark, os.path.join(base, "out"))
+
+
+BATCH_GAP_MIN = 90.0
+
+
+def _stream_batches_sql() -> str:
+    from batchlens.constants import ACTIVE_MODES
+
+    modes = ", ".join(f"'{m}'" for m in ACTIVE_MODES)
+    w = "PARTITION BY m ORDER BY timestamp, row_order"
+    return f"""WITH {S.views('sensor_readings')},
+a AS (SELECT row_order, timestamp, coalesce(nullif(CAST(machine_id AS VARCHAR), ''), 'M01') AS m,
+  coalesce(lower(CAST(operation_mode AS VARCHAR)) IN ({modes}), false) AS act FROM sensor_readings),
+g AS (SELECT *, coalesce(date_diff('microsecond', lag(timestamp) OVER ({w}), timestamp), 0) > {BATCH_GAP_MIN * 60000000.0!r}
+    OR (act AND NOT coalesce(lag(act) OVER ({w}), false)) AS nb FROM a),
+n AS (SELECT *, 1 + sum(CASE WHEN nb THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS num FROM g)
+SELECT row_order, m AS machine_id, 'AUTO_' || {S.token_sql('m')} || '_' || {S.zfill4_sql('num')} AS Batch_ID FROM n"""
+
+
+@query("stream_batches", _stream_batches_sql)
+def q_stream_batches(spark, sf):
+    """T3 (mode-edge rule): virtual batch ids assigned on a replayed sensor
+    feed by a custom stateful operator (``applyInPandasWithState``), numbering
+    continuing across micro-batches through per-machine state."""
+    base = scratch(spark, "stream-batches")
+    src = os.path.join(base, "src")
+    sensor = sensor_readings(spark, sf)
+    fpc = ST.stage_time_chunks(sensor, "timestamp", src, 4)
+    stream = spark.readStream.schema(sensor.schema).option("maxFilesPerTrigger", fpc).parquet(src)
+    out = ST.stateful_batches(stream, BATCH_GAP_MIN)
+    ST.run_available_now(out, os.path.join(base, "out"), os.path.join(base, "ckpt"), "append")
+    return ST.read_all(spark, os.path.join(base, "out"))

@@ -90,3 +90,51 @@ def read_last_epoch(spark: SparkSession, out_path: str) -> DataFrame:
 def read_all(spark: SparkSession, out_path: str) -> DataFrame:
     df = spark.read.option("basePath", out_path).parquet(os.path.join(out_path, "epoch=*"))
     return df.drop("_epoch", "epoch")
+
+
+def stateful_batches(stream_df: DataFrame, gap_minutes: float, key: str = "machine_id", ts_col: str = "timestamp",
+                     order_col: str = "row_order", mode_col: str = "operation_mode", out: str = "Batch_ID") -> DataFrame:
+    """Virtual batch ids on a stream (W2 rule): per machine, a new batch starts
+    on a gap above ``gap_minutes`` or an inactive->active edge. State per
+    machine (last event time, last active flag, batch number) lives in the
+    streaming state store, so numbering continues across micro-batches. The
+    gap threshold is a parameter (the global median gap of the batch rule is
+    not known on an unbounded stream), and every machine's modes are taken
+    as given (no 'nothing active anywhere' fallback)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from batchlens.constants import ACTIVE_MODES
+    from batchlens.operators.sessions import clean_machine, epoch_micros
+
+    active_set = set(ACTIVE_MODES)
+    thr_us = gap_minutes * 60_000_000.0
+
+    def step(key_tuple, batches, state):
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["__us", order_col], kind="stable")
+        if state.exists:
+            last_us, last_active, num = state.get
+        else:
+            last_us, last_active, num = None, False, 1
+        us = pdf["__us"].to_numpy()
+        active = pdf[mode_col].astype("string").str.lower().isin(active_set).fillna(False).to_numpy(dtype=bool)
+        prev_us = pd.Series(us).shift(1).to_numpy(dtype="float64")
+        prev_us[0] = float("nan") if last_us is None else float(last_us)
+        gap = us.astype("float64") - prev_us
+        gap[pd.isna(gap)] = 0.0
+        prev_active = pd.Series(active).shift(1, fill_value=bool(last_active)).to_numpy(dtype=bool)
+        new = (gap > thr_us) | (active & ~prev_active)
+        nums = num + new.cumsum()
+        token = "".join(ch for ch in str(key_tuple[0]) if ch.isascii() and ch.isalnum()).upper()[:12]
+        ids = [f"AUTO_{token}_{n:04d}" for n in nums]
+        state.update((int(us[-1]), bool(active[-1]), int(nums[-1])))
+        yield pd.DataFrame({order_col: pdf[order_col].to_numpy(), key: key_tuple[0], out: ids})
+
+    keyed = stream_df.withColumn(key, clean_machine(F.col(key))).withColumn("__us", epoch_micros(ts_col))
+    return keyed.select(key, order_col, mode_col, "__us").groupBy(key).applyInPandasWithState(
+        step,
+        f"{order_col} long, {key} string, {out} string",
+        "last_us long, last_active boolean, num long",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
