@@ -28,13 +28,20 @@ from pyspark.sql import types as T
 from batchlens.operators.stats import materialize
 
 
-def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_cols: list[str] | None = None):
+def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_cols: list[str] | None = None,
+             pid_col: str | None = None):
     fill_cols = fill_cols or []
 
     def run(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
+        if pid_col is not None:  # reuse the layout id of a previous scan
+            batches = list(batches)
+            ids = {int(v) for b in batches for v in b[pid_col].unique()}
+            if len(ids) > 1:
+                raise ValueError("presorted input lost its partition layout")
+            pid = ids.pop() if ids else pid
         prev_key = None
         prev_pos = 0
         prev_sums = {c: 0.0 for c in sum_cols}
@@ -102,13 +109,20 @@ def ordered_scan(
     ffills: Mapping[str, Column] | None = None,
     partitions: int | None = None,
     pos_col: str = "pos",
+    layout_col: str | None = None,
+    presorted: str | None = None,
 ) -> DataFrame:
     """Add ``pos_col`` (1-based position within ``keys`` by ``order``), the
     inclusive running sum of each ``sums`` expression (NULL counts as 0), and
     the previous row's value of each ``lags`` expression (NULL on a key's
     first row), and each ``ffills`` expression forward-filled within the key
     (last non-NULL value so far). With ``keys=[]`` the whole table is one
-    ordered sequence."""
+    ordered sequence.
+
+    ``layout_col`` keeps the partition id of this scan's range layout in the
+    output. Passing that column as ``presorted`` to a later scan over the same
+    keys/order (on a frame derived by narrow transformations only) skips the
+    range shuffle and sort: the rows are already laid out and ordered."""
     spark = df.sparkSession
     sums = dict(sums or {})
     lags = dict(lags or {})
@@ -123,15 +137,18 @@ def ordered_scan(
     d = d.withColumns({f"_os_f_{n}": e for n, e in ffills.items()})
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = d.repartitionByRange(P, *[F.col(k) for k in keys], *order_cols).sortWithinPartitions(
-        *[F.col(k) for k in keys], *order_cols
-    )
+    if presorted is not None:
+        ranged = d
+    else:
+        ranged = d.repartitionByRange(P, *[F.col(k) for k in keys], *order_cols).sortWithinPartitions(
+            *[F.col(k) for k in keys], *order_cols
+        )
     fields = list(d.schema.fields) + [T.StructField("_os_lpos", T.LongType())]
     fields += [T.StructField(f"_os_ls_{n}", T.DoubleType()) for n in sums]
     fields += [T.StructField(f"_os_ll_{n}", d.schema[f"_os_g_{n}"].dataType) for n in lags]
     fields += [T.StructField(f"_os_lf_{n}", d.schema[f"_os_f_{n}"].dataType) for n in ffills]
     fields += [T.StructField("_os_pid", T.IntegerType())]
-    scanned = materialize(ranged.mapInPandas(_scan_fn(keys, list(sums), list(lags), list(ffills)), T.StructType(fields)))
+    scanned = materialize(ranged.mapInPandas(_scan_fn(keys, list(sums), list(lags), list(ffills), presorted), T.StructType(fields)))
 
     # Keys on partition edges: first and last key of every partition (<= 2P rows).
     kstruct = F.struct(*[F.col(k) for k in keys])
@@ -170,6 +187,8 @@ def ordered_scan(
         cols[n] = F.when(first_in_part & F.col("_os_c_n").isNotNull() & (F.col("_os_c_n") > 0), F.col(f"_os_p_{n}")).otherwise(F.col(f"_os_ll_{n}"))
     for n in ffills:
         cols[n] = F.coalesce(F.col(f"_os_lf_{n}"), F.col(f"_os_pf_{n}"))
+    if layout_col is not None:
+        cols[layout_col] = F.col("_os_pid")
     out = out.withColumns(cols)
     return out.drop(*[c for c in out.columns if c.startswith("_os_")])
 

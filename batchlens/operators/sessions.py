@@ -121,7 +121,7 @@ def virtual_batches(
     s1 = ordered_scan(
         d, ["__machine"], order,
         lags={"__prev_us": epoch_micros(ts_col), "__prev_active": F.col("__active")},
-        pos_col="__mpos",
+        pos_col="__mpos", layout_col="__layout",
     )
     gap = F.coalesce((epoch_micros(ts_col) - F.col("__prev_us")) / F.lit(60_000_000.0), F.lit(0.0))
     s1 = s1.withColumns(
@@ -134,7 +134,8 @@ def virtual_batches(
     typical = 30.0 if typical is None else float(typical)
     threshold = float(min(720.0, max(30.0, typical * 3.0)))
     new_batch = (F.col("__gap") > F.lit(threshold)) | F.col("__mode_start")
-    s2 = ordered_scan(s1, ["__machine"], order, sums={"__nb": new_batch.cast("int")}, pos_col="__mpos2")
+    # same keys and order as the first scan: reuse its layout, no second range shuffle
+    s2 = ordered_scan(s1, ["__machine"], order, sums={"__nb": new_batch.cast("int")}, pos_col="__mpos2", presorted="__layout")
     token = machine_token(F.col("__machine"))
     gap_id = F.concat(F.lit("AUTO_"), token, F.lit("_"), zfill4((F.col("__nb") + F.lit(1)).cast("bigint")))
     win_id = F.concat(F.lit("AUTO_"), token, F.lit("_"), zfill4(F.floor((F.col("__mpos") - F.lit(1)) / F.lit(60)) + F.lit(1)))

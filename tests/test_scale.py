@@ -104,3 +104,14 @@ def test_refined_quantiles_equal_percentile(spark, monkeypatch):
     assert got.keys() == expect.keys()
     for k in expect:
         assert got[k] == expect[k] or abs(got[k] - expect[k]) < 1e-9, (k, got[k], expect[k])
+
+
+def test_second_scan_reuses_layout_without_shuffle(spark):
+    df = _skewed(spark)
+    w = Window.partitionBy("machine").orderBy("ts", "row_order")
+    ref = df.select("row_order", F.sum(F.when(F.col("v") > 5, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    s1 = ordered_scan(df, ["machine"], ["ts", "row_order"], lags={"pv": F.col("v")}, partitions=7, layout_col="lay")
+    s1 = s1.withColumn("flag", (F.col("v") > 5).cast("int"))
+    s2 = ordered_scan(s1, ["machine"], ["ts", "row_order"], sums={"c2": F.col("flag")}, presorted="lay")
+    bad = s2.join(ref, "row_order").filter(F.col("c2") != F.col("c"))
+    assert s2.count() == df.count() and bad.count() == 0
