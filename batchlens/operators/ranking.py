@@ -11,7 +11,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from batchlens.constants import (
     DEFAULT_SCENARIOS,

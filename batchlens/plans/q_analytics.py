@@ -11,7 +11,7 @@ from batchlens.operators import ranking
 from batchlens.plans import context
 from batchlens.plans import sqlgen as S
 from batchlens.plans.q_compare import _gp_sql
-from batchlens.plans.q_decision import _cand_sql, OBJ
+from batchlens.plans.q_decision import _cand_sql
 from batchlens.plans.registry import query
 from batchlens.sources.tables import process_readings
 

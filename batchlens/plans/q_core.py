@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from batchlens.constants import DEFAULT_SCENARIOS, PRIMARY_OBJECTIVES
 from batchlens.operators import features as feat
 from batchlens.operators import ranking
-from batchlens.operators.stats import iqr_clip, median_impute
+from batchlens.operators.stats import iqr_clip
 from batchlens.plans import context
 from batchlens.plans import sqlgen as S
 from batchlens.plans.registry import query
-from batchlens.plans.structured import batch_join, clean_production, numeric_columns
+from batchlens.plans.structured import clean_production, numeric_columns
 from batchlens.sources.tables import process_readings, production_batches
 
 OBJ = ", ".join(PRIMARY_OBJECTIVES)

@@ -7,7 +7,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from batchlens import constants as K
 from batchlens.operators import compare as C
 from batchlens.operators.sessions import utc_instant, utc_wall_clock
 from batchlens.plans import context
