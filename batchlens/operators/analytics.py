@@ -173,6 +173,8 @@ def rolling_means(readings: DataFrame, batch_col: str, order: Sequence[str], col
         F.row_number().over(w).cast("bigint").alias("pos"),
         *[rint_dp(F.avg(F.col(c).cast("double")).over(frame), 6).alias(f"{c}_Roll") for c in cols],
     )
+    if sizes.filter(F.col("__n") >= big).limit(1).count() == 0:
+        return small_out  # no long batch: skip the ordered-scan path entirely
     large = sized.filter(F.col("__n") >= big).drop("__n")
     return small_out.unionByName(_rolling_scan(large, batch_col, order, cols, min_width, divisor))
 
