@@ -197,3 +197,15 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     ST.run_available_now(agg, out, ck, "update")  # restart: no new input
     assert sorted(ST.read_latest(spark, out, ["w", "machine_id"]).collect()) == first
     assert sum(r.n for r in first) == 200 and len(os.listdir(out)) == epochs
+
+
+def test_decimate_and_stride_thin_long_batches(spark):
+    from batchlens.operators import sampling
+
+    rows = [("LONG", float(i)) for i in range(2000)] + [("SHORT", float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "Batch_ID string, t double").repartition(4)
+    dec = {(r.Batch_ID, r.t) for r in sampling.decimate(df, "Batch_ID", ["t"], 900).collect()}
+    assert dec == {("LONG", float(i)) for i in range(0, 2000, 2)} | {("SHORT", float(i)) for i in range(7)}
+    # 2007 rows > 100 -> per batch 100 // 2 = 50 rows: k = n // 50
+    st = {(r.Batch_ID, r.t) for r in sampling.stride_sample(df, 100, "Batch_ID", ["t"]).collect()}
+    assert st == {("LONG", float(i)) for i in range(0, 2000, 40)} | {("SHORT", float(i)) for i in range(7)}
