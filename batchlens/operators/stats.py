@@ -77,8 +77,14 @@ def quantile_strategy(mode: str | None):
 def strategy_for_input(spark, paths, small_bytes: int = 2 << 30) -> str | None:
     """'map' when the input files are small (total bytes from a file listing;
     no data read), else None (the counted 'auto' decision)."""
+    import glob
+    import os
+
     try:
-        total = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
+        if all("://" not in p for p in paths):  # local paths: stat the files
+            total = sum(os.path.getsize(f) for p in paths for f in glob.glob(p))
+        else:  # shared file systems: a listing job (content column pruned)
+            total = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
     except Exception:  # noqa: BLE001 - unknown size: decide by counting
         return None
     return "map" if total <= small_bytes else None
