@@ -47,11 +47,14 @@ def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_col
         prev_sums = {c: 0.0 for c in sum_cols}
         prev_lags = {c: None for c in lag_cols}
         prev_fill = {c: None for c in fill_cols}
+        first_key, first_open, first_row, last_row = None, True, None, None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             kdf = pdf[keys]
             ktuples = list(kdf.itertuples(index=False, name=None))
+            if first_key is None:
+                first_key = ktuples[0]
             first_is_cont = prev_key is not None and ktuples[0] == prev_key
             change = (kdf != kdf.shift()).any(axis=1).to_numpy()
             change[0] = True
@@ -89,6 +92,14 @@ def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_col
                     filled = filled.where(pd.notna(filled), None)
                 out[f"_os_lf_{c}"] = filled
             last = len(pdf) - 1
+            out["_os_edge"] = np.int8(0)
+            if first_open:  # the first key's run ends where its rows end (keys are sorted)
+                in_first = np.fromiter((k == first_key for k in ktuples), dtype=bool, count=len(ktuples))
+                if in_first.any():
+                    first_row = out[in_first].iloc[[-1]].copy()
+                if not in_first.all():
+                    first_open = False
+            last_row = out.iloc[[last]].copy()
             prev_fill = {c: (None if pd.isna(out[f"_os_lf_{c}"].iloc[last]) else out[f"_os_lf_{c}"].iloc[last]) for c in fill_cols}
             prev_key = ktuples[last]
             prev_pos = int(out["_os_lpos"].iloc[last])
@@ -96,6 +107,16 @@ def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_col
             prev_lags = {c: pdf[f"_os_g_{c}"].iloc[last] for c in lag_cols}
             out["_os_pid"] = pid
             yield out
+        # Edge summaries: the state at the last row of the partition's first and
+        # last key (at most two rows per partition), flagged for the carry.
+        if first_row is not None:
+            edges = [first_row]
+            if tuple(last_row[keys].iloc[0]) != first_key:
+                edges.append(last_row)
+            summary = pd.concat(edges, ignore_index=True)
+            summary["_os_edge"] = np.int8(1)
+            summary["_os_pid"] = pid
+            yield summary
 
     return run
 
@@ -147,36 +168,43 @@ def ordered_scan(
     fields += [T.StructField(f"_os_ls_{n}", T.DoubleType()) for n in sums]
     fields += [T.StructField(f"_os_ll_{n}", d.schema[f"_os_g_{n}"].dataType) for n in lags]
     fields += [T.StructField(f"_os_lf_{n}", d.schema[f"_os_f_{n}"].dataType) for n in ffills]
-    fields += [T.StructField("_os_pid", T.IntegerType())]
+    fields += [T.StructField("_os_pid", T.IntegerType()), T.StructField("_os_edge", T.ByteType())]
     scanned = materialize(ranged.mapInPandas(_scan_fn(keys, list(sums), list(lags), list(ffills), presorted), T.StructType(fields)))
 
-    # Keys on partition edges: first and last key of every partition (<= 2P rows).
-    kstruct = F.struct(*[F.col(k) for k in keys])
-    edges = scanned.groupBy("_os_pid").agg(F.min(kstruct).alias("_os_lo"), F.max(kstruct).alias("_os_hi"))
-    edge_keys = edges.select("_os_pid", F.explode(F.array("_os_lo", "_os_hi")).alias("_os_kk")).select(
-        "_os_pid", *[F.col(f"_os_kk.{k}").alias(k) for k in keys]
-    ).distinct()
-    tot_aggs = [F.max("_os_lpos").alias("_os_n")]
-    tot_aggs += [F.max_by(F.col(f"_os_ls_{n}"), F.col("_os_lpos")).alias(f"_os_t_{n}") for n in sums]
-    tot_aggs += [F.max_by(F.col(f"_os_g_{n}"), F.col("_os_lpos")).alias(f"_os_last_{n}") for n in lags]
-    tot_aggs += [F.max_by(F.col(f"_os_lf_{n}"), F.col("_os_lpos")).alias(f"_os_lastf_{n}") for n in ffills]
-    tot = scanned.join(F.broadcast(edge_keys), on=["_os_pid", *keys], how="inner").groupBy("_os_pid", *keys).agg(*tot_aggs)
-    # The first-row positions and sums of a partition already include what the
-    # same task saw earlier; across partitions the carry is the sum of earlier
-    # partitions' totals for that key, and the lag is their last value.
-    w = Window.partitionBy(*keys).orderBy("_os_pid")
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(
-        "_os_pid", *keys,
-        F.coalesce(F.sum("_os_n").over(prev), F.lit(0)).alias("_os_c_n"),
-        *[F.coalesce(F.sum(f"_os_t_{n}").over(prev), F.lit(0.0)).alias(f"_os_c_{n}") for n in sums],
-        *[F.lag(f"_os_last_{n}").over(w).alias(f"_os_p_{n}") for n in lags],
-        *[F.last(f"_os_lastf_{n}", ignorenulls=True).over(prev).alias(f"_os_pf_{n}") for n in ffills],
+    # Carry from the edge summaries (<= 2 rows per partition): for each edge
+    # key, the counts and sums of earlier partitions, the last value before the
+    # partition (lag) and the last non-NULL value before it (forward fill).
+    summ = scanned.filter(F.col("_os_edge") == 1).select(
+        "_os_pid", *keys, "_os_lpos", *[f"_os_ls_{n}" for n in sums], *[f"_os_g_{n}" for n in lags],
+        *[f"_os_lf_{n}" for n in ffills],
+    ).collect()
+    by_key: dict[tuple, list] = {}
+    for r in summ:
+        by_key.setdefault(tuple(r[k] for k in keys), []).append(r)
+    carry_rows = []
+    for kt, rs in by_key.items():
+        rs.sort(key=lambda r: r["_os_pid"])
+        cn, cs, prev, pf = 0, {n: 0.0 for n in sums}, None, {n: None for n in ffills}
+        for r in rs:
+            carry_rows.append((r["_os_pid"], *kt, cn, *[cs[n] for n in sums],
+                               *[None if prev is None else prev[f"_os_g_{n}"] for n in lags], *[pf[n] for n in ffills]))
+            cn += r["_os_lpos"]
+            for n in sums:
+                cs[n] += r[f"_os_ls_{n}"]
+            for n in ffills:
+                if r[f"_os_lf_{n}"] is not None:
+                    pf[n] = r[f"_os_lf_{n}"]
+            prev = r
+    carry_schema = T.StructType(
+        [T.StructField("_os_pid", T.IntegerType())]
+        + [T.StructField(k, d.schema[k].dataType) for k in keys]
+        + [T.StructField("_os_c_n", T.LongType())]
+        + [T.StructField(f"_os_c_{n}", T.DoubleType()) for n in sums]
+        + [T.StructField(f"_os_p_{n}", d.schema[f"_os_g_{n}"].dataType) for n in lags]
+        + [T.StructField(f"_os_pf_{n}", d.schema[f"_os_f_{n}"].dataType) for n in ffills]
     )
-    # The carry table has at most 2 x P rows (a bound independent of the data
-    # size): compute it once and broadcast the small local copy, so consumers
-    # of the result do not rescan the checkpoint to rebuild it.
-    carry = spark.createDataFrame(carry.collect(), carry.schema)
+    carry = spark.createDataFrame(carry_rows, carry_schema)
+    scanned = scanned.filter(F.col("_os_edge") == 0)
     out = scanned.join(F.broadcast(carry), on=["_os_pid", *keys], how="left")
     first_in_part = F.col("_os_lpos") == F.lit(1)
     cols = {pos_col: F.col("_os_lpos") + F.coalesce(F.col("_os_c_n"), F.lit(0))}
