@@ -53,7 +53,7 @@ def process_agg(process: DataFrame) -> DataFrame:
     )
 
 
-def kpi_features(df: DataFrame, emission_factor: float = DEFAULT_EMISSION_FACTOR) -> DataFrame:
+def kpi_features(df: DataFrame, emission_factor: float = DEFAULT_EMISSION_FACTOR, with_controls: bool = False) -> DataFrame:
     """F2-F8 on a joined production + process table (structured path).
 
     Quality, yield, performance, carbon, health, eco and zone. Eco is computed
@@ -96,7 +96,11 @@ def kpi_features(df: DataFrame, emission_factor: float = DEFAULT_EMISSION_FACTOR
         }
     )
     x = x.withColumn("Process_Health_Score", health_expr(norm_from(s1, "Total_Energy_kWh")))
-    return eco_and_zone(x, s1)
+    if not with_controls:
+        return eco_and_zone(x, s1)
+    shared: dict = {}
+    y = eco_and_zone(x, s1, controls_aggs(x), shared)
+    return ensure_controls(y, shared)
 
 
 def health_expr(norm_energy: Column) -> Column:
@@ -108,13 +112,15 @@ def health_expr(norm_energy: Column) -> Column:
     )
 
 
-def eco_and_zone(x: DataFrame, known: dict | None = None) -> DataFrame:
+def eco_and_zone(x: DataFrame, known: dict | None = None, extra_aggs=(), extra_out: dict | None = None) -> DataFrame:
     """Eco from normalised (rounded) KPIs, then the right-closed zone."""
     known = known or {}
     need = [c for c in ["Yield_Percent", "Quality_Score", "Carbon_kg", "Total_Energy_kWh", "Duration_Minutes"]
             if f"min_{c}" not in known]
     s2 = dict(known)
-    s2.update(stats_row(x, minmax_aggs(need)))
+    s2.update(stats_row(x, minmax_aggs(need) + list(extra_aggs)))
+    if extra_out is not None:  # statistics of other operators folded into this pass
+        extra_out.update(s2)
     eco01 = (
         F.lit(0.40) * norm_from(s2, "Yield_Percent")
         + F.lit(0.15) * norm_from(s2, "Quality_Score")
@@ -126,7 +132,18 @@ def eco_and_zone(x: DataFrame, known: dict | None = None) -> DataFrame:
     return y.withColumn("Green_Zone", zone_feature("Eco_Efficiency_Score"))
 
 
-def ensure_controls(f: DataFrame) -> DataFrame:
+def controls_aggs(f: DataFrame) -> list:
+    """The statistics ``ensure_controls`` needs, as aggregates over ``f``
+    (so another pass over the same rows can compute them)."""
+    return _controls(f, None)
+
+
+def ensure_controls(f: DataFrame, stats: dict | None = None) -> DataFrame:
+    """C5 (see ``_controls``); ``stats`` may come from a shared pass."""
+    return _controls(f, stats if stats is not None else {})
+
+
+def _controls(f: DataFrame, stats: dict | None):
     """Derive the domain control columns and the 8 configured controls.
 
     Present columns are used (NULL -> derived default); absent ones are derived
@@ -159,7 +176,9 @@ def ensure_controls(f: DataFrame) -> DataFrame:
     present_controls = [c for c in CONTROL_PARAMETERS if c in cols and c != "Machine_Speed"]
     aggs += [pct(to_double(c), 0.5).alias(f"med_{c}") for c in present_controls]
     aggs.append(pct(quality, 0.5).alias("med_q"))
-    st = stats_row(f, aggs)
+    if stats is None:
+        return aggs
+    st = stats if stats else stats_row(f, aggs)
     # Median of (1 - norm(q)) * 20 + 6 is that map applied to median(q): the
     # map is affine and monotone, so no second pass is needed.
     if st["min_q"] is None or abs(st["max_q"] - st["min_q"]) <= 1e-8:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.constants import DEFAULT_EMISSION_FACTOR
-from batchlens.operators.features import ensure_controls, kpi_features, process_agg
+from batchlens.operators.features import kpi_features, process_agg
 from batchlens.operators.stats import iqr_clip, materialize, median_impute
 
 
@@ -54,6 +54,7 @@ def build_features(
     merged, filled = batch_join(production, process)
     merged = materialize(merged)
     clipped, clip_counter = iqr_clip(merged, numeric_columns(merged))
-    features = ensure_controls(kpi_features(clipped, emission_factor))
+    # KPIs and control columns; the controls' statistics share the eco pass
+    features = kpi_features(clipped, emission_factor, with_controls=True)
     report = {"missing_values_filled": filled, "clip_counter": clip_counter}
     return StructuredResult(features, merged, report)
