@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import quality, secrets
+from . import packing, quality, secrets, token_store
 from .common import table
+from .tokens import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None):
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), x -> x <> '') AS w
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
   FROM documents
 ), g AS (
   SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 6, 1))) AS r(i)
@@ -44,7 +45,7 @@ WITH d AS (
   SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
 ), l AS (
   SELECT rid, line, length(translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS chars,
-    len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), x -> x <> '')) AS n,
+    len(list_filter(regexp_split_to_array(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS n,
     length(line) - length(translate(line, '#*$%&|<>', '')) AS symbols,
     length(line) - length(translate(line, '|>»·', '')) AS bars,
     length(line) - length(translate(line, '!', '')) AS shouts
@@ -86,3 +87,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.span_text(F.col("spans")).alias("spans"),
         "n_random",
     )
+
+
+@query("op5_token_store")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as directly addressable segments and read back."""
+    written = token_store.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_store.read_tokens(written)
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
