@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, packing, quality, secrets, substring, token_store
+from . import bpe, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -119,3 +119,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document after removal of passages of 35 or more words that occur twice."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles agree to 85 percent."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
