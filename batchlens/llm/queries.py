@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, near_dedup, packing, quality, secrets, substring, token_store
+from . import bpe, embed_dedup, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -125,3 +125,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles agree to 85 percent."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op4_embedding_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal labels at cosine 0.93."""
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
