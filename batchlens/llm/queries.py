@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, embed_dedup, near_dedup, packing, quality, secrets, substring, token_store
+from . import bpe, embed_dedup, html_text, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -131,3 +131,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of equal labels at cosine 0.93."""
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
