@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, embed_dedup, html_text, near_dedup, packing, quality, secrets, substring, token_store
+from . import bpe, embed_dedup, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -137,3 +137,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_lm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and self-attention log probabilities of all documents."""
+    return lm.score(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
