@@ -171,30 +171,50 @@ def passages(at: int, mask: int, window: int):
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton over word numbers; words outside all passages share number 0."""
+    """Aho-Corasick automaton over word numbers. A number is written as two digits of different ranges, so
+    no state has more than ``DIGIT`` successors (they are searched one by one) and a match starts and ends
+    between words. Words of no passage have number -1; a passage only lies in runs without them."""
+
+    DIGIT = 512
 
     def __init__(self, phrases: list[list[bytes]]):
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
+        self.shortest = min(map(len, phrases), default=0)
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for words in phrases:
-            key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words)
-            self.tree.add_word(key, len(key))
+            for w in words:
+                self.numbers.setdefault(w, len(self.numbers))
+        if len(self.numbers) >= self.DIGIT**2:  # more distinct words: wider digits
+            self.DIGIT = int(len(self.numbers) ** 0.5) + 1
+        for words in phrases:
+            self.tree.add_word(self._digits(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))), len(words))
         if phrases:
             self.tree.make_automaton()
 
+    def _digits(self, numbers: np.ndarray) -> tuple[int, ...]:
+        out = np.empty(2 * len(numbers), np.int64)
+        out[0::2] = numbers // self.DIGIT
+        out[1::2] = numbers % self.DIGIT + self.DIGIT
+        return tuple(out.tolist())
+
     def covered(self, words: list[bytes]) -> np.ndarray | None:
         """True for each word inside an occurrence of a passage; None if there is none."""
-        if not self.numbers:
+        if not self.numbers or len(words) < self.shortest:
             return None
         get = self.numbers.get
+        numbers = np.array([get(w, -1) for w in words], np.int64)
+        gaps = np.concatenate([[-1], np.flatnonzero(numbers < 0), [len(words)]])
         edges = None
-        for end, n in self.tree.iter(tuple([get(w, 0) for w in words])):
-            if edges is None:
-                edges = np.zeros(len(words) + 1, np.int32)
-            edges[end + 1 - n] += 1
-            edges[end + 1] -= 1
+        for k in np.flatnonzero(np.diff(gaps) > self.shortest).tolist():
+            start = int(gaps[k]) + 1
+            for end, n in self.tree.iter(self._digits(numbers[start : gaps[k + 1]])):
+                if edges is None:
+                    edges = np.zeros(len(words) + 1, np.int32)
+                stop = start + end // 2 + 1
+                edges[stop - n] += 1
+                edges[stop] -= 1
         return None if edges is None else np.cumsum(edges[:-1]) > 0
 
 
@@ -222,6 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                         words = text.split()
                         phrases += [words[a:b] for at, mask in wanted for a, b in passages(at, mask, window)]
         automaton = PhraseAutomaton(phrases)
+        del phrases
         n_words, n_removed, kept = [], [], []
         for chunk in texts.select(["text"]).to_batches(max_chunksize=200):
             for text in chunk.column(0).to_pylist():
