@@ -9,29 +9,18 @@ makes each later stage re-embed the whole upstream plan (exponential plan
 growth across the 4-5 chained passes of the KPI derivation).
 
 Quantiles are exact (linear interpolation between order statistics, as
-``percentile`` / ``quantile_cont``). Spark's ``percentile`` keeps a value->count
-map of the whole column in one task's memory, which does not scale to
-1e11-row tables, so ``stats_row`` picks a strategy (session conf
-``spark.batchlens.quantiles``):
-
-* ``map``: one pass with ``percentile`` (all quantiles of one expression
-  share one map);
-* ``refine``: exact order statistics by bucket refinement: each pass is one
-  scan whose output is a histogram of at most buckets x targets rows (bounded,
-  independent of the data size); the bucket holding the wanted rank becomes
-  the next interval, until it holds one distinct value or few enough values to
-  fetch (``collect_max``);
-* ``auto`` (default): a first pass counts the rows; up to
-  ``spark.batchlens.quantiles.mapMaxRows`` (5e6) rows use ``map``, above it
-  ``refine``.
+``percentile`` / ``quantile_cont``), by one path for every input size: a
+``percentile_approx`` pass brackets each wanted rank, a counting pass finds how
+many values lie below and inside every bracket, and once a bracket holds few
+values its distinct values are fetched with their counts. A bracket that still
+holds many values is narrowed again by the same two passes. No task ever holds
+a value map of a whole column, and no row is exploded into one per column.
 
 ``accuracy=`` switches a quantile to ``percentile_approx`` explicitly.
 """
 
 from __future__ import annotations
 
-import contextlib
-import contextvars
 import math
 from collections.abc import Iterable, Sequence
 
@@ -43,7 +32,7 @@ from batchlens.session import cut_lineage
 
 
 class Quantile:
-    """A quantile request inside ``stats_row`` (resolved by the strategy above)."""
+    """A quantile request inside ``stats_row`` (resolved as above)."""
 
     def __init__(self, expr: Column, q: float, accuracy: int | None = None, name: str | None = None):
         self.expr, self.q, self.accuracy, self.name = expr, float(q), accuracy, name
@@ -56,45 +45,8 @@ def pct(col: str | Column, q: float, accuracy: int | None = None) -> Quantile:
     return Quantile(F.col(col) if isinstance(col, str) else col, q, accuracy)
 
 
-MAP_MAX_ROWS_DEFAULT = 5_000_000
-BUCKETS = 1024
-COLLECT_MAX = 50_000
-
-
-_STRATEGY: contextvars.ContextVar[str | None] = contextvars.ContextVar("batchlens_quantiles", default=None)
-
-
-@contextlib.contextmanager
-def quantile_strategy(mode: str | None):
-    """Scope a quantile strategy ('map', 'refine', 'auto' or None = session conf)."""
-    token = _STRATEGY.set(mode)
-    try:
-        yield
-    finally:
-        _STRATEGY.reset(token)
-
-
-def strategy_for_input(spark, paths, small_bytes: int = 2 << 30) -> str | None:
-    """'map' when the input files are small (total bytes from a file listing;
-    no data read), else None (the counted 'auto' decision)."""
-    import glob
-    import os
-
-    try:
-        if all("://" not in p for p in paths):  # local paths: stat the files
-            total = sum(os.path.getsize(f) for p in paths for f in glob.glob(p))
-        else:  # shared file systems: a listing job (content column pruned)
-            total = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - unknown size: decide by counting
-        return None
-    return "map" if total <= small_bytes else None
-
-
-def _mode(spark) -> str:
-    hint = _STRATEGY.get()
-    if hint:
-        return hint
-    return (spark.conf.get("spark.batchlens.quantiles", "auto") or "auto").lower()
+ACCURACY = 2_000
+COLLECT_MAX = 20_000
 
 
 def _interpolate(n: int, q: float, values: dict[int, float]) -> float | None:
@@ -116,66 +68,67 @@ def _ranks(n: int, qs) -> set[int]:
 
 
 def order_statistics(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, set[int]], base: dict[str, tuple]) -> dict[str, dict[int, float]]:
-    """Exact k-th smallest values (0-based ranks) of several expressions by
-    bucket refinement. ``base``: key -> (n, min, max) from a previous pass."""
+    """Exact k-th smallest values (0-based ranks) of several expressions.
+    ``base``: key -> (n, min, max) from a previous pass."""
     found: dict[str, dict[int, float]] = {k: {} for k in exprs}
-    # target: (key, rank) -> [lo, hi, rank within interval]
-    active = {}
+    open_: dict[tuple, tuple] = {}  # (key, rank) -> interval, values below it, values inside
     for k, rs in ranks.items():
         n, lo, hi = base[k]
         for r in rs:
-            if lo == hi:
-                found[k][r] = lo
+            open_[(k, r)] = (lo, hi, 0, n)
+    value = {k: e.cast("double") for k, e in exprs.items()}
+    fetch: dict[tuple, tuple] = {}
+    while open_:
+        for t in [t for t, (lo, hi, _b, _c) in open_.items() if lo == hi]:
+            found[t[0]][t[1]] = open_.pop(t)[0]
+        for t in [t for t, (_lo, _hi, _b, c) in open_.items() if c <= COLLECT_MAX]:
+            fetch[t] = open_.pop(t)
+        if not open_:
+            break
+        probes = []
+        margin = 2.0 / ACCURACY
+        for i, ((k, r), (lo, hi, below, inside)) in enumerate(open_.items()):
+            q = (r - below + 0.5) / inside
+            ends = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
+            x = F.when(value[k].between(F.lit(lo), F.lit(hi)), value[k])
+            probes.append(F.percentile_approx(x, ends, ACCURACY).alias(f"p{i}"))
+        ends = df.agg(*probes).first()
+        counts = []
+        for i, (k, _r) in enumerate(open_):
+            lo, hi = ends[f"p{i}"]
+            counts += [F.count_if(value[k] < F.lit(lo)).alias(f"b{i}"), F.count_if(value[k].between(F.lit(lo), F.lit(hi))).alias(f"c{i}")]
+        row = df.agg(*counts).first()
+        after = {}
+        for i, (t, (lo, hi, below, inside)) in enumerate(open_.items()):
+            (nlo, nhi), b, c = ends[f"p{i}"], row[f"b{i}"], row[f"c{i}"]
+            if not b <= t[1] < b + c:  # the sketch missed the rank: fetch by distinct value
+                fetch[t] = (lo, hi, below, inside)
+            elif c > inside // 2 and nlo != nhi:  # a few very frequent values: no further narrowing
+                fetch[t] = (nlo, nhi, b, c)
             else:
-                active[(k, r)] = [lo, hi, r]
-    fetch = {}
-    while active:
-        groups: dict[tuple, list] = {}
-        for t, (lo, hi, _r) in active.items():
-            groups.setdefault((t[0], lo, hi), []).append(t)
-        entries = []
-        gids = list(groups)
-        for gid, (k, lo, hi) in enumerate(gids):
-            x = exprs[k].cast("double")
-            bucket = F.least(F.lit(BUCKETS - 1), F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(BUCKETS)).cast("int"))
-            entries.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(gid).alias("g"), bucket.alias("b"), x.alias("x"))))
-        hist = (
-            df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-            .groupBy(F.col("e.g").alias("g"), F.col("e.b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("c"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx"))
-            .collect()
-        )
-        by_group: dict[int, list] = {}
-        for row in hist:
-            by_group.setdefault(row["g"], []).append(row)
-        nxt = {}
-        for gid, key in enumerate(gids):
-            rows = sorted(by_group.get(gid, []), key=lambda r: r["b"])
-            for t in groups[key]:
-                rr = active[t][2]
-                before = 0
-                for row in rows:
-                    if before + row["c"] > rr:
-                        rr -= before
-                        if row["mn"] == row["mx"]:
-                            found[t[0]][t[1]] = row["mn"]
-                        elif row["c"] <= COLLECT_MAX:
-                            fetch[t] = (row["mn"], row["mx"], rr)
-                        else:
-                            nxt[t] = [row["mn"], row["mx"], rr]
-                        break
-                    before += row["c"]
-        active = nxt
-    for (k, r), (lo, hi, rr) in fetch.items():
-        x = exprs[k].cast("double")
-        vals = sorted(v[0] for v in df.select(x.alias("v")).filter(F.col("v").between(F.lit(lo), F.lit(hi))).collect())
-        found[k][r] = vals[rr]
+                after[t] = (nlo, nhi, b, c)
+        open_ = after
+    if fetch:
+        spans = {}
+        for (k, _r), (lo, hi, _b, _c) in fetch.items():
+            spans.setdefault((k, lo, hi), len(spans))
+        hits = [F.when(value[k].between(F.lit(lo), F.lit(hi)), F.struct(F.lit(g).alias("g"), value[k].alias("x"))) for (k, lo, hi), g in spans.items()]
+        rows = df.select(F.explode(F.filter(F.array(*hits), lambda e: e.isNotNull())).alias("e")).groupBy("e.g", "e.x").count().collect()
+        by_span: dict[int, list] = {}
+        for r in rows:
+            by_span.setdefault(r["g"], []).append((r["x"], r["count"]))
+        for (k, r), (lo, hi, below, _c) in fetch.items():
+            for x, c in sorted(by_span[spans[(k, lo, hi)]]):
+                below += c
+                if r < below:
+                    found[k][r] = x
+                    break
     return found
 
 
 def stats_row(df: DataFrame, aggs: Sequence) -> dict:
     """Run one global aggregation and return its single row as a dict.
-    ``Quantile`` entries are resolved exactly with a scalable strategy."""
+    ``Quantile`` entries are resolved exactly."""
     if not aggs:
         return {}
     cols = [a for a in aggs if not isinstance(a, Quantile)]
@@ -189,30 +142,12 @@ def stats_row(df: DataFrame, aggs: Sequence) -> dict:
     for qq in exact:
         keyed.setdefault(str(qq.expr), (qq.expr, []))[1].append(qq)
     keys = {k: f"__q{i}" for i, k in enumerate(keyed)}
-    mode = _mode(df.sparkSession)
-    if mode == "map":
-        cols += [F.percentile(e, F.array(*[F.lit(qq.q) for qq in lst])).alias(keys[k]) for k, (e, lst) in keyed.items()]
-        row = df.agg(*cols).first().asDict()
-        out = {c: v for c, v in row.items() if not c.startswith("__q")}
-        for k, (_e, lst) in keyed.items():
-            vals = row[keys[k]]
-            for i, qq in enumerate(lst):
-                out[qq.name] = None if vals is None else vals[i]
-        return out
     base_aggs = list(cols)
     for k, (e, _lst) in keyed.items():
         x = e.cast("double")
         base_aggs += [F.count(x).alias(f"{keys[k]}_n"), F.min(x).alias(f"{keys[k]}_lo"), F.max(x).alias(f"{keys[k]}_hi")]
     row = df.agg(*base_aggs).first().asDict()
     out = {c: v for c, v in row.items() if not c.startswith("__q")}
-    max_rows = int(df.sparkSession.conf.get("spark.batchlens.quantiles.mapMaxRows", str(MAP_MAX_ROWS_DEFAULT)))
-    if mode == "auto" and max(row[f"{keys[k]}_n"] for k in keyed) <= max_rows:
-        qrow = df.agg(*[F.percentile(e, F.array(*[F.lit(qq.q) for qq in lst])).alias(keys[k]) for k, (e, lst) in keyed.items()]).first()
-        for k, (_e, lst) in keyed.items():
-            vals = qrow[keys[k]]
-            for i, qq in enumerate(lst):
-                out[qq.name] = None if vals is None else vals[i]
-        return out
     exprs = {keys[k]: e for k, (e, _l) in keyed.items()}
     base = {keys[k]: (row[f"{keys[k]}_n"], row[f"{keys[k]}_lo"], row[f"{keys[k]}_hi"]) for k in keyed}
     ranks = {keys[k]: _ranks(base[keys[k]][0], [qq.q for qq in lst]) if base[keys[k]][0] else set() for k, (_e, lst) in keyed.items()}

@@ -18,7 +18,8 @@ from batchlens.functions.zones import zone_feature
 from batchlens.operators.features import ensure_controls, health_expr
 from batchlens.operators.schema_map import resolve_engine
 from batchlens.operators.sessions import elapsed_minutes, fill_batch_ids, repair_timestamps, step_minutes, virtual_batches
-from batchlens.operators.stats import materialize, minmax_aggs, norm_from, pct, stats_row
+from batchlens.session import stored
+from batchlens.operators.stats import minmax_aggs, norm_from, pct, stats_row
 
 SIGNALS = [
     "temperature_c", "pressure_bar", "humidity_percent", "motor_speed_rpm", "compression_force_kn",
@@ -219,10 +220,10 @@ def run_adaptive(
     src: DataFrame, order_col: str, emission_factor: float = DEFAULT_EMISSION_FACTOR, rows_production: int = 0
 ) -> AdaptiveResult:
     rows, resolved, generated, session = prepare_rows(src, order_col)
-    rows = materialize(rows)
+    rows = stored(rows)
     ts, step, filled = build_timeseries(rows, order_col)
-    ts = materialize(ts)
-    agg = materialize(adaptive_agg(ts))
+    ts = stored(ts)
+    agg = stored(adaptive_agg(ts))
     features = scrub(ensure_controls(adaptive_kpis(agg, emission_factor)))
     has_energy = "power_kw" in resolved or "energy_kwh" in resolved
     has_quality = any(k in resolved for k in ("quality_score", "defect_rate", "error_rate"))

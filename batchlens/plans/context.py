@@ -1,29 +1,43 @@
 """Per-session reuse of the derived per-batch tables.
 
 Many queries start from the same feature table. It is built once per
-(Spark application, input folder), checkpointed into the session's
-checkpoint folder, and reused; this is the in-process counterpart of the
-versioned feature store in ``sources/store.py``.
+(Spark application, input files: path, size, change time), written as Parquet
+to the shared checkpoint folder and read back, so later queries read only the
+columns they need and push their filters into the scan; this is the in-process
+counterpart of the versioned feature store in ``sources/store.py``.
 """
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 from batchlens.constants import DEFAULT_EMISSION_FACTOR
-from batchlens.operators.stats import materialize
+from batchlens.session import stored
 from batchlens.plans.structured import StructuredResult, build_features
 from batchlens.sources.tables import process_readings, production_batches
 
+#: Tables behind the domain views.
+INPUTS = ("orders", "lineitem", "events")
 _LOCK = threading.Lock()
 _CACHE: dict[tuple, object] = {}
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Fingerprint of the input files by their listing (any file system Spark reads)."""
+    out = []
+    for t in INPUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            content = fs.getContentSummary(path)
+            out.append((t, content.getFileCount(), content.getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
 def _key(spark: SparkSession, sf_dir: str, *extra) -> tuple:
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), *extra)
+    return (spark.sparkContext.applicationId, sf_dir, _listing(spark, sf_dir), *extra)
 
 
 def structured(spark: SparkSession, sf_dir: str, emission_factor: float = DEFAULT_EMISSION_FACTOR) -> StructuredResult:
@@ -33,7 +47,7 @@ def structured(spark: SparkSession, sf_dir: str, emission_factor: float = DEFAUL
     if hit is not None:
         return hit  # type: ignore[return-value]
     res = build_features(production_batches(spark, sf_dir), process_readings(spark, sf_dir), emission_factor)
-    res.features = materialize(res.features)
+    res.features = stored(res.features)
     with _LOCK:
         _CACHE[key] = res
     return res
@@ -50,7 +64,7 @@ def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         hit = _CACHE.get(key)
     if hit is not None:
         return hit  # type: ignore[return-value]
-    df = materialize(build())
+    df = stored(build())
     with _LOCK:
         _CACHE[key] = df
     return df
@@ -72,7 +86,7 @@ def adaptive(spark: SparkSession, sf_dir: str, emission_factor: float = DEFAULT_
     if hit is not None:
         return hit
     res = run_adaptive(sensor_readings(spark, sf_dir), "row_order", emission_factor)
-    res.features = materialize(res.features)
+    res.features = stored(res.features)
     with _LOCK:
         _CACHE[key] = res
     return res
@@ -95,17 +109,3 @@ def golden_profile(spark: SparkSession, sf_dir: str, scenario: str = "Balanced",
     with _LOCK:
         _CACHE[key] = row
     return row
-
-
-def input_strategy(spark: SparkSession, sf_dir: str):
-    """Quantile strategy for queries over ``sf_dir`` (memoised per folder)."""
-    from batchlens.operators.stats import strategy_for_input
-
-    key = _key(spark, sf_dir, "quantile_strategy")
-    with _LOCK:
-        if key in _CACHE:
-            return _CACHE[key]
-    mode = strategy_for_input(spark, [os.path.join(sf_dir, "*.parquet")])
-    with _LOCK:
-        _CACHE[key] = mode
-    return mode

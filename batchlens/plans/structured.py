@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from batchlens.constants import DEFAULT_EMISSION_FACTOR
 from batchlens.operators.features import kpi_features, process_agg
-from batchlens.operators.stats import iqr_clip, materialize, median_impute
+from batchlens.session import stored
+from batchlens.operators.stats import iqr_clip, median_impute
 
 
 @dataclass
@@ -42,7 +43,7 @@ def batch_join(production: DataFrame, process: DataFrame) -> tuple[DataFrame, in
 
     Returns (joined per-batch table, number of cells median-filled)."""
     prod_clean, prod_filled = clean_production(production)
-    agg = materialize(process_agg(process))
+    agg = stored(process_agg(process))
     agg_clean, agg_filled = median_impute(agg, numeric_columns(agg))
     merged = prod_clean.join(agg_clean, on="Batch_ID", how="left")
     return merged, prod_filled + agg_filled
@@ -52,7 +53,7 @@ def build_features(
     production: DataFrame, process: DataFrame, emission_factor: float = DEFAULT_EMISSION_FACTOR
 ) -> StructuredResult:
     merged, filled = batch_join(production, process)
-    merged = materialize(merged)
+    merged = stored(merged)
     clipped, clip_counter = iqr_clip(merged, numeric_columns(merged))
     # KPIs and control columns; the controls' statistics share the eco pass
     features = kpi_features(clipped, emission_factor, with_controls=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,33 +34,36 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests, laptops)
-    fall back to a fresh local scratch folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local master, whose
+    tasks all run on this machine, may go without: it gets a scratch folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="batchlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared checkpoint folder: readers
+    prune its columns and push filters into its scan."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable ``checkpoint()`` into the shared checkpoint
-    folder (``spark.checkpoint.dir``): the files are durable, so a lost
-    executor never forces recomputation of the upstream plan. The frame is
-    persisted for the duration of the checkpoint so the plan is computed once
-    (checkpointing an unpersisted RDD recomputes it for the write)."""
+    folder, for frames whose partition layout is needed afterwards (see
+    ``operators/ordering.py``; files may be split and merged by their reader).
+    The frame is persisted for the duration of the checkpoint so the plan is
+    computed once (checkpointing an unpersisted RDD recomputes it)."""
     from pyspark import StorageLevel
 
     ensure_checkpoint_dir(df.sparkSession)
-    if os.environ.get("BATCHLENS_MATERIALIZE") == "parquet":
-        import uuid
-
-        path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
     df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return df.checkpoint(eager=True)

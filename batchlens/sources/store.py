@@ -4,7 +4,7 @@ Layout under a shared root (default: ``<spark.checkpoint.dir>/feature_store``):
 ``<root>/<fingerprint>/<table>/`` parquet and ``<root>/<fingerprint>/_manifest``
 (one JSON row: version, fingerprint, per-table row count and content hash).
 A read is a hit only if the manifest exists, its fingerprint matches and every
-table's count and ``bit_xor(xxhash64(*cols))`` match what is on disk; anything
+table's count and sum of row hashes match what is on disk; anything
 else rebuilds. Everything goes through Spark readers/writers, so the root can
 be any shared file system the cluster mounts.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ def default_root(spark: SparkSession) -> str:
 
 
 def content_hash(df: DataFrame) -> tuple[int, int]:
-    """(row count, order-independent XOR of per-row 64-bit hashes)."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("h")).first()
-    return int(row["n"]), int(row["h"])
+    """(row count, sum of the per-row 64-bit hashes modulo 2**61): the same in any
+    row order, and equal rows don't cancel out."""
+    total = F.sum(F.xxhash64(*[f"`{c}`" for c in df.columns]).cast("decimal(38,0)"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(total, F.lit(0)).alias("h")).first()
+    return int(row["n"]), int(row["h"]) % 2**61
 
 
 def _manifest_path(root: str, fp: str) -> str:
@@ -44,7 +47,7 @@ def write_tables(spark: SparkSession, root: str, fp: str, tables: Mapping[str, D
         entries.append((name, n, h))
     manifest = spark.createDataFrame(
         [(STORE_VERSION, fp, name, n, h, dict(extra or {})) for name, n, h in entries],
-        "version string, fingerprint string, table_name string, rows bigint, xor_hash bigint, meta map<string,string>",
+        "version string, fingerprint string, table_name string, rows bigint, row_hash bigint, meta map<string,string>",
     )
     manifest.coalesce(1).write.mode("overwrite").json(_manifest_path(root, fp))
     return {name: (n, h) for name, n, h in entries}
@@ -54,18 +57,18 @@ def read_tables(spark: SparkSession, root: str, fp: str, names: list[str]) -> di
     """Return the tables when the manifest and every integrity check agree, else None."""
     try:
         man = spark.read.schema(
-            "version string, fingerprint string, table_name string, rows bigint, xor_hash bigint, meta map<string,string>"
+            "version string, fingerprint string, table_name string, rows bigint, row_hash bigint, meta map<string,string>"
         ).json(_manifest_path(root, fp)).collect()
-    except Exception:  # noqa: BLE001 - missing or unreadable manifest is a miss
+    except AnalysisException:  # no manifest: a miss
         return None
-    expected = {r["table_name"]: (r["rows"], r["xor_hash"]) for r in man if r["fingerprint"] == fp and r["version"] == STORE_VERSION}
+    expected = {r["table_name"]: (r["rows"], r["row_hash"]) for r in man if r["fingerprint"] == fp and r["version"] == STORE_VERSION}
     if set(names) - set(expected):
         return None
     out = {}
     for name in names:
         try:
             df = spark.read.parquet(os.path.join(root, fp, name))
-        except Exception:  # noqa: BLE001
+        except AnalysisException:
             return None
         if content_hash(df) != expected[name]:
             return None

@@ -92,15 +92,12 @@ def test_refined_quantiles_equal_percentile(spark, monkeypatch):
     df = spark.createDataFrame([(v, (v or 0.0) * 2 - 3) for v in vals], "a double, b double").repartition(6)
     aggs = [stats.pct("a", q).alias(f"a{q}") for q in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)]
     aggs += [stats.pct(F.col("b") * 0.5, 0.33).alias("b33"), F.count("a").alias("n")]
-    spark.conf.set("spark.batchlens.quantiles", "map")
-    expect = stats.stats_row(df, aggs)
-    monkeypatch.setattr(stats, "BUCKETS", 8)
+    names = {q: f"a{q}" for q in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)}
+    exact = [F.percentile("a", q).alias(n) for q, n in names.items()] + [F.percentile(F.col("b") * 0.5, 0.33).alias("b33"), F.count("a").alias("n")]
+    expect = df.agg(*exact).first().asDict()
+    monkeypatch.setattr(stats, "ACCURACY", 50)
     monkeypatch.setattr(stats, "COLLECT_MAX", 40)
-    try:
-        spark.conf.set("spark.batchlens.quantiles", "refine")
-        got = stats.stats_row(df, aggs)
-    finally:
-        spark.conf.unset("spark.batchlens.quantiles")
+    got = stats.stats_row(df, aggs)
     assert got.keys() == expect.keys()
     for k in expect:
         assert got[k] == expect[k] or abs(got[k] - expect[k]) < 1e-9, (k, got[k], expect[k])
