@@ -223,3 +223,6 @@ REPORT_SECTION_RECS = "\u2500\u2500 AI RECOMMENDATIONS \u2500\u2500"
 COMPLIANT = "\u2705 COMPLIANT"
 NON_COMPLIANT = "\u274c NON-COMPLIANT"
 # ------------------------------------------------------------ END FIXED VALUES
+
+# Words that mark a column of a process table.
+SNIFF_KEYWORDS = ["time", "timestamp", "minute", "temperature", "motor", "rpm", "pressure", "flow"]

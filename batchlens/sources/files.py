@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.constants import SNIFF_KEYWORDS
+
+FORMATS = ("parquet", "csv", "json")
+
+
+def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """A1: a table from Parquet, CSV with a header line (all cells text, as
+    written: they are coerced after the columns are mapped) or JSON lines. The
+    format is that of the name's ending unless given."""
+    if fmt is None:
+        fmt = next((f for f in FORMATS if path.rstrip("/").lower().endswith((f".{f}", f".{f}.gz"))), "parquet")
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt}: one of {', '.join(FORMATS)}")
+    reader = spark.read
+    if fmt == "csv":
+        reader = reader.option("header", True).option("multiLine", False).option("escape", '"')
+    return reader.format(fmt).load(path)
+
 
 def read_tagged(spark: SparkSession, paths: Sequence[str], projections: Sequence[Sequence[str]] | None = None,
                 tag: str = "Source_Sheet") -> DataFrame:
@@ -15,7 +36,7 @@ def read_tagged(spark: SparkSession, paths: Sequence[str], projections: Sequence
     ``projections``: optional select-expressions per path (pruned scans)."""
     frames = []
     for i, p in enumerate(paths):
-        raw = spark.read.parquet(p)
+        raw = read_table(spark, p)
         exprs = list(projections[i]) if projections else ["*"]
         frames.append(raw.selectExpr(*exprs, f"_metadata.file_name AS {tag}"))
     out = frames[0]
@@ -26,13 +47,14 @@ def read_tagged(spark: SparkSession, paths: Sequence[str], projections: Sequence
 
 def fingerprint(spark: SparkSession, paths: Sequence[str], version: str, emission_factor: float) -> DataFrame:
     """SHA-256 over (version, emission factor, and every input file's path,
-    size and modification time in path order). File listing only: the
+    size and modification time, in any order). File listing only: the
     ``binaryFile`` source prunes the content column, no data is read."""
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
-    entries = F.sort_array(F.collect_list(F.concat_ws("|", "path", F.col("length").cast("string"),
-                                                      F.col("modificationTime").cast("long").cast("string"))))
+    entry = F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("long").cast("string")), 256)
+    # the sums of four 60-bit parts of all entry hashes: any order, one row, no list of files
+    parts = [F.sum(F.conv(F.substring(entry, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
     return files.agg(
-        F.sha2(F.concat_ws("\n", F.lit(version), F.lit(repr(float(emission_factor))), F.array_join(entries, "\n")), 256).alias("fingerprint"),
+        F.sha2(F.concat_ws("\n", F.lit(version), F.lit(repr(float(emission_factor))), F.count(F.lit(1)).cast("string"), *parts), 256).alias("fingerprint"),
         F.count(F.lit(1)).alias("n_files"),
         F.sum("length").alias("total_bytes"),
     )
@@ -44,7 +66,7 @@ def first_non_empty(readers) -> DataFrame | None:
     for read in readers:
         try:
             df = read()
-        except Exception:  # noqa: BLE001 - an unreadable source is skipped
+        except (AnalysisException, OSError):  # no such path, no files, no schema, not readable
             continue
         if df is not None and df.limit(1).count() > 0:
             return df
@@ -56,15 +78,15 @@ def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
     file): read when present, else None. It is carried along, never queried."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent side table
+    except AnalysisException:  # no such path
         return None
 
 
-SNIFF_KEYWORDS = ["time", "timestamp", "minute", "temperature", "motor", "rpm", "pressure", "flow"]
+_SENSOR_WORD = re.compile("|".join(map(re.escape, SNIFF_KEYWORDS)), re.IGNORECASE)
 
 
 def looks_like_process_table(columns) -> bool:
-    """A single file is a process-data candidate when at least two column
-    names contain a time or sensor keyword (schema only, no data read)."""
-    names = [str(c).lower() for c in columns]
-    return sum(1 for c in names if any(k in c for k in SNIFF_KEYWORDS)) >= 2
+    """A single file is a process-data candidate when two or more of its
+    column names hold a time or sensor word (schema only, no data read)."""
+    sensor_columns = filter(_SENSOR_WORD.search, map(str, columns))
+    return len(list(islice(sensor_columns, 2))) == 2
