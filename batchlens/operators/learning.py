@@ -80,6 +80,8 @@ def search(profiles: DataFrame, sur: Surrogates, seed_col: str, n: int = 40, spr
     and eco re-derived; per profile the best composite replaces the golden
     one only when strictly better."""
     inputs = sur.inputs
+    keep = [*inputs, *PRIMARY_OBJECTIVES]
+    profiles = profiles.withColumn("__golden", F.struct(*[F.col(c).cast("double").alias(c) for c in keep]))
     s = F.col(seed_col).cast("bigint")
     cand = profiles.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(n))))
     pert = {c: F.col(c).cast("double") * (F.lit(1.0) + uniform(s * F.lit(1000) + F.col("__k"), j + 1, -spread, spread))
@@ -102,9 +104,9 @@ def search(profiles: DataFrame, sur: Surrogates, seed_col: str, n: int = 40, spr
     ) * F.lit(100.0)
     cand = cand.withColumn("Eco_Efficiency_Score", rint_dp(F.greatest(F.lit(0.0), F.least(F.lit(100.0), eco)), 2))
     cand = cand.withColumn("__comp", composite_score(cand))
-    keep = ["scenario", *inputs, *PRIMARY_OBJECTIVES]
     best = cand.groupBy("scenario").agg(
-        F.max_by(F.struct(*[F.col(c) for c in keep if c != "scenario"]), F.col("__comp")).alias("b"),
+        F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in keep]), F.col("__comp")).alias("b"),
+        F.first("__golden").alias("g"),
         F.max("__comp").alias("best_composite"),
         F.first("__golden_composite").alias("golden_composite"),
         F.first("Batch_ID").alias("golden_batch"),
@@ -114,7 +116,7 @@ def search(profiles: DataFrame, sur: Surrogates, seed_col: str, n: int = 40, spr
         "scenario", "golden_batch", improved.alias("improved"),
         F.when(improved, F.concat(F.lit(id_prefix), F.col("golden_batch"))).otherwise(F.col("golden_batch")).alias("Batch_ID"),
         rint_dp(F.col("best_composite"), 6).alias("best_composite"), rint_dp(F.col("golden_composite"), 6).alias("golden_composite"),
-        *[F.col(f"b.{c}").alias(c) for c in keep if c != "scenario"],
+        *[F.when(improved, F.col(f"b.{c}")).otherwise(F.col(f"g.{c}")).alias(c) for c in keep],
     )
     return out.withColumn("Green_Zone", zone_candidate("Eco_Efficiency_Score"))
 

@@ -3,8 +3,10 @@ or corrupt store reads as empty (PERMISSIVE, corrupt rows dropped)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from batchlens.operators.golden import SIGNATURE_SCHEMA
 
@@ -14,9 +16,12 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    schema = SIGNATURE_SCHEMA.add("_corrupt_record", "string")
+    schema = StructType([*SIGNATURE_SCHEMA.fields, StructField("_corrupt_record", StringType())])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     try:
-        raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    except Exception:  # noqa: BLE001 - missing store -> empty
+        raw = reader.json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SIGNATURE_SCHEMA)
     return raw.filter(F.col("_corrupt_record").isNull() & F.col("scenario").isNotNull()).drop("_corrupt_record")
