@@ -42,7 +42,11 @@ def zfill4(n: Column) -> Column:
 
 
 def machine_token(machine: Column) -> Column:
-    return F.substring(F.upper(F.regexp_replace(machine, "[^A-Za-z0-9]+", "")), 1, 12)
+    """Short token of a machine id. Where stripping, upper case or the cut at 12
+    characters loses anything, a hash of the whole id follows, so two machines
+    never share a batch id."""
+    short = F.substring(F.upper(F.regexp_replace(machine, "[^A-Za-z0-9]+", "")), 1, 12)
+    return F.when(short == machine, short).otherwise(F.concat(short, F.lit("-"), F.substring(F.sha2(machine, 256), 1, 16)))
 
 
 def clean_machine(machine: Column) -> Column:
@@ -102,15 +106,16 @@ def virtual_batches(
     machine_col: str | None = "machine_id",
     mode_col: str | None = "operation_mode",
     order_col: str = "row_order",
-    sparse: str = "auto",
+    sparse: str = "never",
     out: str = "Auto_Batch_ID",
 ) -> SessionResult:
     """Per machine, ordered by (timestamp, row order), a new batch starts
     on a gap above clip(3 x global median positive gap, 30, 720) minutes or on
     an inactive->active edge (the first active row counts as an edge, so ids
     start at 0002 unless the machine starts inactive). Ids are
-    ``AUTO_<token>_<nnnn>``. ``sparse``: 'auto' switches to 60-row windows
-    when distinct ids exceed max(1000, 20 % of rows); 'always' / 'never'."""
+    ``AUTO_<token>_<nnnn>``. ``sparse``: 'never' (gaps and edges make the
+    batches, whatever the size of the table), 'always' (60-row windows), or, on
+    request only, 'auto': windows if distinct ids exceed max(1000, 20 % of rows)."""
     machine = clean_machine(F.col(machine_col)) if machine_col else F.lit("M01")
     mode = F.col(mode_col).cast("string") if mode_col else F.lit("Run")
     d = df.withColumns({"__machine": machine, "__mode": mode})

@@ -165,7 +165,7 @@ def q_batch_id_fill(spark, sf):
     ones filled with virtual ids."""
     d = sensor_readings(spark, sf).withColumn("Timestamp", F.col("timestamp"))
     d = d.withColumn("lot", F.when(F.col("operation_mode") == "Running", F.concat(F.lit("LOT_"), F.col("machine_id"))))
-    vb = ss.virtual_batches(d, "Timestamp", "machine_id", "operation_mode", "row_order", sparse="auto").frame
+    vb = ss.virtual_batches(d, "Timestamp", "machine_id", "operation_mode", "row_order").frame
     return ss.fill_batch_ids(vb, "lot").select("row_order", "Batch_ID")
 
 

@@ -266,12 +266,13 @@ def zfill4_sql(expr: str) -> str:
 
 
 def token_sql(m: str) -> str:
-    return f"substr(upper(regexp_replace({m}, '[^A-Za-z0-9]+', '', 'g')), 1, 12)"
+    short = f"substr(upper(regexp_replace({m}, '[^A-Za-z0-9]+', '', 'g')), 1, 12)"
+    return f"(CASE WHEN {short} = {m} THEN {short} ELSE {short} || '-' || substr(sha256({m}), 1, 16) END)"
 
 
 def sessions_ctes(src: str = "sensor_readings") -> str:
     """Virtual batches on the sensor view: ``vb`` has row_order, gap_id, win_id,
-    and ``vb_choice`` the automatic sparse decision."""
+    and ``vb_auto`` the ids of the default mode."""
     from batchlens.constants import ACTIVE_MODES
 
     modes = ", ".join(f"'{m}'" for m in ACTIVE_MODES)
@@ -296,8 +297,7 @@ vb AS (SELECT vs3.*,
     'AUTO_' || {token_sql('m')} || '_' || {zfill4_sql('nb + 1')} AS gap_id,
     'AUTO_' || {token_sql('m')} || '_' || {zfill4_sql('CAST(floor((mpos - 1) / 60) AS BIGINT) + 1')} AS win_id
   FROM vs3),
-vb_choice AS (SELECT count(DISTINCT gap_id) > greatest(1000, CAST(floor(CAST(count(*) AS DOUBLE) * 0.2) AS BIGINT)) AS sparse FROM vb),
-vb_auto AS (SELECT vb.*, CASE WHEN sparse THEN win_id ELSE gap_id END AS Batch_ID FROM vb CROSS JOIN vb_choice)"""
+vb_auto AS (SELECT vb.*, gap_id AS Batch_ID FROM vb)"""
 
 
 def adaptive_ctes(ef: float = DEFAULT_EMISSION_FACTOR) -> str:

@@ -10,6 +10,7 @@ and readers keep the latest version per key.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Sequence
 
@@ -125,7 +126,10 @@ def stateful_batches(stream_df: DataFrame, gap_minutes: float, key: str = "machi
         prev_active = pd.Series(active).shift(1, fill_value=bool(last_active)).to_numpy(dtype=bool)
         new = (gap > thr_us) | (active & ~prev_active)
         nums = num + new.cumsum()
-        token = "".join(ch for ch in str(key_tuple[0]) if ch.isascii() and ch.isalnum()).upper()[:12]
+        machine = str(key_tuple[0])
+        token = "".join(ch for ch in machine if ch.isascii() and ch.isalnum()).upper()[:12]
+        if token != machine:  # as operators/sessions.machine_token
+            token += "-" + hashlib.sha256(machine.encode()).hexdigest()[:16]
         ids = [f"AUTO_{token}_{n:04d}" for n in nums]
         state.update((int(us[-1]), bool(active[-1]), int(nums[-1])))
         yield pd.DataFrame({order_col: pdf[order_col].to_numpy(), key: key_tuple[0], out: ids})

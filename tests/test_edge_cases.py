@@ -3,6 +3,7 @@ empty target filter, equal Pareto rows, equal-score promotion, mode edges,
 sparse fallback, empty months, formula-looking cells)."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -99,10 +100,24 @@ def test_virtual_batch_numbering_mode_edges(spark):
     df = spark.createDataFrame(rows, "row_order long, Timestamp timestamp_ntz, machine_id string, operation_mode string")
     res = sessions.virtual_batches(df, "Timestamp", "machine_id", "operation_mode", "row_order", sparse="never")
     ids = {r.row_order: r.Auto_Batch_ID for r in res.frame.collect()}
-    assert [ids[i] for i in range(4)] == ["AUTO_M1_0002", "AUTO_M1_0002", "AUTO_M1_0002", "AUTO_M1_0003"]
+    # "m-1" can't be told from "M1" by its letters and digits: a hash of the id follows
+    token = "M1-" + hashlib.sha256(b"m-1").hexdigest()[:16]
+    assert [ids[i] for i in range(4)] == [f"AUTO_{token}_{n}" for n in ("0002", "0002", "0002", "0003")]
     assert [ids[10], ids[11], ids[12], ids[20]] == ["AUTO_M2_0001", "AUTO_M2_0002", "AUTO_M2_0002", "AUTO_M2_0003"]
 
 
+def test_machines_never_share_batch_ids(spark):
+    from batchlens.plans.adaptive import run_adaptive
+
+    t0 = dt.datetime(2024, 1, 1)
+    names = ["LINE-A1", "LINEA1", "PRESSSTATION-01", "PRESSSTATION-02", "linea1"]
+    rows = [(20 * k + i, t0 + dt.timedelta(minutes=i), m, "Running", 5.0) for k, m in enumerate(names) for i in range(20)]
+    df = spark.createDataFrame(rows, "row_order long, timestamp timestamp_ntz, machine_id string, operation_mode string, power_kw double")
+    res = sessions.virtual_batches(df, "timestamp", "machine_id", "operation_mode", "row_order")
+    assert res.frame.select("Auto_Batch_ID").distinct().count() == len(names)
+    assert run_adaptive(df, "row_order").features.count() == len(names)
+
+
 def test_sparse_fallback_windows(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(i, t0 + dt.timedelta(hours=24 * i), "M1", "Running") for i in range(130)]
