@@ -13,8 +13,10 @@ from batchlens.operators import adapters as AD
 from batchlens.operators import analytics as A
 from batchlens.operators import compare as C
 from batchlens.operators import golden, ranking
-from batchlens.plans import context
+from batchlens.operators import schema_map as sm
+from batchlens.plans import context, pipeline
 from batchlens.plans import sqlgen as S
+from batchlens.plans.adaptive import SIGNALS
 from batchlens.plans.q_reports import _kpi_sql, kpi_rows
 from batchlens.plans.registry import query
 from batchlens.session import ensure_checkpoint_dir
@@ -238,3 +240,50 @@ def q_batch_lookup(spark, sf):
     is pushed into the parquet scan of the feature store."""
     bid = context.golden_profile(spark, sf)["Batch_ID"]
     return stored_features(spark, sf).filter(F.col("Batch_ID") == F.lit(bid))
+
+
+# ------------------------------------------------------------------------ A1
+#: Headers as a plant might write them; each normalises to an alias of the canonical name.
+MESSY = {"timestamp": "Time ", "machine_id": "Machine ID", "operation_mode": "Operation-Mode", "temperature_c": "Temperature (C)", "power_kw": " POWER kW", "defect_rate": "Defect Rate", "throughput": "Throughput"}
+
+
+def messy_copy(spark, sf: str, fmt: str) -> str:
+    """The sensor view written as CSV or JSON lines under messy headers; its folder."""
+    path = f"{scratch(spark, 'sensors')}.{fmt}"
+    # a CSV writer's own time format stops at milliseconds: times are written as text
+    df = sensor_readings(spark, sf).withColumn("timestamp", F.col("timestamp").cast("string"))
+    df = df.select("row_order", *[F.col(c).alias(h) for c, h in MESSY.items()])
+    df.write.format(fmt).option("header", True).save(path)
+    return path
+
+
+def _coerced_sql() -> str:
+    have = {"temperature_c": "temperature_c", "power_kw": "power_kw", "defect_rate": "defect_rate", "output_qty": "throughput"}
+    cols = ", ".join(f"CAST({have.get(s, 'NULL')} AS DOUBLE) AS {s}" for s in SIGNALS)
+    return f"WITH {S.views('sensor_readings')}\nSELECT row_order, {cols} FROM sensor_readings"
+
+
+def _read_back(spark, sf: str, fmt: str):
+    df = files.read_table(spark, messy_copy(spark, sf, fmt))
+    mapped = sm.map_columns(df, sm.resolve_engine([c for c in df.columns if c != "row_order"]), keep=[F.col("row_order").cast("long").alias("row_order")])
+    return sm.coerce_numeric(mapped, SIGNALS, keep=["row_order"])
+
+
+@query("src_csv", _coerced_sql)
+def q_src_csv(spark, sf):
+    """A1: CSV with arbitrary headers, all cells text: aliases resolved, signals coerced."""
+    return _read_back(spark, sf, "csv")
+
+
+@query("src_json", _coerced_sql)
+def q_src_json(spark, sf):
+    """A1: the same from JSON lines."""
+    return _read_back(spark, sf, "json")
+
+
+@query("pipeline_run", lambda: f"WITH {S.adaptive_ctes()}\nSELECT 'adaptive' AS route, ad_features.* FROM ad_features")
+def q_pipeline_run(spark, sf):
+    """CSV readings under messy headers through the whole pipeline: scan, map, route, features."""
+    readings = files.read_table(spark, messy_copy(spark, sf, "csv")).withColumn("row_order", F.col("row_order").cast("long"))
+    path, features = pipeline.run_pipeline(readings, "row_order")
+    return features.select(F.lit(path).alias("route"), "*")

@@ -12,7 +12,7 @@ from batchlens.operators import candidates as CA
 from batchlens.operators import compare as C
 from batchlens.operators import golden, ranking
 from batchlens.operators import schema_map as sm
-from batchlens.plans import context
+from batchlens.plans import context, pipeline
 from batchlens.plans import sqlgen as S
 from batchlens.plans.q_compare import _gp_sql, recs_ctes
 from batchlens.plans.registry import query
@@ -222,22 +222,27 @@ SELECT 'adaptive', CAST(0 AS BIGINT), CAST((SELECT count(*) FROM sensor_readings
   'Partial', 'auto-generated', CAST(4 AS BIGINT)"""
 
 
-@query("route_choice", lambda: f"""WITH {S.views('production_batches', 'process_readings')},
-g AS (SELECT count_if(Temperature_C < -50.0 OR Temperature_C > 300.0) = 0 AS temp_ok FROM process_readings)
-SELECT false AS structured_columns, false AS validation_passed, temp_ok AS gate_passed,
-  CASE WHEN false AND temp_ok THEN 'structured' ELSE 'adaptive' END AS route FROM g""")
+def _route_sql() -> str:
+    from batchlens.sources.tables import PROCESS_EXPRS, PRODUCTION_EXPRS
+
+    names = lambda exprs: [e.split(" AS ")[-1].strip() for e in exprs]
+    rate = lambda cols: f"CAST({' + '.join(f'count_if({c} IS NULL)' for c in cols)} AS DOUBLE) / (count(*) * {len(cols)}) <= 0.55"
+    return f"""WITH {S.views('production_batches', 'process_readings')},
+a AS (SELECT {rate(names(PRODUCTION_EXPRS))} AS ok FROM production_batches),
+b AS (SELECT {rate(names(PROCESS_EXPRS))} AND count_if(Temperature_C < -50.0 OR Temperature_C > 300.0) = 0 AS ok FROM process_readings),
+c AS (SELECT count(*) = {len(K.REQUIRED_PRODUCTION_COLUMNS)} AS have FROM (DESCRIBE SELECT * FROM production_batches)
+  WHERE column_name IN ({', '.join(f"'{x}'" for x in K.REQUIRED_PRODUCTION_COLUMNS)}))
+SELECT have AS structured_columns, have AS validation_passed, a.ok AND b.ok AS gate_passed,
+  CASE WHEN have AND a.ok AND b.ok THEN 'structured' ELSE 'adaptive' END AS route FROM a, b, c"""
+
+
+@query("route_choice", _route_sql)
 def q_route_choice(spark, sf):
-    """Which path the generic rule picks for the views (required generic
-    names present, validation and gate pass -> structured, else adaptive).
-    The views carry the pharma vocabulary, so the rule says 'adaptive'; the
-    structured plans here take that vocabulary as a parameter instead."""
-    prod, proc = production_batches(spark, sf), process_readings(spark, sf)
-    cols_ok = all(c in prod.columns for c in K.REQUIRED_PRODUCTION_COLUMNS) and all(c in proc.columns for c in K.REQUIRED_PROCESS_COLUMNS)
-    checks = sm.validate_structured(prod, proc).agg(F.min(F.col("passed").cast("int"))).first()[0] == 1
-    gate = sm.quality_gate({"production_batches": prod, "process_readings": proc})
-    gate_ok = gate.filter(F.col("rule") != "null_rate").agg(F.min(F.col("passed").cast("int"))).first()[0] == 1
-    route = "structured" if (cols_ok and checks and gate_ok) else "adaptive"
-    return spark.createDataFrame([(cols_ok, checks, gate_ok, route)], "structured_columns boolean, validation_passed boolean, gate_passed boolean, route string")
+    """Which path the rule picks for the views (required generic names present, validation and every gate rule
+    passed -> structured, else adaptive). The views carry the pharma vocabulary, so the rule says 'adaptive'."""
+    r = pipeline.route(production_batches(spark, sf), process_readings(spark, sf))
+    row = (r.structured_columns, r.validation_passed, r.gate_passed, r.name)
+    return spark.createDataFrame([row], "structured_columns boolean, validation_passed boolean, gate_passed boolean, route string")
 
 
 SCEN_INDEX = {n: i for i, n in enumerate(DEFAULT_SCENARIOS)}
