@@ -174,7 +174,7 @@ def thresholds(candidates: DataFrame, q: float) -> dict[int, int]:
     bins = candidates.groupBy("cls", "bin").agg(F.count("*").alias("n"))
     order = Window.partitionBy("cls").orderBy(F.desc("bin"))
     total = Window.partitionBy("cls")
-    below = F.sum("n").over(order.rowsBetween(0, Window.unboundedFollowing))  # p at most that of this bin
+    below = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))  # p at most that of this bin
     upper = F.pow(F.lit(10.0), -F.col("bin") / F.lit(float(BINS_PER_DECADE)))
     rejected = bins.select("cls", "bin", below.alias("below"), F.sum("n").over(total).alias("m")).filter(upper <= F.lit(q) * F.col("below") / F.col("m"))
     return {r["cls"]: r["b"] for r in rejected.groupBy("cls").agg(F.min("bin").alias("b")).collect()}  # at most 4 rows
