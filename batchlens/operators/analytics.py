@@ -70,15 +70,17 @@ def monthly_energy(features: DataFrame, start: str = "2024-01-01 00:00:00", keep
     idx = ordered_index(features.select("Batch_ID", "Total_Energy_kWh"), ["Batch_ID"], "i")
     ts = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("i") * F.lit(step))
     monthly = idx.groupBy(F.date_trunc("month", ts).cast("date").alias("m")).agg(exact_sum("Total_Energy_kWh").alias("e"))
-    rng = monthly.agg(F.min("m").alias("m0"), F.max("m").alias("m1")).first()
+    # months as numbers from the first one on: at many batches the dates run past any calendar of the driver
+    first = F.trunc(F.lit(start).cast("date"), "month")
+    number = ((F.year("m") - F.year(first)) * 12 + F.month("m") - F.month(first)).cast("int")
+    rng = monthly.agg(F.min(number).alias("m0"), F.max(number).alias("m1")).first()
     if rng["m0"] is None:
         return features.sparkSession.createDataFrame([], "Month string, Energy_kWh double, Rolling_3M_kWh double")
-    n_months = (rng["m1"].year - rng["m0"].year) * 12 + (rng["m1"].month - rng["m0"].month) + 1
-    spine = features.sparkSession.range(n_months).select(F.add_months(F.lit(rng["m0"]), F.col("id").cast("int")).alias("m"))
+    spine = features.sparkSession.range(rng["m0"], rng["m1"] + 1).select(F.add_months(first, F.col("id").cast("int")).alias("m"))
     full = spine.join(monthly, on="m", how="left").select("m", F.coalesce(F.col("e"), F.lit(0.0)).alias("Energy_kWh"))
     # 3-month rolling mean without an unpartitioned window: every month feeds
     # itself and the next two months (bounded 3x fan-out), grouped by target.
-    last_m = F.lit(rng["m1"])
+    last_m = F.add_months(first, F.lit(rng["m1"]))
     fan = full.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "m", "Energy_kWh")
     fan = fan.withColumn("t", F.add_months("m", F.col("k"))).filter(F.col("t") <= last_m)
     rolled = fan.groupBy(F.col("t").alias("m")).agg(
@@ -91,12 +93,9 @@ def monthly_energy(features: DataFrame, start: str = "2024-01-01 00:00:00", keep
 
 # ----------------------------------------------------------------------- D7
 def corr_expr(a: str, b: str) -> Column:
-    """Pearson correlation on pair-complete rows; undefined -> 0.0."""
-    ca, cb = F.col(a).cast("double"), F.col(b).cast("double")
-    both = ca.isNotNull() & cb.isNotNull()
-    cov = F.covar_pop(F.when(both, ca), F.when(both, cb))
-    den = F.stddev_pop(F.when(both, ca)) * F.stddev_pop(F.when(both, cb))
-    return F.coalesce(rint_dp(F.try_divide(cov, F.when(den > 0, den)), 9), F.lit(0.0))
+    """Pearson correlation on pair-complete rows (one moment aggregate); undefined -> 0.0."""
+    r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+    return F.coalesce(F.nanvl(rint_dp(r, 9), F.lit(0.0)), F.lit(0.0))
 
 
 def corr_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
