@@ -245,6 +245,47 @@ def q_route_choice(spark, sf):
     return spark.createDataFrame([row], "structured_columns boolean, validation_passed boolean, gate_passed boolean, route string")
 
 
+def _answer_rows_sql() -> str:
+    from batchlens.plans.q_compare import _compare_sql, _gp_sql, _roi_sql
+
+    compare = _compare_sql() if callable(_compare_sql) else _compare_sql
+    roi = f"WITH {_gp_sql()}\n{_roi_sql(K.API_ENERGY_COST, K.API_ANNUAL_BATCHES)}"
+    nothing = "CAST(NULL AS DOUBLE) AS Golden, CAST(NULL AS DOUBLE) AS Deviation, CAST(NULL AS DOUBLE) AS Deviation_Pct"
+    items = "\nUNION ALL\n".join(
+        f"SELECT Batch_ID, 'roi' AS Section, '{c}' AS Item, CAST({c} AS DOUBLE) AS Current, {nothing}, CAST(NULL AS VARCHAR) AS Text FROM roi" for c in ROI_ITEMS
+    )
+    return f"""WITH cmp AS ({compare}), rec AS (WITH {recs_ctes()} SELECT * FROM recs), roi AS ({roi})
+SELECT Batch_ID, 'comparison' AS Section, Metric AS Item, Current, Golden, Deviation, Deviation_Pct, Status AS Text FROM cmp
+UNION ALL
+SELECT Batch_ID, 'recommendation', 'Rec ' || CAST(Rec_No AS VARCHAR), NULL, NULL, NULL, NULL, Recommendation FROM rec
+UNION ALL
+{items}"""
+
+
+ROI_ITEMS = ("delta_energy_kwh", "savings_per_batch_usd", "annual_savings_usd")
+
+
+@query("batch_answer_rows", _answer_rows_sql)
+def q_batch_answer_rows(spark, sf):
+    """V9 in full: for every batch the comparison of all metrics with the golden profile, all recommendations
+    and the return on investment, as rows (Section, Item, ...). One batch is a filter on Batch_ID."""
+    f, profile = context.features(spark, sf), context.golden_profile(spark, sf)
+    none = F.lit(None).cast("double")
+    empty = [none.alias(c) for c in ("Golden", "Deviation", "Deviation_Pct")]
+    compared = C.compare_to_golden(f, profile).select(
+        "Batch_ID", F.lit("comparison").alias("Section"), F.col("Metric").alias("Item"), "Current", "Golden", "Deviation", "Deviation_Pct", F.col("Status").alias("Text")
+    )
+    advice = C.recommendations(f, profile).select(
+        "Batch_ID", F.lit("recommendation").alias("Section"), F.concat(F.lit("Rec "), F.col("Rec_No").cast("string")).alias("Item"), none.alias("Current"), *empty, F.col("Recommendation").alias("Text")
+    )
+    roi = C.roi_columns(F.col("Total_Energy_kWh"), C._g(profile, "Total_Energy_kWh"), K.API_ENERGY_COST, K.API_ANNUAL_BATCHES)
+    items = F.array(*[F.struct(F.lit(c).alias("Item"), roi[c].cast("double").alias("Current")) for c in ROI_ITEMS])
+    saved = f.select("Batch_ID", F.explode(items).alias("x")).select(
+        "Batch_ID", F.lit("roi").alias("Section"), "x.Item", "x.Current", *empty, F.lit(None).cast("string").alias("Text")
+    )
+    return compared.unionByName(advice).unionByName(saved)
+
+
 SCEN_INDEX = {n: i for i, n in enumerate(DEFAULT_SCENARIOS)}
 
 
