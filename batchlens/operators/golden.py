@@ -79,12 +79,17 @@ def nest_signatures(top: DataFrame, scenarios: Mapping[str, Mapping[str, float]]
 
 def promote_if_better(current: DataFrame, candidates: DataFrame, source_tag: str, as_of: str) -> DataFrame:
     """H8: per scenario, replace the signature when the candidate's score is
-    strictly greater. Scenarios without a current signature are ignored;
-    alternatives and weights are kept. ``current``: (scenario, batch_id,
-    score, ...); ``candidates``: (scenario, Batch_ID, Scenario_Score)."""
+    strictly greater. Scenarios without a current signature are ignored.
+    All other columns of ``current`` (weights, alternatives, ...) are kept; a
+    ``profile`` is replaced by the candidate's, if it brings one, together with
+    the batch. ``current``: (scenario, batch_id, score, ...); ``candidates``:
+    (scenario, Batch_ID, Scenario_Score[, profile])."""
+    own_profile = "profile" in current.columns and "profile" in candidates.columns
     cand = candidates.select(
-        "scenario", F.col("Batch_ID").alias("cand_batch_id"), F.col("Scenario_Score").alias("cand_score")
+        "scenario", F.col("Batch_ID").alias("cand_batch_id"), F.col("Scenario_Score").alias("cand_score"),
+        *([F.col("profile").alias("cand_profile")] if own_profile else []),
     )
+    rest = [c for c in current.columns if c not in ("scenario", "batch_id", "score", "promoted", "promoted_from", "promoted_at_utc")]
     j = current.join(cand, on="scenario", how="left")
     better = F.coalesce(F.col("cand_score") > F.col("score"), F.lit(False))
     return j.select(
@@ -94,6 +99,7 @@ def promote_if_better(current: DataFrame, candidates: DataFrame, source_tag: str
         better.alias("promoted"),
         F.when(better, F.lit(source_tag)).otherwise(F.col("promoted_from") if "promoted_from" in current.columns else F.lit(None).cast("string")).alias("promoted_from"),
         F.when(better, F.lit(as_of)).otherwise(F.col("promoted_at_utc") if "promoted_at_utc" in current.columns else F.lit(None).cast("string")).alias("promoted_at_utc"),
+        *[F.when(better, F.col("cand_profile")).otherwise(F.col(c)).alias(c) if c == "profile" and own_profile else F.col(c) for c in rest],
     )
 
 

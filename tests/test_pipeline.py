@@ -82,3 +82,17 @@ def test_content_hash_sees_replaced_pairs(spark):
     b = spark.createDataFrame([(3,), (3,), (2,), (2,)], "x int")
     assert store.content_hash(a) != store.content_hash(b)
     assert store.content_hash(a) == store.content_hash(a.repartition(3))
+
+
+def test_promotion_keeps_the_whole_signature(spark):
+    from batchlens.operators import golden
+
+    current = spark.createDataFrame(
+        [("S1", "a", 1.0, {"w": 0.5}, (1.5,), [("z", 0.9)]), ("S2", "b", 2.0, {"w": 0.1}, (2.5,), [])],
+        "scenario string, batch_id string, score double, weights map<string,double>, profile struct<y:double>, alternatives array<struct<batch_id:string,score:double>>",
+    )
+    candidates = spark.createDataFrame([("S1", "c", 1.1, (9.0,)), ("S2", "d", 2.0, (8.0,)), ("S3", "e", 9.0, (7.0,))], "scenario string, Batch_ID string, Scenario_Score double, profile struct<y:double>")
+    out = {r.scenario: r for r in golden.promote_if_better(current, candidates, "test", "2024-01-01").collect()}
+    assert set(out) == {"S1", "S2"}
+    assert (out["S1"].batch_id, out["S1"].profile.y, out["S1"].weights, len(out["S1"].alternatives)) == ("c", 9.0, {"w": 0.5}, 1)
+    assert (out["S2"].batch_id, out["S2"].profile.y, out["S2"].promoted) == ("b", 2.5, False)
