@@ -64,9 +64,10 @@ def near_data():
     return out
 
 
-def test_near_duplicates(spark, near_data):
+def test_near_duplicates(spark, near_data, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
     df = spark.createDataFrame(near_data, "doc_id long, text string")
-    got = near_dedup.near_duplicates(df, 85, rounds=1).collect()
+    got = near_dedup.near_duplicates(df, 85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == brute_near(near_data, 85)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 

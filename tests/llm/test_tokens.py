@@ -26,7 +26,8 @@ def test_byte_level_memo_equals_library():
     library = Tokenizer.from_file(BYTES)
     want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert ByteLevelEncoder(BYTES).encode(texts) == want
-    assert [x for t in texts for x in ByteLevelEncoder(BYTES, most=0).encode([t])][:200] == want[:200]
+    forgetful = ByteLevelEncoder(BYTES, most=0)
+    assert [x for t in texts for x in forgetful.encode([t])] == want
 
 
 def test_word_bpe_equals_library():
