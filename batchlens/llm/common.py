@@ -83,23 +83,11 @@ def gram_hashes(words: np.ndarray, k: int, multipliers: np.ndarray) -> np.ndarra
     return mix64(total)
 
 
-class WordHashes:
-    """64-bit hashes of words given as bytes; a bounded memo spares the repeats."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        digest = xxhash.xxh3_64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words given as bytes, the same in every process."""
+    from pandas.util import hash_array
+
+    return hash_array(np.array(words, dtype=object), categorize=False) if words else np.empty(0, np.uint64)
 
 
 def arrow_schema(**fields: pa.DataType) -> pa.Schema:

@@ -6,15 +6,11 @@ merge by maximum, and two documents agree in a register more often the more alik
 
 1. Documents with equal sets are one *class* (a group of copies costs one row from here on).
 2. Eight registers are one band; classes that agree in a band share a bucket.
-3. In every bucket all members are compared with its lead only, never with one another: first by
-   the joint likelihood of both sketches (set sizes are known), which drops pairs far below the threshold, then on the
-   full sets. Links are joined to components.
-4. Jaccard distance obeys the triangle inequality, so with threshold distance t a member linked to the lead can
-   only be linked to members within 2t of the lead. Those pairs are compared if they aren't in one
-   component yet; members not linked to the lead go into the next round as a bucket of their own, as
-   long as they belong to more than one component. After ``rounds`` rounds what is left is compared pair by pair. So
-   no pair that shares a bucket and could join two components is skipped, and a large group costs a few
-   comparisons per member.
+3. In every bucket all members are compared with its lead, first by the joint likelihood of both sketches (set
+   sizes are known), which drops pairs far below the threshold, then on the full sets. Links are joined to components.
+4. Buckets whose members now lie in one component are done, which are nearly all of a large group's. In the
+   others every two members of different components are compared on their full sets, in blocks of bounded size:
+   a member is sent once per block, pairs are never written out, and only links come back.
 
 A link at the threshold misses every band with probability below 1e-6 (see ``bands_for``).
 
@@ -25,13 +21,14 @@ repeated rows are linked; a component whose ids are all null has a null id; extr
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_columns, emit, gram_hashes, materialize, mix64, odd_multipliers
+from .common import batch_columns, emit, gram_hashes, materialize, mix64, odd_multipliers, shard_count, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -40,6 +37,7 @@ BASE = 1.2
 RATE = 20.0
 ROWS = 8  # registers of a band: eight bytes, one integer
 MISS = 1e-6
+BLOCK = 256
 _GRAM = odd_multipliers(31, SHINGLE)
 
 
@@ -84,13 +82,12 @@ def sketch(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                keys, tkeys, texts = batch_columns(batch.slice(at, 1000), "doc_id", "tkey", "text")
+            for at in range(0, batch.num_rows, 500):
+                keys, tkeys, texts = batch_columns(batch.slice(at, 500), "doc_id", "tkey", "text")
                 sizes, h1, h2, rows = [], [], [], []
                 for text in texts:
-                    grams = shingles(hashes(text.lower().split()))
+                    grams = shingles(word_hashes(text.lower().split()))
                     sizes.append(len(grams))
                     with np.errstate(over="ignore"):
                         h1.append(int(mix64(grams).sum(dtype=np.uint64).astype(np.int64)))
@@ -129,9 +126,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             col = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
             regs = [col[c].flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(batch.num_rows, -1) for c in ("a_bands", "b_bands")]
             sizes = [col[c].to_numpy().astype(float) for c in ("a_n", "b_n")]
@@ -150,13 +145,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     found = docs.select(F.xxhash64(text).alias("tkey"), text.cast("binary").alias("text")).join(nodes, "tkey")
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            seen: dict[int, bytes] = {}
-            for node, text in zip(*batch_columns(batch, "node", "text"), strict=True):
-                if node not in seen:
-                    seen[node] = shingles(hashes(text.lower().split())).tobytes()
-            yield emit(schema, [list(seen), list(seen.values())])
+            for at in range(0, batch.num_rows, 100):
+                seen: dict[int, bytes] = {}
+                for node, text in zip(*batch_columns(batch.slice(at, 100), "node", "text"), strict=True):
+                    if node not in seen:
+                        seen[node] = shingles(word_hashes(text.lower().split())).tobytes()
+                yield emit(schema, [list(seen), list(seen.values())])
 
     return found.select("node", "text").mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.min("grams").alias("grams"))
 
@@ -168,83 +163,98 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = batch_columns(batch, "a", "b", "a_grams", "b_grams")
-            common = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-            yield emit(schema, [a, b, common, [len(p) // 8 + len(q) // 8 - c for p, q, c in zip(x, y, common, strict=True)]])
+            for at in range(0, batch.num_rows, 100):
+                a, b, x, y = batch_columns(batch.slice(at, 100), "a", "b", "a_grams", "b_grams")
+                common = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
+                yield emit(schema, [a, b, common, [len(p) // 8 + len(q) // 8 - c for p, q, c in zip(x, y, common, strict=True)]])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.mapInArrow(run, "a long, b long, common long, total long")
 
 
-def _linked(docs: DataFrame, percent: int, rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _common(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``left`` with sets ``right`` (indices), as a matrix: products of
+    slices of the incidence matrix of the shingles."""
+    sizes = np.array([len(g) for g in grams])
+    values, column = np.unique(np.concatenate(grams), return_inverse=True)
+    row = np.repeat(np.arange(len(grams)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(values), 4096):
+        some = slice(*np.searchsorted(column, [at, at + 4096]))
+        part = np.zeros((len(grams), min(4096, len(values) - at)), np.float32)
+        part[row[some], column[some] - at] = 1
+        out += part[left] @ part[right].T
+    return np.rint(out).astype(np.int64)
+
+
+def _links_inside(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket (bucket, node, label) that have different labels. Buckets are
+    compared in blocks of about ``BLOCK`` members: a member is sent once for each block of its bucket, and only
+    links come back, so nothing grows with the square of a bucket but comparisons."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = placed.join(sizes, "bucket").select("bucket", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(cell.alias("cell"), "node", "label", "own", F.col("other").alias("against"))
+
+    def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        _, node, label, own_, against, raw = zip(*group, strict=True)
+        node, label, own_, against = (np.array(x) for x in (node, label, own_, against))
+        low = np.minimum(own_, against)
+        left = np.flatnonzero(own_ == low)
+        right = np.flatnonzero(own_ == np.maximum(own_, against))
+        grams = [np.frombuffer(g, np.uint64) for g in raw]
+        n = np.array([len(g) for g in grams])
+        common = _common(grams, left, right)
+        link = common * 100 >= (n[left][:, None] + n[right] - common) * percent
+        link &= (label[left][:, None] != label[right]) & (node[left][:, None] != node[right])
+        x, y = np.nonzero(link)
+        return node[left[x]], node[right[y]]
+
+    def run(batches):
+        stream = (r for batch in batches for at in range(0, batch.num_rows, 200) for r in zip(*batch_columns(batch.slice(at, 200), "cell", "node", "label", "own", "against", "grams"), strict=True))
+        for _, group in groupby(stream, key=lambda r: r[0]):
+            group = list(group)
+            if len(group) > 1:
+                a, b = compare(group)
+                if len(a):
+                    yield emit(schema, [np.minimum(a, b), np.maximum(a, b)])
+
+    whole = rows.join(sets, "node").select("cell", "node", "label", "own", "against", "grams")
+    dealt = whole.repartition(shard_count(placed.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, and the label (smallest node) of the component of each distinct set, by h1 and h2."""
     threshold = percent / 100
-    bands = bands_for(threshold)
-    spark = docs.sparkSession
-    rows = materialize(sketch(docs, bands, id_col, text_col))
+    rows = materialize(sketch(docs, bands_for(threshold), id_col, text_col))
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("tkey", "n_shingles", "bands")).alias("one")
     )
     classes = materialize(classes.select("h1", "h2", "least_id", "one.*").withColumn("node", F.monotonically_increasing_id()))
     exploded = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = materialize(exploded.join(shared, "bucket", "left_semi"))
-    linked = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    checked = None  # links and distances of all pairs compared so far
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        near = materialize(_plausible(pairs, classes, 2 * threshold - 1.12))
-        wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(_sets(docs, wanted.join(classes.select("node", "tkey"), "node"), id_col, text_col))
-        return materialize(_verified(near, sets))
-
-    for turn in range(rounds + 1):
-        leads = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
-        if turn < rounds:
-            pairs = members.join(leads, "bucket").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        else:  # what no lead could settle, pair by pair
-            named = _labelled(members, labels)
-            other = named.select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"))
-            pairs = named.join(other, "bucket").filter("node < b AND label <> b_label").select(F.col("node").alias("a"), "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.isEmpty() and turn == rounds:
-            break
-        new = compare(pairs)
-        checked = new if checked is None else materialize(checked.unionByName(new))
-        is_link = F.col("common") * 100 >= F.col("total") * percent
-        linked = checked.filter(is_link).select("a", "b")
-        labels = materialize(components(linked))
-        if turn == rounds:
-            break
-        # members linked to their lead against members within twice the distance, if still apart
-        to_lead = members.join(leads, "bucket").join(
-            checked.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("total")).alias("d"), is_link.alias("link")),
-            ["lead", "node"], "left",
-        )
-        to_lead = materialize(_labelled(to_lead.select("bucket", "node", "lead", "d", F.coalesce("link", F.col("node") == F.col("lead")).alias("link")), labels))
-        near = to_lead.filter(F.col("link") & (F.col("node") != F.col("lead"))).select("bucket", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
-        apart = to_lead.filter(~F.col("link") & (F.col("d") <= 2 * (1 - threshold) + 1e-9)).select("bucket", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"))
-        cross = near.join(apart, "bucket").filter((F.col("lx") != F.col("ly")) & (F.col("dy") - F.col("dx") <= 1 - threshold + 1e-9))
-        cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        cross = materialize(cross)
-        if not cross.isEmpty():
-            checked = materialize(checked.unionByName(compare(cross)))
-            linked = checked.filter(is_link).select("a", "b")
-            labels = materialize(components(linked))
-        rest = _labelled(to_lead.filter(~F.col("link")).select("bucket", "node"), labels)
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("bucket")
-        members = materialize(rest.join(mixed, "bucket", "left_semi").select("node", "bucket"))
-        if members.isEmpty():
-            break
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1").select("bucket", "lead")
+    members = materialize(exploded.join(shared, "bucket"))
+    wanted = members.select("node").distinct().join(classes.select("node", "tkey"), "node")
+    sets = materialize(_sets(docs, wanted, id_col, text_col))
+    stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = _verified(_plausible(stars, classes, 2 * threshold - 1.12), sets)
+    stars = materialize(stars.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
+    placed = _labelled(members.select("bucket", "node"), components(stars))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    placed = placed.join(mixed, "bucket", "left_semi")
+    links = stars.unionByName(_links_inside(materialize(placed), sets, percent))
+    labels = materialize(components(links))
     return rows, _labelled(classes.select("node", "h1", "h2", "least_id"), labels).drop("node")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links at 100 * common >= percent * total."""
-    rows, sets = _linked(docs, percent, rounds, id_col, text_col)
+    rows, sets = _linked(docs, percent, id_col, text_col)
     least = sets.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_set = sets.join(least, "label").select("h1", "h2", "component_id")
     full = rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"])
@@ -258,11 +268,11 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("label"))
 
 
-def deduplicated(docs: DataFrame, percent: int = 80, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns as they were: that of the smallest id (null ids last; equal
     ids: the smallest hash of the text). Documents without words all stay."""
     names = docs.columns
-    rows, sets = _linked(docs, percent, rounds, id_col, text_col)
+    rows, sets = _linked(docs, percent, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
     chosen = rows.filter("n_shingles > 0").select("doc_id", "tkey", "h1", "h2").join(sets.select("h1", "h2", "label"), ["h1", "h2"])
     chosen = materialize(chosen.groupBy("label").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.tkey").alias("_key")))

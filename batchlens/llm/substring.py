@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_columns, emit, gram_hashes, materialize, mix64, odd_multipliers, shard_count
+from .common import batch_columns, emit, gram_hashes, materialize, mix64, odd_multipliers, shard_count, word_hashes
 
 WINDOW = 35
 PHRASE = 8
@@ -61,11 +61,23 @@ class Ranges:
             return mix64((self.sums[stop] - self.sums[start]) * Ranges.inverse[start] + (stop - start).astype(np.uint64))
 
 
+def leftmost_least(values: np.ndarray, k: int) -> np.ndarray:
+    """Index of the smallest value, the leftmost of equals, in every run of k neighbours (by doubling)."""
+    at, width = np.arange(len(values)), 1
+    while width < k:
+        step = min(width, k - width)
+        left, right = values[: len(values) - step], values[step:]
+        later = right < left
+        values, at = np.where(later, right, left), np.where(later, at[step:], at[: len(at) - step])
+        width += step
+    return at
+
+
 def anchors(words: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, ...]:
     """Per anchor: phrase hash, span hash, first window, number of windows."""
     inside = window - phrase + 1
     grams = gram_hashes(words, phrase, _GRAM)
-    chosen = np.lib.stride_tricks.sliding_window_view(grams, inside).argmin(1) + np.arange(len(grams) - inside + 1)
+    chosen = leftmost_least(grams, inside)
     first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     count = np.diff(np.append(first, len(chosen)))
     span = Ranges(words)(first, first + count + window - 1)
@@ -89,7 +101,6 @@ def _spans(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("shard", pa.int32()), ("tkey", pa.int64()), ("at", pa.int32()), ("wins", pa.int32())])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             found: list[tuple] = []
             size = 0
@@ -97,7 +108,7 @@ def _spans(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
                 words = text.split()
                 if len(words) < window:
                     continue
-                got = anchors(hashes(words), window, phrase)
+                got = anchors(word_hashes(words), window, phrase)
                 n = len(got[0])
                 found.append((got[0].view(np.int64), got[1].view(np.int64), np.full(n, shard, np.int32), np.full(n, tkey, np.int64), got[2].astype(np.int32), got[3].astype(np.int32)))
                 size += n
@@ -118,14 +129,14 @@ def _windows(keyed: DataFrame, asked: DataFrame, window: int) -> DataFrame:
         by_text: dict[int, list] = {}
         for tkey, *rest in zip(*(spans[c].to_pylist() for c in ("tkey", "at", "wins", "anchor", "span", "n")), strict=True):
             by_text.setdefault(tkey, []).append(rest)
-        hashes, out = WordHashes(), []
+        out = []
         if by_text:
             for chunk in texts.select(["tkey", "text"]).to_batches(max_chunksize=200):
                 for tkey, text in zip(*batch_columns(chunk, "tkey", "text"), strict=True):
                     wanted = by_text.pop(tkey, None)
                     if wanted is None:
                         continue
-                    words = hashes(text.split())
+                    words = word_hashes(text.split())
                     at, wins, anchor, span, n = (np.array(x, np.int64) for x in zip(*wanted, strict=True))
                     start = np.repeat(at, wins) + (place := np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins))
                     got = Ranges(words)(start, start + window).view(np.int64)
@@ -137,7 +148,8 @@ def _windows(keyed: DataFrame, asked: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
-    """One copy per shard of every span with a repeated window: shard, tkey, at, mask (bit k: window at + k)."""
+    """For each shard, one copy of every span with a repeated window: shard, tkey, at, mask (bit k: window
+    at + k); and a row with mask 0 for each text that holds such a span."""
     spans = materialize(_spans(keyed, window, phrase))
     hot = spans.groupBy("anchor").count().filter("count > 1").select("anchor")
     some = materialize(spans.join(hot, "anchor", "left_semi"))
@@ -152,8 +164,10 @@ def repeated(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
     parts = windows.join(again, ["anchor", "hash"], "left_semi").groupBy("anchor", "span").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     whole = kinds.filter("n > 1").select("anchor", "span", F.expr("shiftleft(1L, one.wins) - 1").alias("mask"))
     masks = whole.unionByName(parts).groupBy("anchor", "span").agg(F.bit_or("mask").alias("mask"))
-    copies = some.groupBy("anchor", "span", "shard").agg(F.min(F.struct("tkey", "at")).alias("c"))
-    return copies.join(masks, ["anchor", "span"]).select("shard", "c.tkey", "c.at", "mask")
+    hits = materialize(some.select("anchor", "span", "shard", "tkey", "at").join(masks, ["anchor", "span"]))
+    copies = hits.groupBy("anchor", "span", "shard").agg(F.min(F.struct("tkey", "at", "mask")).alias("c")).select("shard", "c.*")
+    touched = hits.select("shard", "tkey").distinct().select("shard", "tkey", F.lit(0).alias("at"), F.lit(0).cast("long").alias("mask"))
+    return copies.unionByName(touched)
 
 
 def passages(at: int, mask: int, window: int):
@@ -232,8 +246,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         by_text: dict[int, list] = {}
+        touched = set()
         for tkey, at, mask in zip(*(spans[c].to_pylist() for c in ("tkey", "at", "mask")), strict=True):
-            by_text.setdefault(tkey, []).append((at, mask))
+            if mask:
+                by_text.setdefault(tkey, []).append((at, mask))
+            else:
+                touched.add(tkey)
         phrases: list[list[bytes]] = []
         if by_text:
             for chunk in texts.select(["tkey", "text"]).to_batches(max_chunksize=200):
@@ -244,10 +262,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         automaton = PhraseAutomaton(phrases)
         del phrases
         n_words, n_removed, kept = [], [], []
-        for chunk in texts.select(["text"]).to_batches(max_chunksize=200):
-            for text in chunk.column(0).to_pylist():
+        for chunk in texts.select(["text", "tkey"]).to_batches(max_chunksize=200):
+            for text, tkey in zip(*batch_columns(chunk, "text", "tkey"), strict=True):
                 words = text.split()
-                gone = automaton.covered(words)
+                gone = automaton.covered(words) if tkey in touched else None  # other texts hold no confirmed span
                 n_words.append(len(words))
                 n_removed.append(0 if gone is None else int(gone.sum()))
                 left = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
