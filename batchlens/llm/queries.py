@@ -68,6 +68,63 @@ FROM m
 """.replace("{phrases}", "|".join(quality.BOILERPLATE))
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
+  FROM documents
+), g AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 33, 1))) AS r(i)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM twice)
+), left_over AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (rid)
+"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0
+), sizes AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid
+), pairs AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.rid < b.rid GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rid, rid AS root FROM d UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.rid
+), comp AS (SELECT reach.rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.root GROUP BY reach.rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept
+FROM d JOIN comp USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.rid AS a, b.rid AS b FROM good a JOIN good b ON a.label = b.label AND a.rid < b.rid AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rid, rid AS root FROM v UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.rid
+), comp AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.root GROUP BY reach.rid
+), n AS (SELECT a AS rid, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN comp USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 @query("op9_quality_rules", QUALITY_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning measures and verdict of every document."""
@@ -114,20 +171,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", SUBSTRING_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document after removal of passages of 35 or more words that occur twice."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op2_minhash_near_dedup")
+@query("op2_minhash_near_dedup", NEAR_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles agree to 85 percent."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-@query("op4_embedding_near_dedup")
+@query("op4_embedding_near_dedup", VECTOR_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of equal labels at cosine 0.93."""
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
