@@ -226,3 +226,24 @@ NON_COMPLIANT = "\u274c NON-COMPLIANT"
 
 # Words that mark a column of a process table.
 SNIFF_KEYWORDS = ["time", "timestamp", "minute", "temperature", "motor", "rpm", "pressure", "flow"]
+
+# Baseline values of missing feature columns.
+BASELINE_DEFAULTS = {
+    "Avg_Temperature": 72.0,
+    "Avg_Pressure": 4.3,
+    "Avg_Vibration_mm_s": 1.4,
+    "Quality_Score": 86.0,
+    "Total_Energy_kWh": 170.0,
+    "Yield_Percent": 90.0,
+    "Carbon_kg": 0.0,
+    "Process_Health_Score": 85.0,
+    "Eco_Efficiency_Score": 82.0,
+    "Performance_Score": 85.0,
+}
+
+# Metrics of the analysis views, in order; columns of the batch history.
+ANALYSIS_METRICS = [
+    "Total_Energy_kWh", "Quality_Score", "Yield_Percent", "Carbon_kg", "Eco_Efficiency_Score",
+    "Process_Health_Score", "Avg_Temperature", "Avg_Pressure", "Avg_Vibration_mm_s", "Duration_Minutes",
+]
+HISTORY_COLUMNS = ["Batch_ID", "Yield_Percent", "Quality_Score", "Total_Energy_kWh", "Carbon_kg", "Eco_Efficiency_Score", "Green_Zone"]

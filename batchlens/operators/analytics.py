@@ -13,14 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchlens.constants import ANALYSIS_METRICS, HISTORY_COLUMNS
 from batchlens.functions.numeric import exact_avg, exact_sum, rint_dp
 from batchlens.operators.ordering import ordered_index, ordered_scan
 from batchlens.operators.stats import pct, stats_row
 
-ANALYSIS_METRICS = [
-    "Total_Energy_kWh", "Quality_Score", "Yield_Percent", "Carbon_kg", "Eco_Efficiency_Score",
-    "Process_Health_Score", "Avg_Temperature", "Avg_Pressure", "Avg_Vibration_mm_s", "Duration_Minutes",
-]
 KPI5 = ["Yield_Percent", "Quality_Score", "Total_Energy_kWh", "Carbon_kg", "Eco_Efficiency_Score"]
 LOWER_IS_BETTER = {"Total_Energy_kWh", "Carbon_kg"}
 
@@ -241,9 +238,6 @@ def top_anomalies(features: DataFrame, z: float = 2.2, k: int = 10) -> DataFrame
 
 
 # ----------------------------------------------------------------------- W8, R1
-HISTORY_COLUMNS = ["Batch_ID", "Yield_Percent", "Quality_Score", "Total_Energy_kWh", "Carbon_kg", "Eco_Efficiency_Score", "Green_Zone"]
-
-
 def lookback(features: DataFrame, n: int = 80, cols: Sequence[str] = HISTORY_COLUMNS) -> DataFrame:
     """Last ``n`` batches by Batch_ID (a top-k: TakeOrderedAndProject), numbered
     1..n oldest first. The numbering window runs over at most n rows."""

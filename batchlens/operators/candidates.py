@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchlens.constants import BASELINE_DEFAULTS  # noqa: F401
 from batchlens.constants import DEFAULT_EMISSION_FACTOR
 from batchlens.functions.numeric import rint_dp
 from batchlens.functions.zones import zone_candidate
@@ -75,20 +76,6 @@ def random_candidates(profiles: DataFrame, seed_col: str, emission_factor: float
     return out.withColumn("c_Green_Zone", zone_candidate("c_Eco_Efficiency_Score"))
 
 
-BASELINE_DEFAULTS = {
-    "Avg_Temperature": 72.0,
-    "Avg_Pressure": 4.3,
-    "Avg_Vibration_mm_s": 1.4,
-    "Quality_Score": 86.0,
-    "Total_Energy_kWh": 170.0,
-    "Yield_Percent": 90.0,
-    "Carbon_kg": 0.0,
-    "Process_Health_Score": 85.0,
-    "Eco_Efficiency_Score": 82.0,
-    "Performance_Score": 85.0,
-}
-
-
 def baseline_fill(features: DataFrame, emission_factor: float = DEFAULT_EMISSION_FACTOR) -> DataFrame:
     """Complete a partial feature table: defaults for missing columns and
     NULL cells; carbon = energy x factor when every carbon value is <= 0;
