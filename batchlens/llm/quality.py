@@ -123,12 +123,16 @@ def cleaned(docs: DataFrame, max_lost: float = 0.5, id_col: str = "doc_id", text
     there, is the new length. The verdict is computed in the same row, so nothing is joined."""
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.lit(0).alias("_id"), text.alias("_text"))
-    judged = packed.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.split(F.col("_text"), "\n", -1))
-    judged = judged.withColumn("_good", F.filter(F.col("_lines"), lambda x: ~line_fails(x)))
-    judged = judged.withColumn("_new", F.array_join("_good", "\n"))
-    n = F.size("_words")
-    chars, left = F.length(_without(F.col("_text"), WHITE)), F.length(_without(F.col("_new"), WHITE))
-    ok = (n >= MIN_WORDS) & (chars - left <= F.lit(max_lost) * chars) & (100 * repeat_words(F.col("_words")) <= MAX_REPEAT_PERCENT * n)
+    size = lambda t: F.length(_without(t, WHITE))
+
+    def verdict(words: Column, new: Column) -> Column:
+        n = F.size(words)
+        lost = size(text) - size(new) <= F.lit(max_lost) * size(text)
+        ok = (n >= MIN_WORDS) & lost & (100 * repeat_words(words) <= MAX_REPEAT_PERCENT * n)
+        return F.when(ok, F.array(new)).otherwise(F.array().cast("array<string>"))
+
+    good = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")
+    kept = _let(words_of(text), lambda words: _let(good, lambda new: verdict(words, new)))  # each part computed once
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.explode(kept).alias("_new"))
     new = {text_col: F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    return judged.filter(ok).select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in names])
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in names])
