@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_columns, batches_of, emit, materialize
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 CAPACITY = 2048
 #: A bin with no more free places than this is emitted at once.
@@ -60,12 +60,12 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, memo: int = MEMO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """uid (unique), doc_id, piece, start, length, ids_crc32 of every piece."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        tool, end = encoder(path), struct.pack("<I", end_id)
+        tool, end = encoder(path, memo), struct.pack("<I", end_id)
 
         def rows():
             for batch in batches:
@@ -136,7 +136,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY
     return whole.unionByName(placed.select("uid", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, memo: int = MEMO) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    cut = materialize(pieces(docs, path, capacity, end_id))
+    cut = materialize(pieces(docs, path, capacity, end_id, memo))
     return cut.join(pack(cut.select("uid", "length"), capacity), "uid").drop("uid")

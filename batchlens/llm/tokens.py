@@ -2,7 +2,7 @@
 
 The byte-level pattern never joins characters across a blank that stands alone between two other
 characters, so a text cut there can be encoded piece by piece; each distinct piece goes through the
-library once. A text with any other constellation (two blanks, white space beside a blank, a special token's
+library once; its closing marks (``MARKS``) are split off first. A text with any other constellation (two blanks, white space beside a blank, a special token's
 string) is encoded whole by the library. The memo is cleared when it grows past ``most`` entries.
 """
 
@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import chain
 
 SPECIAL = "<|endoftext|>"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
+#: Stands for the ids of a piece that must be encoded with its neighbours (no ids have one byte).
+WHOLE = b"?"
 
 
 def vocabulary(name: str) -> str:
@@ -24,7 +28,7 @@ def vocabulary(name: str) -> str:
 class ByteLevelEncoder:
     """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 900_000, special: str = SPECIAL):
+    def __init__(self, path: str, most: int = 700_000, special: str = SPECIAL):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,54 +37,77 @@ class ByteLevelEncoder:
         self.library.no_padding()
         self.special = special
         self.most = most
-        self.inner: dict[str, bytes | None] = {}  # pieces after a blank; None: encode the text whole
-        self.first: dict[str, bytes | None] = {}
+        self.inner: dict[str, bytes] = {}  # pieces after a blank; WHOLE: needs its neighbours
+        self.first: dict[str, bytes] = {}  # pieces at the start of a text
+        self.stems: dict[str, bytes] = {}  # pieces as given to the library
 
     def _odd(self, piece: str) -> bool:
-        return not piece or piece[0].isspace() or piece[-1].isspace() or "᠎" in piece or self.special in piece
-
-    def _learn(self, memo: dict, pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in memo]
-        plain = []
-        for p in new:
+        return not piece or piece[0].isspace() or piece[-1].isspace() or "\u180e" in piece or self.special in piece
+
+    def _library(self, strings: list[str]) -> None:
+        """Ids of strings that aren't known yet."""
+        known = self.stems
+        new = list({s for s in strings if s not in known})
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[s] = array("I", e.ids).tobytes()
+
+    def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """A letter followed by a mark always ends a token, so closing marks are encoded apart."""
+        if len(self.stems) > self.most:
+            self.stems.clear()
+        cut = []
+        for p in pieces:
             if self._odd(p):
-                memo[p] = None
+                memo[p] = WHOLE
+                continue
+            stem = p.rstrip(MARKS)
+            if stem and stem[-1].isalpha():
+                cut.append((p, lead + stem, p[len(stem) :]))
             else:
-                plain.append(p)
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            for p, e in zip(some, self.library.encode_batch_fast([lead + p for p in some] if lead else some, add_special_tokens=False), strict=True):
-                memo[p] = array("I", e.ids).tobytes()
+                cut.append((p, lead + p, ""))
+        self._library([s for _, s, _ in cut])
+        self._library([m for _, _, m in cut if m])
+        known = self.stems
+        for p, s, m in cut:
+            memo[p] = known[s] + known[m] if m else known[s]
+
+    def _ids(self, memo: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
+        got = list(map(memo.get, pieces))
+        if None in got:
+            gaps = [k for k, g in enumerate(got) if g is None]
+            self._learn(memo, {pieces[k] for k in gaps}, lead)
+            for k in gaps:
+                got[k] = memo[pieces[k]]
+        return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.inner) > self.most:
-            self.inner.clear()
-            self.first.clear()
+        for memo in (self.inner, self.first):
+            if len(memo) > self.most:
+                memo.clear()
         cut = [(t or "").split(" ") for t in texts]
-        heads, rest = set(), set()
-        for pieces in cut:
-            heads.add(pieces[0])
-            rest.update(pieces[1:])
-        self._learn(self.first, heads, "")
-        self._learn(self.inner, rest, " ")
-        inner, out = self.inner.__getitem__, []
-        for text, pieces in zip(texts, cut, strict=True):
+        heads = self._ids(self.first, [c[0] for c in cut], "")
+        rest = self._ids(self.inner, list(chain.from_iterable(c[1:] for c in cut)), " ")
+        out, at = [], 0
+        for text, pieces, head in zip(texts, cut, heads, strict=True):
+            own = rest[at : at + len(pieces) - 1]
+            at += len(pieces) - 1
             if not text:
                 out.append(b"")
-                continue
-            head = self.first[pieces[0]]
-            try:
-                out.append(b"".join([head, *map(inner, pieces[1:])]))
-            except TypeError:  # a piece that needs its neighbours
+            elif head is WHOLE or WHOLE in own:
                 out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(head + b"".join(own))
         return out
 
 
-_held: dict[str, ByteLevelEncoder] = {}
+MEMO = 700_000
+_held: dict[tuple[str, int], ByteLevelEncoder] = {}
 
 
-def encoder(path: str) -> ByteLevelEncoder:
-    """One encoder per worker process and file."""
-    if path not in _held:
-        _held[path] = ByteLevelEncoder(path)
-    return _held[path]
+def encoder(path: str, memo: int = MEMO) -> ByteLevelEncoder:
+    """One encoder per worker process, file and size of the memo (about 300 bytes an entry)."""
+    if (path, memo) not in _held:
+        _held[path, memo] = ByteLevelEncoder(path, memo)
+    return _held[path, memo]
