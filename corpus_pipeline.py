@@ -23,6 +23,8 @@ from batchlens.llm.tokens import vocabulary
 from batchlens.session import ensure_checkpoint_dir
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces a worker remembers while it encodes: few, since its executor also serves the other stages.
+MEMO = 150_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return packing.pack_documents(docs, vocabulary(VOCABULARY))
+    return packing.pack_documents(docs, vocabulary(VOCABULARY), memo=MEMO)
 
 
 STAGES = [
