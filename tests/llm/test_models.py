@@ -81,6 +81,25 @@ def test_held_out_scores_beat_the_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_the_pass_learns_from_every_token_of_short_and_long_texts(spark):
+    texts = [f"seven wise owls number {k} watch" for k in range(60)] + [None, "", " ".join(f"w{k}" for k in range(2500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training = lm._rows(docs, "doc_id", "text").filter("not held_out")
+    tool = lm._library(PATH)
+    want = sum(len(tool.encode(" " + w, add_special_tokens=False).ids) for r in training.collect() for w in bytes(r.text).decode().split()) + training.count()
+    numbers = lm.Numbers(np.ones(50257), np.zeros(50257, bool))
+    assert training.count() < len(texts) and sum(r.n for r in lm.replicas(training, PATH, net.initial(numbers.frequency), numbers.of).collect()) == want
+
+
+def test_the_pass_alone_lifts_the_attention_score_of_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM_WINDOWS", 0)
+    docs = spark.range(20_000, numPartitions=1).selectExpr("id AS doc_id", "'alpha beta gamma delta epsilon zeta' AS text")
+    got = [r for r in lm.score(docs, PATH).collect() if r.held_out]
+    assert len(got) > 2000
+    # base_score is the counts alone, about where a net without any training starts
+    assert sum(r.attention_score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
 PAGES = [
     (1, "u", '<html><head><title>no</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav><article><h1>Head &amp; line</h1><p>First   paragraph\nwith a &lt;tag&gt; and more words in it.<p>Second one<br>goes on, of course, without an end tag.</article><footer>&copy; 2020 Someone</footer>', "Head & line\nFirst paragraph with a <tag> and more words in it.\nSecond one goes on, of course, without an end tag."),
     (2, None, '<body><div class="menu"><a href=x>Menu</a></div><div id="content"><p>The text of the article stands in a plain container here.</p><script>var a="<p>no</p>";</script><p>It has another paragraph, too, with enough words.</p></div><div class="comments"><p>I do not agree with this at all, sorry.</p></div></body>', "The text of the article stands in a plain container here.\nIt has another paragraph, too, with enough words."),
