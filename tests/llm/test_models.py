@@ -100,6 +100,22 @@ def test_the_pass_alone_lifts_the_attention_score_of_short_texts(spark, monkeypa
     assert sum(r.attention_score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
+def test_the_warm_start_sees_long_texts_to_their_end(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "WARM_WINDOWS", 1)
+    monkeypatch.setattr(lm, "_learn", lambda flat, texts, *more: seen.extend(texts) or 0)
+    long = " ".join(f"w{k}" for k in range(30_000))
+    docs = spark.createDataFrame([(1, long), (3, "short text"), (4, None), (5, "é" * 15_000)], "doc_id long, text string")
+    training = lm._rows(docs, "doc_id", "text").selectExpr("doc_id", "text", "false AS held_out")
+    numbers = lm.Numbers(np.ones(50257), np.zeros(50257, bool))
+    with monkeypatch.context() as m:
+        m.setattr(lm, "replicas", lambda *a: spark.createDataFrame([], "w array<double>, n long"))
+        lm.train(training, PATH, numbers)
+    words = next(t for t in seen if b"w29999" in t or t.startswith(b"w0 "))
+    assert words.startswith(b"w0 w1 ") and words.split()[-1] == b"w29999" and any(b" w%d " % k in words for k in range(12_000, 18_000))
+    assert len(words) <= 21_000 and b"short text" in seen and b"" in seen
+
+
 PAGES = [
     (1, "u", '<html><head><title>no</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav><article><h1>Head &amp; line</h1><p>First   paragraph\nwith a &lt;tag&gt; and more words in it.<p>Second one<br>goes on, of course, without an end tag.</article><footer>&copy; 2020 Someone</footer>', "Head & line\nFirst paragraph with a <tag> and more words in it.\nSecond one goes on, of course, without an end tag."),
     (2, None, '<body><div class="menu"><a href=x>Menu</a></div><div id="content"><p>The text of the article stands in a plain container here.</p><script>var a="<p>no</p>";</script><p>It has another paragraph, too, with enough words.</p></div><div class="comments"><p>I do not agree with this at all, sorry.</p></div></body>', "The text of the article stands in a plain container here.\nIt has another paragraph, too, with enough words."),
