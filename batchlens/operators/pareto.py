@@ -131,8 +131,10 @@ def pareto_front(
     u = materialize(local_fronts(df, objectives))
     n = u.count()
     parts = u.rdd.getNumPartitions()
-    while n > max_broadcast_rows and parts > 1:
-        parts = max(1, parts // 4)
+    # A round that leaves more than half shows a large front: it stays spread over the tasks for the anti join.
+    before = math.inf
+    while max_broadcast_rows < n <= before / 2 and (fewer := max(parts // 4, math.ceil(n / max_broadcast_rows))) < parts:
+        before, parts = n, fewer
         u = materialize(local_fronts(u.repartition(parts), objectives))
         n = u.count()
     if n == 0:

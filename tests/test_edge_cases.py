@@ -63,6 +63,14 @@ def test_empty_target_filter_ranks_everything(spark):
     assert scores["a"] == 100.0 and scores["b"] == 0.0
 
 
+def test_large_pareto_front_is_never_gathered_in_one_task(spark, monkeypatch):
+    dealt, real = [], pareto.local_fronts
+    monkeypatch.setattr(pareto, "local_fronts", lambda df, o: dealt.append(df.rdd.getNumPartitions()) or real(df, o))
+    df = spark.range(400, numPartitions=8).selectExpr("cast(id AS string) AS Batch_ID", "cast(id AS double) AS Yield_Percent", "cast(id AS double) AS Total_Energy_kWh")
+    got = pareto.pareto_front(df, objectives=["Yield_Percent", "Total_Energy_kWh"], max_broadcast_rows=100)
+    assert got.count() == 400 and min(dealt) > 1
+
+
 def test_equal_pareto_rows_both_survive_and_matches_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(f"r{i}", *[float(v) for v in rng.integers(0, 6, 6)]) for i in range(300)]
