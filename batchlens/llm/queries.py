@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, embed_dedup, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
+from . import bpe, collocations, embed_dedup, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -124,6 +124,34 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id
 FROM v JOIN comp USING (rid) LEFT JOIN n USING (rid)
 """
 
+COLLOCATION_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\v\f\r]')) AS piece FROM d)
+), g AS (
+  SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM p, (VALUES (1), (2), (3)) AS k(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS r(i)
+), f AS (SELECT lang, n, phrase, count(*) AS f FROM g GROUP BY ALL
+), words AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang
+), c AS (SELECT lang, n AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND f >= 10
+), cut AS (
+  SELECT c.*, k, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+  FROM c, unnest(range(1, size)) AS u(k)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:size], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.a >= 50 * b.a
+    AND b.phrase IN (array_to_string(c.w[1:2], ' '), array_to_string(c.w[2:3], ' ')))
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, words.n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
+
 
 @query("op9_quality_rules", QUALITY_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,3 +228,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and self-attention log probabilities of all documents."""
     return lm.score(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 tightest phrases of 2 and 3 words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
