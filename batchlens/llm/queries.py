@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, collocations, embed_dedup, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
+from . import bpe, collocations, conversations, embed_dedup, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -153,6 +153,67 @@ FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
 """
 
 
+def _conversation_sql() -> str:
+    """A forward pass over the rows: for every state the cheapest (cost, audit, text) so far."""
+    empty = r"regexp_matches({}, '^[ \t\n\v\f\r]*$')"
+
+    def more(state: str, cost: str, edit: str, line: str | None = None) -> str:
+        text = f"{state}.r" if line is None else f"{state}.r || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {line}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {text}}}"
+
+    def least(*of: str) -> str:
+        return f"list_sort([{', '.join(of)}])[1]"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN NOT must AND ini = '{initial}' THEN {more(state, 'late', 'K', 'line')} ELSE {more(state, '1000000', '-')} END"
+
+    def rerole(state: str, role: str) -> str:
+        return f"CASE WHEN NOT must THEN {more(state, '2 + late', 'R', f"'{role}:' || text")} ELSE {more(state, '1000000', '-')} END"
+
+    insert = {r: lambda state, r=r: more(state, "2", "I", f"'{r}:'") for r in ("user", "assistant")}
+    two = least(more("s2", "3", "D"), *[kept(x, "u") for x in ("s0", "s1", "s3")], *[rerole(x, "user") for x in ("s0", "s1", "s3")])
+    three = least(more("s3", "3", "D"), kept("s2", "a"), rerole("s2", "assistant"))
+    start = "{'c': 0, 'a': '', 'r': ''}"
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+        lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind
+  FROM conversations
+), m AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM k WHERE kind <> 0
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM m
+), f AS (
+  SELECT *, left(role, 1) AS ini, role || ':' || text AS line, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    {empty.format("text")} AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ \\t\\n\\v\\f\\r]*$') AS open_end
+  FROM o
+), r AS (SELECT *, blank OR again AS must, CASE WHEN open_end AND NOT blank AND NOT again THEN 1 ELSE 0 END AS late FROM f
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, sum(late)::BIGINT AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM r GROUP BY conv_id
+), p AS (
+  SELECT conv_id, 0::BIGINT AS i, {start} AS s0, {{'c': 1000000, 'a': '', 'r': ''}} AS s1, {insert["user"](start)} AS s2,
+    {insert["assistant"](insert["user"](start))} AS s3 FROM n
+  UNION ALL
+  SELECT conv_id, i, t0, t1, {least("t2", *[insert["user"](x) for x in ("t0", "t1", "t3")])},
+    {least("t3", insert["assistant"](least("t2", *[insert["user"](x) for x in ("t0", "t1")])))}
+  FROM (SELECT p.conv_id, r.i, {more("s0", "3", "D")} AS t0, {least(more("s1", "3", "D"), kept("s0", "s"))} AS t1, {two} AS t2, {three} AS t3
+    FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)
+), b AS (SELECT p.conv_id, list_sort([s0, s3])[1] AS best FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.i = n.rows)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 @query("op9_quality_rules", QUALITY_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning measures and verdict of every document."""
@@ -234,3 +295,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 tightest phrases of 2 and 3 words of every language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", _conversation_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage and cheapest repair of all conversations."""
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
