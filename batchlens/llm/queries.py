@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.session import ensure_checkpoint_dir
 
-from . import bpe, collocations, conversations, embed_dedup, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
+from . import bpe, collocations, conversations, embed_dedup, histogram_packing, html_text, lm, near_dedup, packing, quality, secrets, substring, token_store
 from .common import table
 from .tokens import vocabulary
 
@@ -291,13 +291,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-@query("op13_collocations", COLLOCATION_SQL)
-def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 2000 tightest phrases of 2 and 3 words of every language."""
-    return collocations.collocations(table(spark, sf_dir, "documents"))
+@query("op11_histogram_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids, shortest pack first."""
+    return histogram_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @query("op12_conversation_repair", _conversation_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage and cheapest repair of all conversations."""
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 tightest phrases of 2 and 3 words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
