@@ -1,16 +1,17 @@
-"""Skew-safe ordered scans: positions, running sums and lag-1 per key.
+"""Skew-safe ordered scans: positions, running sums, lag-1 and forward fill per key, in built-in windows.
 
 A ``Window.partitionBy(key)`` puts every row of a key in one task, and one
-machine or batch may hold a third of all rows. ``ordered_scan`` instead:
-
-1. ``repartitionByRange(P, *keys, *order)`` + ``sortWithinPartitions``: a hot
-   key is split across several partitions by its order columns;
-2. a per-partition pandas scan (``mapInPandas``, vectorised groupby-cumsum)
-   computes local positions, running sums and lag values; the result is
-   checkpointed (range bounds are sampled, so it must not be recomputed);
-3. for keys that cross partition edges (at most two per partition) a carry
-   table (<= 2 x P rows: a proven, data-independent bound) holds the counts,
-   sums and last values of earlier partitions; it is broadcast back.
+machine or batch may hold a third of all rows. ``ordered_scan`` is a two-level
+prefix scan instead:
+
+1. ``repartitionByRange(P, *keys, *order)`` splits a hot key over several
+   partitions by its order columns; the partition's number becomes a column;
+2. windows over (partition number, key) give local positions, sums, lags and
+   fills: no window is larger than one range partition. The result is written
+   once (range bounds are sampled, so it must not be recomputed);
+3. only a partition's first and last key can go on elsewhere: their totals
+   (<= 2 x P rows, whatever the data) are scanned by key in partition order,
+   and the carry, equally small, is broadcast back.
 
 Order columns must make the order unique within a key.
 """
@@ -19,106 +20,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from batchlens.operators.stats import materialize
-
-
-def _scan_fn(keys: list[str], sum_cols: list[str], lag_cols: list[str], fill_cols: list[str] | None = None,
-             pid_col: str | None = None):
-    fill_cols = fill_cols or []
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        if pid_col is not None:  # reuse the layout id of a previous scan
-            batches = list(batches)
-            ids = {int(v) for b in batches for v in b[pid_col].unique()}
-            if len(ids) > 1:
-                raise ValueError("presorted input lost its partition layout")
-            pid = ids.pop() if ids else pid
-        prev_key = None
-        prev_pos = 0
-        prev_sums = {c: 0.0 for c in sum_cols}
-        prev_lags = {c: None for c in lag_cols}
-        prev_fill = {c: None for c in fill_cols}
-        first_key, first_open, first_row, last_row = None, True, None, None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            kdf = pdf[keys]
-            ktuples = list(kdf.itertuples(index=False, name=None))
-            if first_key is None:
-                first_key = ktuples[0]
-            first_is_cont = prev_key is not None and ktuples[0] == prev_key
-            change = (kdf != kdf.shift()).any(axis=1).to_numpy()
-            change[0] = True
-            gid = np.cumsum(change)
-            g = pd.Series(gid, index=pdf.index)
-            out = pdf.copy()
-            pos = g.groupby(gid).cumcount().to_numpy() + 1
-            cont = (gid == 1) & first_is_cont
-            out["_os_lpos"] = np.where(cont, pos + prev_pos, pos).astype("int64")
-            for c in sum_cols:
-                v = pd.to_numeric(pdf[f"_os_s_{c}"], errors="coerce").fillna(0.0).astype(float)
-                cs = v.groupby(gid).cumsum().to_numpy()
-                out[f"_os_ls_{c}"] = np.where(cont, cs + prev_sums[c], cs)
-            for c in lag_cols:
-                src = pdf[f"_os_g_{c}"]
-                if pd.api.types.is_integer_dtype(src):
-                    src = src.astype("Int64")
-                lagged = src.groupby(gid).shift(1)
-                if lagged.dtype == object:
-                    lagged = lagged.where(pd.notna(lagged), None)
-                if first_is_cont:
-                    lagged = lagged.astype(object)
-                    lagged.iloc[0] = prev_lags[c]
-                out[f"_os_ll_{c}"] = lagged
-            for c in fill_cols:
-                src = pdf[f"_os_f_{c}"]
-                if pd.api.types.is_integer_dtype(src):
-                    src = src.astype("Int64")
-                filled = src.groupby(gid).ffill()
-                if first_is_cont and prev_fill[c] is not None:
-                    head = (gid == 1) & filled.isna().to_numpy()
-                    filled = filled.astype(object)
-                    filled[head] = prev_fill[c]
-                if filled.dtype == object:
-                    filled = filled.where(pd.notna(filled), None)
-                out[f"_os_lf_{c}"] = filled
-            last = len(pdf) - 1
-            out["_os_edge"] = np.int8(0)
-            if first_open:  # the first key's run ends where its rows end (keys are sorted)
-                in_first = np.fromiter((k == first_key for k in ktuples), dtype=bool, count=len(ktuples))
-                if in_first.any():
-                    first_row = out[in_first].iloc[[-1]].copy()
-                if not in_first.all():
-                    first_open = False
-            last_row = out.iloc[[last]].copy()
-            prev_fill = {c: (None if pd.isna(out[f"_os_lf_{c}"].iloc[last]) else out[f"_os_lf_{c}"].iloc[last]) for c in fill_cols}
-            prev_key = ktuples[last]
-            prev_pos = int(out["_os_lpos"].iloc[last])
-            prev_sums = {c: float(out[f"_os_ls_{c}"].iloc[last]) for c in sum_cols}
-            prev_lags = {c: pdf[f"_os_g_{c}"].iloc[last] for c in lag_cols}
-            out["_os_pid"] = pid
-            yield out
-        # Edge summaries: the state at the last row of the partition's first and
-        # last key (at most two rows per partition), flagged for the carry.
-        if first_row is not None:
-            edges = [first_row]
-            if tuple(last_row[keys].iloc[0]) != first_key:
-                edges.append(last_row)
-            summary = pd.concat(edges, ignore_index=True)
-            summary["_os_edge"] = np.int8(1)
-            summary["_os_pid"] = pid
-            yield summary
-
-    return run
+
+from batchlens.session import stored
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns where NULL equals NULL; the right side's columns go."""
+    named = right.select(*[F.col(c).alias(f"_os_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_os_r_{c}")) for c in on]
+    return left.join(F.broadcast(named), cond, how).drop(*[f"_os_r_{c}" for c in on])
+
+
+def _edge_totals(scanned: DataFrame, keys: list[str], sums: list[str], lags: list[str], fills: list[str]) -> DataFrame:
+    """The state behind the last row of each partition's first and last key."""
+    key = F.struct(*[F.col(k) for k in keys])
+    edges = scanned.groupBy("_os_pid").agg(F.min(key).alias("a"), F.max(key).alias("z"))
+    edges = edges.select("_os_pid", F.explode(F.array_distinct(F.array("a", "z"))).alias("k")).select("_os_pid", "k.*")
+    own = _null_safe(scanned, edges, ["_os_pid", *keys], "inner")
+    state = [*[f"_os_ls_{n}" for n in sums], *[f"_os_g_{n}" for n in lags], *[f"_os_lf_{n}" for n in fills]]
+    last = [F.max_by(c, "_os_lpos").alias(c) for c in state]
+    return own.groupBy("_os_pid", *keys).agg(F.max("_os_lpos").alias("_os_n"), *last)
+
+
+def _carry(totals: DataFrame, keys: list[str], sums: list[str], lags: list[str], fills: list[str]) -> DataFrame:
+    """What each edge key brings along from earlier partitions; a key's window has at most P rows."""
+    by = Window.partitionBy(*keys).orderBy("_os_pid")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        "_os_pid", *keys, F.sum("_os_n").over(before).alias("_os_c_n"),
+        *[F.sum(f"_os_ls_{n}").over(before).alias(f"_os_c_{n}") for n in sums],
+        *[F.lag(f"_os_g_{n}").over(by).alias(f"_os_p_{n}") for n in lags],
+        *[F.last(f"_os_lf_{n}", ignorenulls=True).over(before).alias(f"_os_pf_{n}") for n in fills],
+    ).filter(F.col("_os_c_n").isNotNull())
 
 
 def ordered_scan(
@@ -138,83 +73,37 @@ def ordered_scan(
     the previous row's value of each ``lags`` expression (NULL on a key's
     first row), and each ``ffills`` expression forward-filled within the key
     (last non-NULL value so far). With ``keys=[]`` the whole table is one
-    ordered sequence.
+    ordered sequence. An empty table stays empty.
 
-    ``layout_col`` keeps the partition id of this scan's range layout in the
+    ``layout_col`` keeps the partition number of this scan's range layout in the
     output. Passing that column as ``presorted`` to a later scan over the same
-    keys/order (on a frame derived by narrow transformations only) skips the
-    range shuffle and sort: the rows are already laid out and ordered."""
-    spark = df.sparkSession
-    sums = dict(sums or {})
-    lags = dict(lags or {})
-    ffills = dict(ffills or {})
-    keys = list(keys)
+    keys and order uses the split that is already there: no second sampling and range shuffle."""
+    sums, lags, ffills, keys = dict(sums or {}), dict(lags or {}), dict(ffills or {}), list(keys)
     d = df
     if not keys:
-        d = d.withColumn("_os_k", F.lit(0))
-        keys = ["_os_k"]
-    d = d.withColumns({f"_os_s_{n}": e.cast("double") for n, e in sums.items()})
-    d = d.withColumns({f"_os_g_{n}": e for n, e in lags.items()})
-    d = d.withColumns({f"_os_f_{n}": e for n, e in ffills.items()})
-    P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        d, keys = d.withColumn("_os_k", F.lit(0)), ["_os_k"]
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if presorted is not None:
-        ranged = d
+        laid = d.withColumn("_os_pid", F.col(presorted))
     else:
-        ranged = d.repartitionByRange(P, *[F.col(k) for k in keys], *order_cols).sortWithinPartitions(
-            *[F.col(k) for k in keys], *order_cols
-        )
-    fields = list(d.schema.fields) + [T.StructField("_os_lpos", T.LongType())]
-    fields += [T.StructField(f"_os_ls_{n}", T.DoubleType()) for n in sums]
-    fields += [T.StructField(f"_os_ll_{n}", d.schema[f"_os_g_{n}"].dataType) for n in lags]
-    fields += [T.StructField(f"_os_lf_{n}", d.schema[f"_os_f_{n}"].dataType) for n in ffills]
-    fields += [T.StructField("_os_pid", T.IntegerType()), T.StructField("_os_edge", T.ByteType())]
-    scanned = materialize(ranged.mapInPandas(_scan_fn(keys, list(sums), list(lags), list(ffills), presorted), T.StructType(fields)))
-
-    # Carry from the edge summaries (<= 2 rows per partition): for each edge
-    # key, the counts and sums of earlier partitions, the last value before the
-    # partition (lag) and the last non-NULL value before it (forward fill).
-    summ = scanned.filter(F.col("_os_edge") == 1).select(
-        "_os_pid", *keys, "_os_lpos", *[f"_os_ls_{n}" for n in sums], *[f"_os_g_{n}" for n in lags],
-        *[f"_os_lf_{n}" for n in ffills],
-    ).collect()
-    by_key: dict[tuple, list] = {}
-    for r in summ:
-        by_key.setdefault(tuple(r[k] for k in keys), []).append(r)
-    carry_rows = []
-    for kt, rs in by_key.items():
-        rs.sort(key=lambda r: r["_os_pid"])
-        cn, cs, prev, pf = 0, {n: 0.0 for n in sums}, None, {n: None for n in ffills}
-        for r in rs:
-            carry_rows.append((r["_os_pid"], *kt, cn, *[cs[n] for n in sums],
-                               *[None if prev is None else prev[f"_os_g_{n}"] for n in lags], *[pf[n] for n in ffills]))
-            cn += r["_os_lpos"]
-            for n in sums:
-                cs[n] += r[f"_os_ls_{n}"]
-            for n in ffills:
-                if r[f"_os_lf_{n}"] is not None:
-                    pf[n] = r[f"_os_lf_{n}"]
-            prev = r
-    carry_schema = T.StructType(
-        [T.StructField("_os_pid", T.IntegerType())]
-        + [T.StructField(k, d.schema[k].dataType) for k in keys]
-        + [T.StructField("_os_c_n", T.LongType())]
-        + [T.StructField(f"_os_c_{n}", T.DoubleType()) for n in sums]
-        + [T.StructField(f"_os_p_{n}", d.schema[f"_os_g_{n}"].dataType) for n in lags]
-        + [T.StructField(f"_os_pf_{n}", d.schema[f"_os_f_{n}"].dataType) for n in ffills]
-    )
-    carry = spark.createDataFrame(carry_rows, carry_schema)
-    scanned = scanned.filter(F.col("_os_edge") == 0)
-    out = scanned.join(F.broadcast(carry), on=["_os_pid", *keys], how="left")
-    first_in_part = F.col("_os_lpos") == F.lit(1)
-    cols = {pos_col: F.col("_os_lpos") + F.coalesce(F.col("_os_c_n"), F.lit(0))}
-    for n in sums:
-        cols[n] = F.col(f"_os_ls_{n}") + F.coalesce(F.col(f"_os_c_{n}"), F.lit(0.0))
-    for n in lags:
-        # only a key's first row in a partition can need the carried value
-        cols[n] = F.when(first_in_part & F.col("_os_c_n").isNotNull() & (F.col("_os_c_n") > 0), F.col(f"_os_p_{n}")).otherwise(F.col(f"_os_ll_{n}"))
-    for n in ffills:
-        cols[n] = F.coalesce(F.col(f"_os_lf_{n}"), F.col(f"_os_pf_{n}"))
+        parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        laid = d.repartitionByRange(parts, *[F.col(k) for k in keys], *order_cols).withColumn("_os_pid", F.spark_partition_id())
+    w = Window.partitionBy("_os_pid", *keys).orderBy(*order_cols)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = {"_os_lpos": F.row_number().over(w).cast("long")}
+    local |= {f"_os_ls_{n}": F.sum(F.coalesce(e.cast("double"), F.lit(0.0))).over(running) for n, e in sums.items()}
+    local |= {f"_os_g_{n}": e for n, e in lags.items()}
+    local |= {f"_os_ll_{n}": F.lag(e).over(w) for n, e in lags.items()}
+    local |= {f"_os_lf_{n}": F.last(e, ignorenulls=True).over(running) for n, e in ffills.items()}
+    scanned = stored(laid.select("*", *[e.alias(n) for n, e in local.items()]))
+    names = list(sums), list(lags), list(ffills)
+    carry = _carry(_edge_totals(scanned, keys, *names), keys, *names)
+    out = _null_safe(scanned, carry, ["_os_pid", *keys], "left")
+    cols = {pos_col: F.col("_os_lpos") + F.coalesce("_os_c_n", F.lit(0))}
+    cols |= {n: F.col(f"_os_ls_{n}") + F.coalesce(f"_os_c_{n}", F.lit(0.0)) for n in sums}
+    # only a key's first row in a partition needs the carried value
+    cols |= {n: F.when((F.col("_os_lpos") == 1) & F.col("_os_c_n").isNotNull(), F.col(f"_os_p_{n}")).otherwise(F.col(f"_os_ll_{n}")) for n in lags}
+    cols |= {n: F.coalesce(f"_os_lf_{n}", f"_os_pf_{n}") for n in ffills}
     if layout_col is not None:
         cols[layout_col] = F.col("_os_pid")
     out = out.withColumns(cols)
