@@ -8,6 +8,7 @@ fan-out plus ``groupBy``. The only unpartitioned window numbers a top-k result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,16 +97,28 @@ def corr_expr(a: str, b: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Long form (Metric_A, Metric_B, Corr) from one aggregation pass over the
-    upper triangle (correlation is symmetric); the lower half is mirrored."""
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i:]]
-    row = df.agg(*[corr_expr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("Metric_A"), F.lit(b).alias("Metric_B"), F.col(f"c{i}").alias("Corr")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("Metric_A"), F.lit(a).alias("Metric_B"), F.col(f"c{i}").alias("Corr")))
-    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    """Long form (Metric_A, Metric_B, Corr) over the upper triangle, the lower half mirrored. A first pass counts
+    values and takes means and ranges; a second one sums the products of centred values for all pairs of columns
+    without NULLs. Only pairs with NULLs need a moment aggregate of their own (their pair-complete rows have
+    means of their own). A constant column correlates with nothing, itself included (0.0)."""
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in metrics])
+    first = d.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(metrics) for n, f in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    whole = [first["rows"] > 1 and first[f"n{i}"] == first["rows"] for i in range(len(metrics))]
+    flat = [first[f"lo{i}"] is None or first[f"lo{i}"] == first[f"hi{i}"] for i in range(len(metrics))]
+    centred = [F.col(c) - F.lit(first[f"m{i}"]) for i, c in enumerate(metrics)]
+    pairs = [(i, j) for i in range(len(metrics)) for j in range(i, len(metrics))]
+    shared = [(i, j) for i, j in pairs if whole[i] and whole[j] and not flat[i] and not flat[j]]
+    own = [(i, j) for i, j in pairs if (i, j) not in set(shared) and not flat[i] and not flat[j]]
+    aggs = [F.sum(centred[i]).alias(f"s{i}") for i in range(len(metrics)) if whole[i] and not flat[i]]
+    aggs += [F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i, j in shared]
+    aggs += [corr_expr(metrics[i], metrics[j]).alias(f"c{i}_{j}") for i, j in own]
+    row = d.agg(*aggs).first() if aggs else {}
+    value = {(i, j): row[f"c{i}_{j}"] for i, j in own}
+    for i, j in shared:
+        cov = lambda a, b: row[f"p{a}_{b}"] - row[f"s{a}"] * row[f"s{b}"] / first["rows"]
+        value[i, j] = rint9(cov(i, j) / math.sqrt(cov(i, i) * cov(j, j)))
+    rows = [(metrics[a], metrics[b], float(value.get((i, j), 0.0))) for i, j in pairs for a, b in dict.fromkeys(((i, j), (j, i)))]
+    return df.sparkSession.createDataFrame(rows, "Metric_A string, Metric_B string, Corr double")
 
 
 # ----------------------------------------------------------------------- D8

@@ -9,12 +9,14 @@ makes each later stage re-embed the whole upstream plan (exponential plan
 growth across the 4-5 chained passes of the KPI derivation).
 
 Quantiles are exact (linear interpolation between order statistics, as
-``percentile`` / ``quantile_cont``), by one path for every input size: a
-``percentile_approx`` pass brackets each wanted rank, a counting pass finds how
-many values lie below and inside every bracket, and once a bracket holds few
-values its distinct values are fetched with their counts. A bracket that still
-holds many values is narrowed again by the same two passes. No task ever holds
-a value map of a whole column, and no row is exploded into one per column.
+``percentile`` / ``quantile_cont``), by one path for every input size and in three
+passes for a whole stage: the stage's own aggregate also makes one sketch
+(``percentile_approx``) of each expression, whose values around the wanted ranks
+bound intervals; a counting pass finds how many values lie at and between their
+ends; and the few values between are grouped, counted and picked by rank in Spark.
+An interval that still holds many values is narrowed by another sketch and count.
+Frequent values end as an interval's end, so they are counted and never fetched. No
+task holds a value map of a whole column, and only the wanted values reach the driver.
 
 ``accuracy=`` switches a quantile to ``percentile_approx`` explicitly.
 """
@@ -24,7 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.functions.numeric import clip_keep_null, norm_expr
@@ -45,8 +47,10 @@ def pct(col: str | Column, q: float, accuracy: int | None = None) -> Quantile:
     return Quantile(F.col(col) if isinstance(col, str) else col, q, accuracy)
 
 
-ACCURACY = 2_000
-COLLECT_MAX = 20_000
+#: Accuracy of the sketch; an interval around a rank holds about 4 / ACCURACY of the values.
+ACCURACY = 10_000
+#: Values strictly inside an interval that are grouped and counted instead of narrowed once more.
+COLLECT_MAX = 10_000
 
 
 def _interpolate(n: int, q: float, values: dict[int, float]) -> float | None:
@@ -67,68 +71,94 @@ def _ranks(n: int, qs) -> set[int]:
     return out
 
 
+def _probe(x: Column, shares: Sequence[float]) -> Column:
+    """Ends of an interval around each share (quantile) of x, from one sketch."""
+    margin = 2.0 / ACCURACY
+    ends = [e for q in shares for e in (max(0.0, q - margin), min(1.0, q + margin))]
+    return F.percentile_approx(x, F.array(*[F.lit(e) for e in ends]), ACCURACY)
+
+
+class _Search:
+    """Ranks of one expression that are still open, all inside the open interval (lo, hi) with ``inside`` values above
+    ``below`` others. None as an end: unbounded."""
+
+    def __init__(self, x: Column, ranks: Iterable[int], lo: float | None, hi: float | None, below: int, inside: int):
+        self.x, self.ranks, self.lo, self.hi, self.below, self.inside = x, sorted(ranks), lo, hi, below, inside
+
+    def within(self) -> Column:
+        cond = [self.x > F.lit(self.lo)] * (self.lo is not None) + [self.x < F.lit(self.hi)] * (self.hi is not None)
+        out = F.when(cond[0] & cond[1], self.x) if len(cond) == 2 else F.when(cond[0], self.x) if cond else self.x
+        return out
+
+
+def _count(df: DataFrame, tasks: list[tuple[str, _Search, list[tuple[float, float]]]], found: dict) -> list[tuple[str, _Search]]:
+    """One pass that counts the values at and between the ends of every interval; what remains open, narrowed."""
+    aggs, seen = [], {}
+    for key, s, spans in tasks:
+        for lo, hi in dict.fromkeys(spans):
+            seen[key, id(s), lo, hi] = len(aggs) // 4
+            i = len(aggs)
+            aggs += [F.count_if(c).alias(f"c{i + j}") for j, c in enumerate((s.x < F.lit(lo), s.x <= F.lit(lo), s.x < F.lit(hi), s.x <= F.lit(hi)))]
+    row = df.agg(*aggs).first()
+    left = []
+    for key, s, spans in tasks:
+        rest: dict[tuple, set] = {}
+        cuts = sorted({(e, row[f"c{4 * seen[key, id(s), lo, hi] + j}"], row[f"c{4 * seen[key, id(s), lo, hi] + j + 1}"])
+                       for lo, hi in spans for e, j in ((lo, 0), (hi, 2))})
+        for r in s.ranks:
+            lo, below, hi, above = s.lo, s.below, s.hi, s.below + s.inside
+            for e, less, upto in cuts:
+                if less <= r < upto:
+                    found[key][r] = e
+                    break
+                if upto <= r and (lo is None or e > lo):
+                    lo, below = e, upto
+                elif less > r and (hi is None or e < hi):
+                    hi, above = e, less
+            else:
+                rest.setdefault((lo, hi, below, above - below), set()).add(r)
+        left += [(key, _Search(s.x, rs, *span)) for span, rs in rest.items()]
+    return left
+
+
+def _fetch(df: DataFrame, tasks: list[tuple[str, _Search]], found: dict) -> None:
+    """The values at the wanted ranks of intervals with at most COLLECT_MAX values; only those leave Spark."""
+    hits = [F.when(s.within().isNotNull(), F.struct(F.lit(g).alias("g"), s.x.alias("x"))) for g, (_k, s) in enumerate(tasks)]
+    values = df.select(F.explode(F.filter(F.array(*hits), lambda e: e.isNotNull())).alias("e")).groupBy("e.g", "e.x").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.create_map(*[c for g, (_k, s) in enumerate(tasks) for c in (F.lit(g), F.array(*[F.lit(r - s.below) for r in s.ranks]))])
+    ranked = values.withColumn("upto", upto).withColumn("r", F.explode(wanted[F.col("g")]))
+    for row in ranked.filter((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n"))).select("g", "x", "r").collect():
+        key, s = tasks[row["g"]]
+        found[key][s.below + row["r"]] = row["x"]
+
+
 def order_statistics(df: DataFrame, exprs: dict[str, Column], ranks: dict[str, set[int]], base: dict[str, tuple]) -> dict[str, dict[int, float]]:
-    """Exact k-th smallest values (0-based ranks) of several expressions.
-    ``base``: key -> (n, min, max) from a previous pass."""
+    """Exact k-th smallest values (0-based ranks) of several expressions. ``base``: key -> (n, [ends of intervals]): the number
+    of values and, from the sketch of the same pass, guesses around the wanted ranks."""
     found: dict[str, dict[int, float]] = {k: {} for k in exprs}
-    open_: dict[tuple, tuple] = {}  # (key, rank) -> interval, values below it, values inside
+    todo = []
     for k, rs in ranks.items():
-        n, lo, hi = base[k]
-        for r in rs:
-            open_[(k, r)] = (lo, hi, 0, n)
-    value = {k: e.cast("double") for k, e in exprs.items()}
-    fetch: dict[tuple, tuple] = {}
-    while open_:
-        for t in [t for t, (lo, hi, _b, _c) in open_.items() if lo == hi]:
-            found[t[0]][t[1]] = open_.pop(t)[0]
-        for t in [t for t, (_lo, _hi, _b, c) in open_.items() if c <= COLLECT_MAX]:
-            fetch[t] = open_.pop(t)
-        if not open_:
+        n, ends = base[k]
+        if rs:
+            todo.append((k, _Search(exprs[k].cast("double"), rs, None, None, 0, n), list(zip(ends[::2], ends[1::2], strict=True))))
+    while todo:
+        left = _count(df, todo, found)
+        small = [t for t in left if t[1].inside <= COLLECT_MAX]
+        if small:
+            _fetch(df, small, found)
+        large = [t for t in left if t[1].inside > COLLECT_MAX]
+        if not large:
             break
-        probes = []
-        margin = 2.0 / ACCURACY
-        for i, ((k, r), (lo, hi, below, inside)) in enumerate(open_.items()):
-            q = (r - below + 0.5) / inside
-            ends = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-            x = F.when(value[k].between(F.lit(lo), F.lit(hi)), value[k])
-            probes.append(F.percentile_approx(x, ends, ACCURACY).alias(f"p{i}"))
-        ends = df.agg(*probes).first()
-        counts = []
-        for i, (k, _r) in enumerate(open_):
-            lo, hi = ends[f"p{i}"]
-            counts += [F.count_if(value[k] < F.lit(lo)).alias(f"b{i}"), F.count_if(value[k].between(F.lit(lo), F.lit(hi))).alias(f"c{i}")]
-        row = df.agg(*counts).first()
-        after = {}
-        for i, (t, (lo, hi, below, inside)) in enumerate(open_.items()):
-            (nlo, nhi), b, c = ends[f"p{i}"], row[f"b{i}"], row[f"c{i}"]
-            if not b <= t[1] < b + c:  # the sketch missed the rank: fetch by distinct value
-                fetch[t] = (lo, hi, below, inside)
-            elif c > inside // 2 and nlo != nhi:  # a few very frequent values: no further narrowing
-                fetch[t] = (nlo, nhi, b, c)
-            else:
-                after[t] = (nlo, nhi, b, c)
-        open_ = after
-    if fetch:
-        spans = {}
-        for (k, _r), (lo, hi, _b, _c) in fetch.items():
-            spans.setdefault((k, lo, hi), len(spans))
-        hits = [F.when(value[k].between(F.lit(lo), F.lit(hi)), F.struct(F.lit(g).alias("g"), value[k].alias("x"))) for (k, lo, hi), g in spans.items()]
-        rows = df.select(F.explode(F.filter(F.array(*hits), lambda e: e.isNotNull())).alias("e")).groupBy("e.g", "e.x").count().collect()
-        by_span: dict[int, list] = {}
-        for r in rows:
-            by_span.setdefault(r["g"], []).append((r["x"], r["count"]))
-        for (k, r), (lo, hi, below, _c) in fetch.items():
-            for x, c in sorted(by_span[spans[(k, lo, hi)]]):
-                below += c
-                if r < below:
-                    found[k][r] = x
-                    break
+        shares = [[(r - s.below + 0.5) / s.inside for r in s.ranks] for _k, s in large]
+        row = df.agg(*[_probe(s.within(), q).alias(f"p{i}") for i, ((_k, s), q) in enumerate(zip(large, shares, strict=True))]).first()
+        todo = [(k, s, list(zip(row[f"p{i}"][::2], row[f"p{i}"][1::2], strict=True))) for i, (k, s) in enumerate(large)]
     return found
 
 
 def stats_row(df: DataFrame, aggs: Sequence) -> dict:
     """Run one global aggregation and return its single row as a dict.
-    ``Quantile`` entries are resolved exactly."""
+    ``Quantile`` entries are resolved exactly, in two more passes (see above)."""
     if not aggs:
         return {}
     cols = [a for a in aggs if not isinstance(a, Quantile)]
@@ -143,13 +173,13 @@ def stats_row(df: DataFrame, aggs: Sequence) -> dict:
         keyed.setdefault(str(qq.expr), (qq.expr, []))[1].append(qq)
     keys = {k: f"__q{i}" for i, k in enumerate(keyed)}
     base_aggs = list(cols)
-    for k, (e, _lst) in keyed.items():
+    for k, (e, lst) in keyed.items():
         x = e.cast("double")
-        base_aggs += [F.count(x).alias(f"{keys[k]}_n"), F.min(x).alias(f"{keys[k]}_lo"), F.max(x).alias(f"{keys[k]}_hi")]
+        base_aggs += [F.count(x).alias(f"{keys[k]}_n"), _probe(x, sorted({qq.q for qq in lst})).alias(f"{keys[k]}_p")]
     row = df.agg(*base_aggs).first().asDict()
     out = {c: v for c, v in row.items() if not c.startswith("__q")}
     exprs = {keys[k]: e for k, (e, _l) in keyed.items()}
-    base = {keys[k]: (row[f"{keys[k]}_n"], row[f"{keys[k]}_lo"], row[f"{keys[k]}_hi"]) for k in keyed}
+    base = {keys[k]: (row[f"{keys[k]}_n"], row[f"{keys[k]}_p"]) for k in keyed}
     ranks = {keys[k]: _ranks(base[keys[k]][0], [qq.q for qq in lst]) if base[keys[k]][0] else set() for k, (_e, lst) in keyed.items()}
     stats = order_statistics(df, exprs, ranks, base)
     for k, (_e, lst) in keyed.items():

@@ -165,7 +165,7 @@ fp AS (SELECT features.*, {lags} FROM features)
 @query("flex_compare", _flex_sql)
 def q_flex_compare(spark, sf):
     """V5: every batch vs golden, plant average and the previous batch (by id)."""
-    f = context.features(spark, sf)
+    f = context.features(spark, sf).select("Batch_ID", *[c for c, _ in C.FLEX_METRICS])
     from batchlens.functions.numeric import exact_avg
 
     pa = f.agg(*[exact_avg(c).alias(c) for c, _ in C.FLEX_METRICS]).first().asDict()

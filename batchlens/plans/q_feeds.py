@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from batchlens.constants import ACTIVE_MODES
 from batchlens.operators import compare as C
+from batchlens.operators import timeseries as TS
 from batchlens.operators.sessions import epoch_micros
 from batchlens.plans import context
 from batchlens.plans import sqlgen as S
@@ -54,9 +55,9 @@ a AS (SELECT row_order, epoch_us(timestamp) AS us, coalesce(nullif(CAST(machine_
   coalesce(lower(CAST(operation_mode AS VARCHAR)) IN ({modes}), false) AS act, wm FROM sensor_readings CROSS JOIN b WHERE epoch_us(timestamp) < wm),
 g AS (SELECT *, CASE WHEN lag(us) OVER ({w}) IS NULL OR us - lag(us) OVER ({w}) > {GAP_MIN * 60000000} OR (act AND NOT lag(act) OVER ({w})) THEN 1 ELSE 0 END AS nb FROM a),
 s AS (SELECT *, sum(nb) OVER ({w} ROWS UNBOUNDED PRECEDING) AS sid, max(us) OVER (PARTITION BY m) AS last_us FROM g),
-t AS (SELECT m, sid, min(us) AS start_us, max(us) AS end_us, count(*) AS n_readings, count(*) FILTER (act) AS n_active, any_value(last_us) AS last_us, any_value(wm) AS wm
+t AS (SELECT m, sid, min(us) AS start_us, max(us) AS end_us, count(*) AS n_readings, count(*) FILTER (act) AS n_active, first(row_order ORDER BY us, row_order) AS first_row, any_value(last_us) AS last_us, any_value(wm) AS wm
   FROM s GROUP BY m, sid)
-SELECT 'AUTO_' || {S.token_sql('m')} || '_' || strftime(make_timestamp(start_us), '%Y%m%d%H%M%S%f') AS Batch_ID, m AS machine_id,
+SELECT 'AUTO_' || {S.token_sql('m')} || '_' || strftime(make_timestamp(start_us), '%Y%m%d%H%M%S%f') || '_' || CAST(first_row AS VARCHAR) AS Batch_ID, m AS machine_id,
   CAST(start_us AS BIGINT) AS start_us, CAST(end_us AS BIGINT) AS end_us, n_readings, n_active
 FROM t WHERE end_us < last_us OR end_us + {GAP_MIN * 60000000} < wm"""
 
@@ -126,3 +127,47 @@ def q_stream_red_alerts(spark, sf):
     schema = run("ckpt-new")
     sent = feeds.read_alerts(spark, alerts, schema)
     return C.red_zone_alerts(sent, sent.select("Batch_ID").limit(0))
+
+
+FRAME_MIN = 7 * 24 * 60
+Z = 2.2
+
+
+def _z_sql() -> str:
+    w = f"PARTITION BY m ORDER BY us RANGE BETWEEN {FRAME_MIN * 60_000_000} PRECEDING AND CURRENT ROW"
+    rolled = f"CASE WHEN rs > {TS.NO_SPREAD!r} THEN abs(power_kw - rm) / rs END"
+    whole = f"CASE WHEN sd > {TS.NO_SPREAD!r} THEN abs(power_kw - mu) / sd END"
+    return f"""WITH {S.views('sensor_readings')},
+a AS (SELECT row_order, machine_id, power_kw, coalesce(nullif(CAST(machine_id AS VARCHAR), ''), 'M01') AS m, epoch_us(timestamp) AS us FROM sensor_readings),
+s AS (SELECT *, avg(power_kw) OVER (PARTITION BY m) AS mu, stddev_pop(power_kw) OVER (PARTITION BY m) AS sd,
+  count(power_kw) OVER ({w}) AS n_rolling, avg(power_kw) OVER ({w}) AS rm, stddev_pop(power_kw) OVER ({w}) AS rs FROM a)
+SELECT row_order, machine_id, {S.rint(whole, 6)} AS z_machine, coalesce({whole} >= {Z}, false) AS flag_machine, n_rolling,
+  {S.rint(rolled, 6)} AS z_rolling, coalesce({rolled} >= {Z}, false) AS flag_rolling FROM s"""
+
+
+@query("zscore_rolling", _z_sql)
+def q_zscore_rolling(spark, sf):
+    """W9 per machine and rolling: power of every reading against all readings of its machine and those of the last 7 days."""
+    out = TS.rolling_zscores(sensor_readings(spark, sf), "power_kw", FRAME_MIN, Z)
+    return out.select("row_order", "machine_id", "z_machine", "flag_machine", "n_rolling", "z_rolling", "flag_rolling")
+
+
+STRETCH = 12
+
+
+@query("monthly_machine_energy", lambda: f"""WITH {S.views('sensor_readings')},
+a AS (SELECT coalesce(nullif(CAST(machine_id AS VARCHAR), ''), 'M01') AS m, power_kw,
+  CAST(date_trunc('month', make_timestamp(1704067200000000 + (epoch_us(timestamp) - 1704067200000000) * {STRETCH})) AS DATE) AS mon
+  FROM sensor_readings WHERE operation_mode = 'Idle'),
+e AS (SELECT m, mon, count(*) AS n, {S.xsum('power_kw')} AS e FROM a GROUP BY m, mon),
+r AS (SELECT CAST(unnest(generate_series(CAST(min(mon) AS TIMESTAMP), CAST(max(mon) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS mon FROM e),
+f AS (SELECT k.m, r.mon, coalesce(n, 0) AS n, coalesce(e, 0.0) AS e FROM (SELECT DISTINCT m FROM e) k CROSS JOIN r LEFT JOIN e ON e.m = k.m AND e.mon = r.mon)
+SELECT m AS machine_id, strftime(mon, '%Y-%m-%d') AS Month, n AS n_readings, e AS Energy_kWh,
+  {S.rint('avg(e) OVER (PARTITION BY m ORDER BY mon ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 6)} AS Rolling_kWh FROM f""")
+def q_monthly_machine_energy(spark, sf):
+    """D6 on event time: energy of idle readings per machine and calendar month, months without any as 0. The feed covers one month,
+    so its times are stretched twelvefold from its start."""
+    us = F.lit(1704067200000000) + (epoch_micros("timestamp") - F.lit(1704067200000000)) * STRETCH
+    year = sensor_readings(spark, sf).filter(F.col("operation_mode") == "Idle").withColumn(
+        "timestamp", F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+    return TS.monthly_series(year, "power_kw")

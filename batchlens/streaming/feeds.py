@@ -43,7 +43,7 @@ def stage_in_order(df: DataFrame, chunk: Column, chunks: int, path: str, files_p
 # --------------------------------------------------------------- closed sessions
 class ModeEdgeSessions(StatefulProcessor):
     """One machine's batches. ``pending`` holds rows ahead of the watermark as packed (time, order, active) triples;
-    ``open`` is the batch that may still go on: start, last time, last active, rows, active rows."""
+    ``open`` is the batch that may still go on: start, last time, last active, rows, active rows, order of the first row."""
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
@@ -51,7 +51,7 @@ class ModeEdgeSessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", T.StructType([T.StructField("rows", T.BinaryType())]))
-        self.open = handle.getValueState("open", T.StructType([T.StructField(f"v{k}", T.LongType()) for k in range(5)]))
+        self.open = handle.getValueState("open", T.StructType([T.StructField(f"v{k}", T.LongType()) for k in range(6)]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for some in rows:  # slices of bounded size; only three numbers of a row are kept
@@ -81,11 +81,11 @@ class ModeEdgeSessions(StatefulProcessor):
             bounds = np.append(starts, len(us))
             head = int(bounds[0])
             if head:  # the open batch goes on
-                now = (now[0], int(us[head - 1]), int(active[head - 1]), now[3] + head, now[4] + int(active[:head].sum()))
+                now = (now[0], int(us[head - 1]), int(active[head - 1]), now[3] + head, now[4] + int(active[:head].sum()), now[5])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if now is not None:
                     done.append(now)
-                now = (int(us[a]), int(us[b - 1]), int(active[b - 1]), b - a, int(active[a:b].sum()))
+                now = (int(us[a]), int(us[b - 1]), int(active[b - 1]), b - a, int(active[a:b].sum()), int(ready[a, 1]))
         if now is not None and now[1] + self.gap_us < passed:
             done.append(now)
             now = None
@@ -104,7 +104,7 @@ class ModeEdgeSessions(StatefulProcessor):
             self.handle.registerTimer(max(min(due), passed // 1000 + 1))
         if done:
             yield pd.DataFrame({"machine_id": key[0], "start_us": [d[0] for d in done], "end_us": [d[1] for d in done],
-                                "n_readings": [d[3] for d in done], "n_active": [d[4] for d in done]})
+                                "n_readings": [d[3] for d in done], "n_active": [d[4] for d in done], "first_row": [d[5] for d in done]})
 
     def close(self) -> None:
         pass
@@ -113,8 +113,8 @@ class ModeEdgeSessions(StatefulProcessor):
 def closed_sessions(stream: DataFrame, gap_minutes: float, delay: str, machine: str = "machine_id", ts_col: str = "timestamp",
                     order_col: str = "row_order", mode_col: str = "operation_mode") -> DataFrame:
     """Batch_ID, machine_id, start_us, end_us, n_readings, n_active of every closed batch, in append mode: per machine, a batch ends
-    with a gap above ``gap_minutes`` or before an inactive->active edge. Ids carry the start time, so no count has to
-    be kept. NULL machines are ``M01``, NULL modes inactive; rows without a time are left out; rows more than
+    with a gap above ``gap_minutes`` or before an inactive->active edge. Ids carry the start time and the
+    first row's order (two batches may start at one time), so no count has to be kept. NULL machines are ``M01``, NULL modes inactive; rows without a time are left out; rows more than
     ``delay`` late are dropped by the watermark."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # transformWithState has no other
@@ -123,10 +123,10 @@ def closed_sessions(stream: DataFrame, gap_minutes: float, delay: str, machine:
         F.col(order_col).cast("long").alias("ord"), active_flag(F.col(mode_col).cast("string")).cast("long").alias("act"),
     )
     out = rows.withWatermark("at", delay).groupBy("machine_id").transformWithStateInPandas(
-        ModeEdgeSessions(int(gap_minutes * 60_000_000)), "machine_id string, start_us long, end_us long, n_readings long, n_active long", "Append", "EventTime"
+        ModeEdgeSessions(int(gap_minutes * 60_000_000)), "machine_id string, start_us long, end_us long, n_readings long, n_active long, first_row long", "Append", "EventTime"
     )
     stamp = F.date_format(F.timestamp_add("MICROSECOND", "start_us", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyyMMddHHmmssSSSSSS")
-    return out.withColumn("Batch_ID", F.concat(F.lit("AUTO_"), machine_token(F.col("machine_id")), F.lit("_"), stamp))
+    return out.withColumn("Batch_ID", F.concat(F.lit("AUTO_"), machine_token(F.col("machine_id")), F.lit("_"), stamp, F.lit("_"), F.col("first_row").cast("string")))
 
 
 # --------------------------------------------------------------- late rows
