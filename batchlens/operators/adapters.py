@@ -92,7 +92,8 @@ def scada_snapshot_raw(process: DataFrame, emission_factor: float = DEFAULT_EMIS
 
 def to_candidate(standard: DataFrame, template: Mapping, emission_factor: float = DEFAULT_EMISSION_FACTOR) -> DataFrame:
     """Standard rows -> engine candidates against a template feature row
-    (one row, folded in as literals)."""
+    (one row, folded in as literals). A candidate is a copy of the template: columns that the
+    standard row says nothing about keep the template's value. Scores and zone are only made where the template has them."""
     def t(k, d):
         v = template.get(k)
         return float(d) if v is None else float(v)
@@ -131,5 +132,9 @@ def to_candidate(standard: DataFrame, template: Mapping, emission_factor: float
         ) * F.lit(100.0)
         eco = F.greatest(F.lit(0.0), F.least(F.lit(100.0), eco))
         cols["Eco_Efficiency_Score"] = rint_dp(eco, 9)
-        cols["Green_Zone"] = zone_candidate(eco)
+        if "Green_Zone" in template:
+            cols["Green_Zone"] = zone_candidate(eco)
+    for name, value in template.items():
+        if name not in cols:
+            cols[name] = F.lit(None).cast("double") if value is None else F.lit(value)
     return standard.select(*[v.alias(k) for k, v in cols.items()])

@@ -22,6 +22,11 @@ PROCESS_NUMERIC = [
     "Flow_Rate_LPM", "Power_Consumption_kW", "Vibration_mm_s",
 ]
 
+#: Columns of the production table that the quality, yield and performance scores read.
+KPI_PRODUCTION_COLUMNS = [
+    "Dissolution_Rate", "Hardness", "Friability", "Disintegration_Time", "Content_Uniformity", "Moisture_Content", "Machine_Speed",
+]
+
 PROCESS_FEATURES = [
     "Duration_Minutes", "Data_Points", "Avg_Temperature", "Max_Temperature", "Avg_Pressure",
     "Max_Compression_Force_kN", "Avg_Power_Consumption_kW", "Peak_Power_kW", "Max_Motor_Speed_RPM",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchlens.constants import CONTROL_PARAMETERS, PRIMARY_OBJECTIVES
-from batchlens.operators.ranking import rank_all_scenarios
+from batchlens.operators.ranking import rank_all_scenarios, score_expr
 
 PROFILE_COLUMNS = ["Batch_ID", *CONTROL_PARAMETERS, *PRIMARY_OBJECTIVES, "Green_Zone", "Scenario_Score"]
 
@@ -77,6 +77,13 @@ def nest_signatures(top: DataFrame, scenarios: Mapping[str, Mapping[str, float]]
     )
 
 
+def score_batches(features: DataFrame, stats: Mapping, scenarios: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """H3 for whole batches: each one once per scenario with ``Scenario_Score`` against the objective ranges ``stats`` of
+    another table (those that the current signatures were ranked with)."""
+    scored = F.array(*[F.struct(F.lit(n).alias("scenario"), score_expr(w, stats).alias("Scenario_Score")) for n, w in scenarios.items()])
+    return features.withColumn("__s", F.explode(scored)).select("*", "__s.scenario", "__s.Scenario_Score").drop("__s")
+
+
 def promote_if_better(current: DataFrame, candidates: DataFrame, source_tag: str, as_of: str) -> DataFrame:
     """H8: per scenario, replace the signature when the candidate's score is
     strictly greater. Scenarios without a current signature are ignored.

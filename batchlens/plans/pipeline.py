@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from batchlens.constants import DEFAULT_EMISSION_FACTOR, REQUIRED_PROCESS_COLUMNS, REQUIRED_PRODUCTION_COLUMNS
 from batchlens.operators import schema_map as sm
+from batchlens.operators.features import KPI_PRODUCTION_COLUMNS
 from batchlens.plans.adaptive import run_adaptive
 from batchlens.plans.structured import build_features
 
@@ -38,8 +39,9 @@ def route(production: DataFrame, process: DataFrame) -> Route:
 
 
 def run_pipeline(process: DataFrame, order_col: str, production: DataFrame | None = None, emission_factor: float = DEFAULT_EMISSION_FACTOR) -> tuple[str, DataFrame]:
-    """(path taken, feature table). Without a production table, and where the structured rule fails, the
-    readings go the adaptive path under whatever headers they have."""
-    if production is not None and route(production, process).name == "structured":
+    """(path taken, feature table). Without a production table, where the structured rule fails, and where the production
+    table lacks columns that the scores are made of (the rule asks for generic names, the scores need others too),
+    the readings go the adaptive path under whatever headers they have."""
+    if production is not None and set(KPI_PRODUCTION_COLUMNS) <= set(production.columns) and route(production, process).name == "structured":
         return "structured", build_features(production, process, emission_factor).features
     return "adaptive", run_adaptive(process, order_col, emission_factor).features

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from batchlens import constants as K
 from batchlens.constants import DEFAULT_SCENARIOS
 from batchlens.operators import adapters as AD
-from batchlens.operators import analytics as A
 from batchlens.operators import compare as C
 from batchlens.operators import golden, ranking
 from batchlens.operators import schema_map as sm
@@ -80,13 +79,11 @@ def q_std_from_features(spark, sf):
 
 
 @query("std_manual", lambda: f"""WITH {S.structured_ctes()},
-last AS (SELECT * FROM features ORDER BY Batch_ID DESC LIMIT 12),
-{_std_sql('last', {**{k: v for k, v in FEAT_STD.items() if k != 'carbon_kg'}, 'carbon_kg': 'Total_Energy_kWh * 0.82'}, 'manual_adapter', None, 'Batch_ID')}
+{_std_sql('features', {**{k: v for k, v in FEAT_STD.items() if k != 'carbon_kg'}, 'carbon_kg': 'Total_Energy_kWh * 0.82'}, 'manual_adapter', None, 'Batch_ID')}
 SELECT * FROM std""")
 def q_std_manual(spark, sf):
-    """Manual entries (here: the last 12 batches re-entered) as standard rows."""
-    last = A.lookback(context.features(spark, sf), 12, ["Batch_ID", *FEAT_STD.values()])
-    entries = AD.features_to_standard_raw(last).drop("carbon_kg")
+    """Manual entries (here: every batch re-entered) as standard rows."""
+    entries = AD.features_to_standard_raw(context.features(spark, sf)).drop("carbon_kg")
     return _std_out(AD.normalize_to_standard(AD.manual_rows(entries), AS_OF, source_tag="manual_adapter"))
 
 
@@ -125,7 +122,9 @@ def _cand_sql() -> str:
 SELECT s.batch_id AS Batch_ID, s.temperature_c AS Avg_Temperature, s.pressure_bar AS Avg_Pressure, s.rpm AS Machine_Speed,
   s.process_time_min AS Duration_Minutes, s.energy_kwh AS Total_Energy_kWh, coalesce(s.carbon_kg, s.energy_kwh * 0.82) AS Carbon_kg,
   {y} AS Yield_Percent, {q} AS Quality_Score, {S.rint(perf, 9)} AS Performance_Score, {S.rint(eco, 9)} AS Eco_Efficiency_Score,
-  CASE WHEN {eco} >= 70.0 THEN 'Green' WHEN {eco} >= 40.0 THEN 'Yellow' ELSE 'Red' END AS Green_Zone
+  CASE WHEN {eco} >= 70.0 THEN 'Green' WHEN {eco} >= 40.0 THEN 'Yellow' ELSE 'Red' END AS Green_Zone,
+  g.* EXCLUDE (Batch_ID, Avg_Temperature, Avg_Pressure, Machine_Speed, Duration_Minutes, Total_Energy_kWh, Carbon_kg, Yield_Percent,
+    Quality_Score, Performance_Score, Eco_Efficiency_Score, Green_Zone)
 FROM std s CROSS JOIN gp g"""
 
 
