@@ -12,7 +12,9 @@ from batchlens.plans import context
 from batchlens.plans import sqlgen as S
 from batchlens.plans.q_io import AS_OF, scratch
 from batchlens.plans.registry import query
+from batchlens.sources import incremental
 from batchlens.sources import signature_versions as SV
+from batchlens.sources.tables import process_readings, production_batches
 
 #: Share of the batch numbers that make the first period.
 EARLY = 0.3
@@ -103,3 +105,34 @@ def q_compare_stored_golden(spark, sf):
     root, best = _lifecycle(spark, sf)
     _version, stored = SV.read(spark, root)
     return C.compare_to_signatures(_periods(context.features(spark, sf))[1], SV.profiles(stored, best))
+
+
+FILES = 8
+CHANGED = 3
+POWER = "l_extendedprice / 1000.0 AS Power_Consumption_kW"
+
+
+def _incremental_sql() -> str:
+    sql = f"WITH {S.structured_ctes()}\nSELECT features.* FROM features"
+    changed = POWER.replace("l_extendedprice / 1000.0", f"CASE WHEN l_orderkey % {FILES} = {CHANGED} THEN l_extendedprice / 500.0 ELSE l_extendedprice / 1000.0 END")
+    if POWER not in sql:
+        raise ValueError("the readings' view has changed")
+    return sql.replace(POWER, changed)
+
+
+@query("store_incremental", _incremental_sql)
+def q_store_incremental(spark, sf):
+    """Features of a store over files, refreshed after one of the eight files of readings has changed (its power doubled): that
+    file is read again, the other per-batch aggregates stay as they are."""
+    base = scratch(spark, "incremental")
+    number = F.substring("Batch_ID", 2, 18).cast("long")
+    readings = process_readings(spark, sf)
+    production_batches(spark, sf).write.parquet(f"{base}/production")
+    for k in range(FILES):
+        readings.filter(number % FILES == k).coalesce(1).write.parquet(f"{base}/process/f{k}")
+    production = incremental.Source([f"{base}/production"], ["*"])
+    process = incremental.Source([f"{base}/process/f{k}" for k in range(FILES)], ["*"])
+    incremental.refresh(spark, f"{base}/store", production, process, buckets=FILES)
+    doubled = readings.filter(number % FILES == CHANGED).withColumn("Power_Consumption_kW", F.col("Power_Consumption_kW") * 2)
+    doubled.coalesce(1).write.mode("overwrite").parquet(f"{base}/process/f{CHANGED}")
+    return incremental.refresh(spark, f"{base}/store", production, process).tables["features"]
