@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import batch_columns, emit, materialize
-from .pieces import piece_encoder
+from .tokens import piece_encoder
 
 CAPACITY = 4096
 END_ID = 2

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_columns, batches_of, emit, materialize
-from .tokens import MEMO, encoder
+from .common import batches_of, emit, materialize
+from .tokens import MEMO, piece_encoder
 
 CAPACITY = 2048
 #: A bin with no more free places than this is emitted at once.
@@ -65,19 +65,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        tool, end = encoder(path, memo), struct.pack("<I", end_id)
+        tool, end = piece_encoder(path, True, memo), struct.pack("<I", end_id)
 
         def rows():
             for batch in batches:
-                keys, texts = batch_columns(batch, "doc_id", "text")
-                for at in range(0, len(keys), 500):
-                    for key, raw in zip(keys[at : at + 500], tool.encode(texts[at : at + 500]), strict=True):
-                        view = memoryview(raw + end)
+                keys = batch.column(0).to_pylist()
+                for at, ids, ends in tool.slices(batch.column(1)):
+                    for k in range(len(ends) - 1):
+                        view = memoryview(ids[ends[k] : ends[k + 1]].tobytes() + end)
                         n = len(view) // 4
                         stop = n % capacity or capacity
                         start, piece = 0, 0
                         while start < n:
-                            yield key, piece, start, stop - start, zlib.crc32(view[4 * start : 4 * stop])
+                            yield keys[at + k], piece, start, stop - start, zlib.crc32(view[4 * start : 4 * stop])
                             start, stop, piece = stop, stop + capacity, piece + 1
 
         return batches_of(schema, rows())

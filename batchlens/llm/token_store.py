@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_columns, emit, materialize, shard_count
-from .tokens import encoder
+from .tokens import piece_encoder
 
 MAGIC = b"DACIDS01"
 BLOCK = 512
@@ -118,7 +118,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
     the part), doc_ids, n_ids, payload."""
 
     def segments(batches):
-        end, tool = struct.pack("<I", end_id), encoder(path)
+        end, tool = struct.pack("<I", end_id), piece_encoder(path, True)
         ids: list[int | None] = []
         held: list[bytes] = []
         size, number, before = 0, 0, 0
@@ -132,12 +132,12 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
             return out
 
         for batch in batches:
-            keys, texts = batch_columns(batch, "doc_id", "text")
-            for at in range(0, len(keys), 500):
-                for key, raw in zip(keys[at : at + 500], tool.encode(texts[at : at + 500]), strict=True):
-                    ids.append(key)
-                    held.append(raw + end)
-                    size += len(raw) // 4 + 1
+            keys = batch.column(0).to_pylist()
+            for at, found, ends in tool.slices(batch.column(1)):
+                for k in range(len(ends) - 1):
+                    ids.append(keys[at + k])
+                    held.append(found[ends[k] : ends[k + 1]].tobytes() + end)
+                    size += int(ends[k + 1] - ends[k]) + 1
                     if size >= SEGMENT_IDS:
                         yield flush()
         if ids:
