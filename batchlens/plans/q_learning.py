@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from batchlens.constants import DEFAULT_SCENARIOS
-from batchlens.operators import golden, learning, ranking
+from batchlens.operators import golden, learning, optimum, ranking
 from batchlens.plans import context
 from batchlens.plans.registry import query
 
@@ -49,3 +49,9 @@ def q_surrogate_candidates(spark, sf):
 def q_surrogate_bounded(spark, sf):
     """L3 (re-aimed): the same search inside +-10 % bounds."""
     return learning.search(_profiles(spark, sf), surrogates(spark, sf), "seed_idx", n=40, spread=0.10, id_prefix="SIM_OPT_")
+
+
+@query("surrogate_optimum")
+def q_surrogate_optimum(spark, sf):
+    """L3 exact: the best predicted composite within +-10 % of every scenario signature, with its bound."""
+    return optimum.bounded_optimum(_profiles(spark, sf), surrogates(spark, sf))
