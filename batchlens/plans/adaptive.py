@@ -69,9 +69,9 @@ def prepare_rows(src: DataFrame, order_col: str) -> tuple[DataFrame, dict, bool,
     return d.select(*keep), resolved, generated, session
 
 
-def build_timeseries(rows: DataFrame, order_col: str) -> tuple[DataFrame, float]:
-    """The filled per-row process time series."""
-    step = step_minutes(rows, "Timestamp", order_col)
+def row_signals(rows: DataFrame, step: float) -> tuple[DataFrame, dict, dict]:
+    """``__energy``, ``__output`` and ``__quality`` of every row, each from the best signal that the table has,
+    and the statistics of the signals and of the derived columns."""
     sig = {s: F.col(f"sig_{s}") for s in SIGNALS}
     aggs = [F.count(sig[s]).alias(f"n_{s}") for s in SIGNALS]
     aggs += [pct(sig[s], 0.5).alias(f"med_{s}") for s in MEDIAN_SIGNALS]
@@ -115,6 +115,14 @@ def build_timeseries(rows: DataFrame, order_col: str) -> tuple[DataFrame, float]
         ) * F.lit(100.0)
         quality = clip_keep_null(proxy, 20.0, 95.0)
     d = d.withColumn("__quality", quality)
+    return d, a, b
+
+
+def build_timeseries(rows: DataFrame, order_col: str) -> tuple[DataFrame, float]:
+    """The filled per-row process time series."""
+    step = step_minutes(rows, "Timestamp", order_col)
+    sig = {s: F.col(f"sig_{s}") for s in SIGNALS}
+    d, a, b = row_signals(rows, step)
     d = elapsed_minutes(d, "Batch_ID", "Timestamp", order_col, "sig_process_time_min", out="__tmin")
 
     def med_or(s: str, default: Column | float) -> Column:

@@ -28,7 +28,7 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from batchlens.plans import q_adaptive, q_analytics, q_compare, q_core, q_decision, q_feeds, q_io, q_learning, q_misc, q_reports, q_stream, q_versions  # noqa: F401
+    from batchlens.plans import q_adaptive, q_analytics, q_branches, q_compare, q_core, q_decision, q_feeds, q_io, q_learning, q_misc, q_reports, q_stream, q_versions  # noqa: F401
 
 
 def oracles() -> dict[str, str]:
