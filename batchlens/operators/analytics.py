@@ -97,27 +97,27 @@ def corr_expr(a: str, b: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Long form (Metric_A, Metric_B, Corr) over the upper triangle, the lower half mirrored. A first pass counts
-    values and takes means and ranges; a second one sums the products of centred values for all pairs of columns
-    without NULLs. Only pairs with NULLs need a moment aggregate of their own (their pair-complete rows have
-    means of their own). A constant column correlates with nothing, itself included (0.0)."""
+    """Long form (Metric_A, Metric_B, Corr) over the upper triangle, the lower half mirrored, on pair-complete rows. A first
+    pass takes the columns' means; in a second one every row adds its pairs of centred values to narrow sums per
+    pair, combined in the tasks (one wide aggregate of all pairs is too long a method to be compiled). A column that is constant
+    on a pair's rows correlates with nothing, itself included (0.0)."""
     d = df.select(*[F.col(c).cast("double").alias(c) for c in metrics])
-    first = d.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(metrics) for n, f in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
-    whole = [first["rows"] > 1 and first[f"n{i}"] == first["rows"] for i in range(len(metrics))]
-    flat = [first[f"lo{i}"] is None or first[f"lo{i}"] == first[f"hi{i}"] for i in range(len(metrics))]
-    centred = [F.col(c) - F.lit(first[f"m{i}"]) for i, c in enumerate(metrics)]
+    first = d.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(metrics)]).first()
+    centred = [F.col(c) - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(metrics)]
     pairs = [(i, j) for i in range(len(metrics)) for j in range(i, len(metrics))]
-    shared = [(i, j) for i, j in pairs if whole[i] and whole[j] and not flat[i] and not flat[j]]
-    own = [(i, j) for i, j in pairs if (i, j) not in set(shared) and not flat[i] and not flat[j]]
-    aggs = [F.sum(centred[i]).alias(f"s{i}") for i in range(len(metrics)) if whole[i] and not flat[i]]
-    aggs += [F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i, j in shared]
-    aggs += [corr_expr(metrics[i], metrics[j]).alias(f"c{i}_{j}") for i, j in own]
-    row = d.agg(*aggs).first() if aggs else {}
-    value = {(i, j): row[f"c{i}_{j}"] for i, j in own}
-    for i, j in shared:
-        cov = lambda a, b: row[f"p{a}_{b}"] - row[f"s{a}"] * row[f"s{b}"] / first["rows"]
-        value[i, j] = rint9(cov(i, j) / math.sqrt(cov(i, i) * cov(j, j)))
-    rows = [(metrics[a], metrics[b], float(value.get((i, j), 0.0))) for i, j in pairs for a, b in dict.fromkeys(((i, j), (j, i)))]
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), centred[i].alias("a"), centred[j].alias("b")) for k, (i, j) in enumerate(pairs)])
+    long = d.select(F.explode(cells).alias("x")).select("x.*").filter("a IS NOT NULL AND b IS NOT NULL")
+    sums = long.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(F.col("a") * F.col("a")).alias("aa"),
+        F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("a") * F.col("b")).alias("ab"),
+        *[f(c).alias(f"{n}{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))],
+    )
+    value = dict.fromkeys(pairs, 0.0)
+    for r in sums.collect():  # one row a pair
+        va, vb = r["aa"] - r["sa"] ** 2 / r["n"], r["bb"] - r["sb"] ** 2 / r["n"]
+        if r["loa"] < r["hia"] and r["lob"] < r["hib"] and va > 0 and vb > 0:
+            value[pairs[r["k"]]] = rint9((r["ab"] - r["sa"] * r["sb"] / r["n"]) / (math.sqrt(va) * math.sqrt(vb)))
+    rows = [(metrics[x], metrics[y], float(v)) for (i, j), v in value.items() for x, y in dict.fromkeys(((i, j), (j, i)))]
     return df.sparkSession.createDataFrame(rows, "Metric_A string, Metric_B string, Corr double")
 
 

@@ -92,19 +92,29 @@ class _Search:
 
 
 def _count(df: DataFrame, tasks: list[tuple[str, _Search, list[tuple[float, float]]]], found: dict) -> list[tuple[str, _Search]]:
-    """One pass that counts the values at and between the ends of every interval; what remains open, narrowed."""
-    aggs, seen = [], {}
-    for key, s, spans in tasks:
-        for lo, hi in dict.fromkeys(spans):
-            seen[key, id(s), lo, hi] = len(aggs) // 4
-            i = len(aggs)
-            aggs += [F.count_if(c).alias(f"c{i + j}") for j, c in enumerate((s.x < F.lit(lo), s.x <= F.lit(lo), s.x < F.lit(hi), s.x <= F.lit(hi)))]
-    row = df.agg(*aggs).first()
+    """One pass that counts the values at and between the ends of every interval; what remains open, narrowed. Each value
+    of each expression becomes the number of ends that it reaches (e <= x) and passes (e < x), in ascending order, so a count per
+    number holds all counts; short expressions instead of one wide aggregate, which would be too long to compile."""
+    ends = [sorted({e for span in spans for e in span}) for _k, _s, spans in tasks]
+    code = F.lit(0)
+    for k in range(max(map(len, ends))):
+        e = F.col("ends")[k]
+        code = code + F.when(F.col("x") >= e, 1).otherwise(0) + F.when(F.col("x") > e, 1).otherwise(0)
+    pad = lambda some: some + [math.inf] * (max(map(len, ends)) - len(some))
+    values = df.select(F.posexplode(F.array(*[s.x for _k, s, _spans in tasks])).alias("g", "x")).filter("x IS NOT NULL")
+    lines = F.array(*[F.array(*[F.lit(float(e)) for e in pad(some)]) for some in ends])
+    rows = values.select("g", "x", F.get(lines, F.col("g")).alias("ends")).groupBy("g", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    counts: dict[int, dict[int, int]] = {}
+    for r in rows.collect():  # at most twice as many rows as ends
+        counts.setdefault(r["g"], {})[r["code"]] = r["n"]
     left = []
-    for key, s, spans in tasks:
+    for g, ((key, s, _spans), some) in enumerate(zip(tasks, ends, strict=True)):
         rest: dict[tuple, set] = {}
-        cuts = sorted({(e, row[f"c{4 * seen[key, id(s), lo, hi] + j}"], row[f"c{4 * seen[key, id(s), lo, hi] + j + 1}"])
-                       for lo, hi in spans for e, j in ((lo, 0), (hi, 2))})
+        below_code = [0]
+        for code in range(2 * len(some) + 1):
+            below_code.append(below_code[-1] + counts.get(g, {}).get(code, 0))
+        # values below the k-th end have codes up to 2 k, values equal to it 2 k + 1
+        cuts = [(e, below_code[2 * k + 1], below_code[2 * k + 2]) for k, e in enumerate(some)]
         for r in s.ranks:
             lo, below, hi, above = s.lo, s.below, s.hi, s.below + s.inside
             for e, less, upto in cuts:
