@@ -8,7 +8,8 @@ headers, sidebars, notices, adverts, forms, comments, footers; semantic and plai
 about two seconds. Extraction is one pass over the pages, no shuffle.
 
 Article blocks are given with character references decoded and white space runs (line-break tags included)
-as one blank, joined by line feeds. Script, style and the like, comments and the head never give blocks.
+as one blank, joined by line feeds. Script, style, frames, noscript, titles, text areas and comments never give blocks, nor does
+a closed template; text of svg, math, object, canvas, audio and video is text like any other.
 
 Edge cases: null or empty html, or no article block, gives an empty text; broken or cut-off markup is read as far
 as it goes; very long pages are read whole (time linear in their length); repeated rows stay; null ids and
@@ -37,7 +38,10 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe object svg math title textarea noframes xmp canvas audio video".split())
+#: Their content is text without tags up to their end tag, or to the page's end; it isn't shown as text of the page.
+RAW = frozenset("script style noscript title textarea iframe noframes xmp".split())
+#: Content that is never shown, where the element is closed.
+HIDDEN = frozenset(("template",))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements of its own kind.
 CLOSES = {
@@ -53,16 +57,54 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """``around``: features of all open elements (tags, class and id words); ``parent``: the innermost tag."""
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("around", "parent", "text", "linked")
+
+    def __init__(self, around: tuple[str, ...], parent: str, text: str, linked: int):
+        self.around, self.parent, self.text, self.linked = around, parent, text, linked
+
+
+class Stack:
+    """Open elements. Counts of their features and tags are kept while they come and go, so a block deep down costs no more
+    than one at the top. ``known``: the features that anyone asks for (None: all)."""
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.known, self.items, self.tags, self.counts, self.cached = known, [], {}, {}, ()
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        own = [f for f in (f"in:{tag}", *names) if self.known is None or f in self.known]
+        self.items.append((tag, own))
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        for f in own:
+            if f not in self.counts:
+                self.counts[f], self.cached = 0, None
+            self.counts[f] += 1
+
+    def cut(self, at: int) -> None:
+        """Close all elements from place ``at`` on."""
+        while len(self.items) > at:
+            tag, own = self.items.pop()
+            self.tags[tag] -= 1
+            for f in own:
+                self.counts[f] -= 1
+                if not self.counts[f]:
+                    del self.counts[f]
+                    self.cached = None
+
+    def around(self) -> tuple[str, ...]:
+        if self.cached is None:
+            self.cached = tuple(sorted(self.counts))
+        return self.cached
+
+    def open(self, tags) -> bool:
+        return any(self.tags.get(t) for t in tags)
 
 
 @lru_cache(maxsize=4096)
 def _words(attributes: str) -> tuple[str, ...]:
     found = " ".join("".join(m) for m in NAMES.findall(attributes)).lower()
-    return tuple(WORDS.findall(found))
+    return tuple(f"name:{w}" for w in dict.fromkeys(WORDS.findall(found)))
 
 
 @lru_cache(maxsize=1024)
@@ -70,19 +112,19 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE)
 
 
-def blocks(html: str) -> list[Block]:
-    """Leaf blocks with text, in page order. ``path``: (tag, class and id words) from the root down."""
+def blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack = Stack(known)
     parts: list[str] = []
-    linked, anchors, at = 0, 0, 0
+    linked, at = 0, 0
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack.around(), stack.items[-1][0] if stack.items else "", text, linked))
         parts, linked = [], 0
 
     while True:
@@ -90,7 +132,7 @@ def blocks(html: str) -> list[Block]:
         piece = html[at : m.start()] if m else html[at:]
         if piece:
             parts.append(piece)
-            if anchors:
+            if stack.tags.get("a"):
                 linked += len(piece)
         if not m:
             break
@@ -102,31 +144,34 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if name in BLOCKS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    anchors -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if stack.tags.get(name):
+                k = len(stack.items) - 1
+                while stack.items[k][0] != name:
+                    k -= 1
+                stack.cut(k)
             continue
-        if name in RAW:
+        if name in RAW or name in HIDDEN:
             if not m[0].endswith("/>"):
                 end = _raw_end(name).search(html, at)
-                at = end.end() if end else len(html)
-            continue
+                if end:
+                    at = end.end()
+                    continue
+                if name in RAW:
+                    at = len(html)
+                    continue
+            else:
+                continue
         if name in BLOCKS:
             close()
-            ends = CLOSES.get(name, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    anchors -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                elif stack[k][0] in SCOPE:
-                    break
+            ends, k = CLOSES.get(name, ()), len(stack.items) - 1
+            while k >= 0 and stack.open(ends) and (stack.items[k][0] in ends or stack.items[k][0] not in SCOPE):
+                if stack.items[k][0] in ends:
+                    stack.cut(k)
+                k -= 1
         elif name == "br":
             parts.append(" ")
         if name not in VOID and not m[0].endswith("/>"):
-            stack.append((name, _words(m[3])))
-            anchors += name == "a"
+            stack.push(name, _words(m[3]))
     close()
     return out
 
@@ -134,20 +179,12 @@ def blocks(html: str) -> list[Block]:
 END = re.compile(r"[.!?:;…][\"'»”)\]]*$")
 
 
-@lru_cache(maxsize=20_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    out = {f"in:{tag}" for tag, _ in path[-12:]} | {f"name:{w}" for _, ws in path[-12:] for w in ws[:12]}
-    if path:
-        out.add(f"parent:{path[-1][0]}")
-    return tuple(sorted(out))
-
-
 def features(page: list[Block]) -> list[list[str]]:
     out, n = [], len(page)
     for k, b in enumerate(page):
         text = b.text
         words, size = text.count(" ") + 1, len(text)
-        f = [*_path_features(b.path), f"words:{min(words.bit_length(), 8)}"]
+        f = [*b.around, f"parent:{b.parent}", f"words:{min(words.bit_length(), 8)}"]
         share = b.linked / size
         f.append("links:" + ("none" if not b.linked else "some" if share < 0.5 else "most"))
         f.append("end:" + ("stop" if END.search(text) else "open"))
@@ -168,6 +205,7 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], bias: float, moves: np.ndarray, start: float):
         self.weights, self.bias, self.start = weights, bias, start
+        self.known = frozenset(weights)
         self.moves = moves.tolist()
 
     def decode(self, page: list[list[str]]) -> list[int]:
@@ -358,7 +396,7 @@ def model(pages: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
 
 
 def extract_text(html: str | None, chain: Chain) -> str:
-    page = blocks(html or "")
+    page = blocks(html or "", chain.known)
     return "\n".join(b.text for b, label in zip(page, chain.decode(features(page)), strict=True) if label)
 
 
