@@ -60,10 +60,12 @@ def shortest_pack_first(counts: dict[int, int], capacity: int, depth: int) -> tu
             while heap and not rooms[-heap[0]]:
                 heapq.heappop(heap)
             room = -heap[0] if heap else 0
-            if room < length:
-                placed.append([length, left, packs, 0])
-                put(capacity - length, packs, left, 1)
-                packs, left = packs + left, 0
+            if room < length:  # a new pack has the most room until no document of this length fits it any more
+                each = min(capacity // length, depth, left)
+                n = left // each
+                placed += [[length, n, packs, k * length] for k in range(each)]
+                put(capacity - each * length, packs, n, each)
+                packs, left = packs + n, left - n * each
                 continue
             first, n, items = rooms[room].pop()
             take = min(n, left)

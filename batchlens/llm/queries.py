@@ -217,7 +217,8 @@ LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id
 @query("op9_quality_rules", QUALITY_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning measures and verdict of every document."""
-    return quality.quality(table(spark, sf_dir, "documents"))
+    out = quality.quality(table(spark, sf_dir, "documents"))
+    return out.select(*[c for c in out.columns if c != "lost_chars"], "lost_chars")
 
 
 @query("op3_secret_scan")

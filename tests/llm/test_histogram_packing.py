@@ -97,7 +97,9 @@ def test_plan_bounds():
         pack, offset, stream = plan.place(np.full(len(ranks), length), ranks)
         assert (offset + length <= 512).all() and (pack >= 0).all() and (stream >= -1).all()
     assert hp.Plan({}, 512).table.shape == (0, 7)
-    assert hp.Plan({1: 5000}, 512, depth=256).free == 0  # 256 is a power of two
+    assert hp.Plan({1: 20 * 256}, 512, depth=256).free == 0  # 256 is a power of two
+    odd = hp.Plan({1: 20 * 256 + 136}, 512, depth=256)  # the last pack is dissolved into powers of two
+    assert odd.space == 0 and odd.tails == [128, 8]
 
 
 def test_piece_encoder_equals_library():
