@@ -42,11 +42,14 @@ def stage_time_chunks(df: DataFrame, ts_col: str, path: str, chunks: int = 4, fi
 def stage_key_chunks(df: DataFrame, key: str, path: str, chunks: int = 4, files_per_chunk: int | None = None) -> int:
     """Split a keyed table into ``chunks`` key ranges (range partitioning,
     checkpointed so the split is fixed), written in order, one job each, as
-    ``files_per_chunk`` files; returns that count (for ``maxFilesPerTrigger``)."""
+    ``files_per_chunk`` files; returns that count (for ``maxFilesPerTrigger``).
+    A chunk is several neighbouring ranges, so no task reads a whole chunk."""
     from batchlens.operators.stats import materialize
 
     fpc = files_per_chunk or df.sparkSession.sparkContext.defaultParallelism
-    ranged = materialize(df.repartitionByRange(chunks, key).withColumn("_chunk", F.spark_partition_id()))
+    per_chunk = max(fpc, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks))
+    chunk = F.floor(F.spark_partition_id() / F.lit(per_chunk)).cast("int")
+    ranged = materialize(df.repartitionByRange(chunks * per_chunk, key).withColumn("_chunk", chunk))
     for i in range(chunks):
         part = ranged.filter(F.col("_chunk") == i).drop("_chunk")
         if part.limit(1).count():
