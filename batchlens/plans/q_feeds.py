@@ -97,6 +97,9 @@ def q_stream_late_rows(spark, sf):
     return read.join(kept, "micro_batch", "left").select("micro_batch", "n_read", F.coalesce("n", F.lit(0)).alias("n_accepted"), "n_dropped")
 
 
+ALERT_COLUMNS = ["Batch_ID", "Total_Energy_kWh", "Quality_Score", "Eco_Efficiency_Score", "Green_Zone"]
+
+
 @query("stream_red_alerts", lambda: f"""WITH {S.structured_ctes()}
 SELECT Batch_ID, 'Alert: Red Zone batch ' || Batch_ID AS Subject,
   'Batch ' || Batch_ID || ' is in Red Zone.' || chr(10) || 'Energy=' || printf('%.2f', {S.rint('Total_Energy_kWh')}) ||
@@ -107,7 +110,8 @@ def q_stream_red_alerts(spark, sf):
     source sends its first chunk again (at least once delivery), and at last a new run without the old state reads everything."""
     base = scratch(spark, "stream-red")
     src, alerts = os.path.join(base, "src"), os.path.join(base, "alerts")
-    f = context.features(spark, sf).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.substring("Batch_ID", 2, 18).cast("long") * 60))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.substring("Batch_ID", 2, 18).cast("long") * 60)
+    f = context.features(spark, sf).select(at.alias("at"), *ALERT_COLUMNS)  # the feed is staged with what an alert says, not the whole table
     bounds = f.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
     if bounds["lo"] is None:
         return C.red_zone_alerts(f, f.select("Batch_ID"))
@@ -117,7 +121,7 @@ def q_stream_red_alerts(spark, sf):
 
     def run(checkpoint):
         stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", files).parquet(src)
-        red = stream.filter(F.col("Green_Zone") == "Red").select("at", "Batch_ID", "Total_Energy_kWh", "Quality_Score", "Eco_Efficiency_Score", "Green_Zone")
+        red = stream.filter(F.col("Green_Zone") == "Red").select("at", *ALERT_COLUMNS)
         feeds.alert_once(red, "Batch_ID", "at", f"{DELAY_MIN} minutes", alerts, os.path.join(base, checkpoint))
         return red.schema
 
