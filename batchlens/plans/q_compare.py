@@ -162,12 +162,18 @@ fp AS (SELECT features.*, {lags} FROM features)
 """ + "\nUNION ALL\n".join(parts)
 
 
+#: Batches that one task sorts for the previous-batch scan.
+RANGE_ROWS = 250_000
+
+
 @query("flex_compare", _flex_sql)
 def q_flex_compare(spark, sf):
     """V5: every batch vs golden, plant average and the previous batch (by id)."""
     f = context.features(spark, sf).select("Batch_ID", *[c for c, _ in C.FLEX_METRICS])
     from batchlens.functions.numeric import exact_avg
 
-    pa = f.agg(*[exact_avg(c).alias(c) for c, _ in C.FLEX_METRICS]).first().asDict()
-    prev = ordered_scan(f, [], ["Batch_ID"], lags={f"prev_{c}": F.col(c) for c, _ in C.FLEX_METRICS}, pos_col="_pos").drop("_pos")
+    pa = f.agg(*[exact_avg(c).alias(c) for c, _ in C.FLEX_METRICS], F.count(F.lit(1)).alias("n")).first().asDict()
+    # ranges of bounded size, however many batches there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pa.pop("n") // RANGE_ROWS))
+    prev = ordered_scan(f, [], ["Batch_ID"], lags={f"prev_{c}": F.col(c) for c, _ in C.FLEX_METRICS}, partitions=parts, pos_col="_pos").drop("_pos")
     return C.flex_compare(f, context.golden_profile(spark, sf), pa, prev)
