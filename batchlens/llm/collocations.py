@@ -25,7 +25,9 @@ from pyspark.sql.window import Window
 from .common import drop_materialized, emit, materialize, mix64, odd_multipliers, word_hashes
 
 #: Bytes of text handled at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Words of a block compared byte by byte at once.
+COMPARED = 20_000
 #: Bits of the table that filters the next length (16 MB), whatever the number of frequent phrases.
 MOST_BITS = 1 << 27
 LONGEST = 3
@@ -60,7 +62,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
     """Prefix sums of values[i] * base^i, with a leading 0."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
+    np.multiply(values, powers(base, len(values))[0][: len(values)], out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -81,9 +84,13 @@ class Block:
         cuts = np.cumsum((kind == BREAK) | first[:-1], dtype=np.int32) if len(b) else np.zeros(0, np.int32)
         self.piece = cuts[s]
         lang = langs[self.doc]
-        total = prefix(b.astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        del kind, first, word, join, inside, cuts
+        digits = b.astype(np.uint64)
+        digits += np.uint64(1)
+        total = prefix(digits, BYTE_BASE)
         size = (e - s).astype(np.uint64)
         h = (total[e] - total[s]) * powers(BYTE_BASE, len(b) + 1)[1][s]
+        del digits, total
         h = mix64(h + size * np.uint64(0x9E3779B97F4A7C15)) + lang_hash[lang]
         if bits < 64:  # only for tests of collisions
             h &= np.uint64((1 << bits) - 1)
@@ -102,11 +109,14 @@ class Block:
         mine = rep[ids]
         odd = ((e - s) != (e - s)[mine]) | (lang != lang[mine])
         size = np.where(odd, 0, e - s)
-        stops = np.cumsum(size)
-        within = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - size, size)
-        differ = b[np.repeat(s, size) + within] != b[np.repeat(s[mine], size) + within]
-        if differ.any():
-            odd |= np.bincount(np.repeat(np.arange(len(s)), size), differ, len(s)) > 0
+        for at in range(0, len(s), COMPARED):
+            part = slice(at, at + COMPARED)
+            n, here, there = size[part], s[part], s[mine[part]]
+            owner = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            differ = b[here[owner] + within] != b[there[owner] + within]
+            if differ.any():
+                odd[part] |= np.bincount(owner, differ, len(n)) > 0
         names: dict[tuple, int] = {}
         for k in np.flatnonzero(odd).tolist():
             name = (int(lang[k]), bytes(b[s[k] : e[k]]))
