@@ -12,7 +12,7 @@ from batchlens.plans import context
 from batchlens.plans import sqlgen as S
 from batchlens.plans.q_io import AS_OF, scratch
 from batchlens.plans.registry import query
-from batchlens.sources import incremental
+from batchlens.sources import incremental, versions
 from batchlens.sources import signature_versions as SV
 from batchlens.sources.tables import process_readings, production_batches
 
@@ -120,19 +120,29 @@ def _incremental_sql() -> str:
     return sql.replace(POWER, changed)
 
 
+def split_readings(readings, path: str) -> list[str]:
+    """Readings dealt by batch number into FILES folders, in one pass by all tasks; the folders."""
+    numbered = readings.withColumn("f", F.substring("Batch_ID", 2, 18).cast("long") % FILES).filter(F.col("f").between(0, FILES - 1))
+    numbered.write.partitionBy("f").parquet(path)
+    folders = [f"{path}/f={k}" for k in range(FILES)]
+    for folder in folders:
+        if not versions.exists(readings.sparkSession, folder):  # no reading fell into it
+            readings.limit(0).write.parquet(folder)
+    return folders
+
+
 @query("store_incremental", _incremental_sql)
 def q_store_incremental(spark, sf):
-    """Features of a store over files, refreshed after one of the eight files of readings has changed (its power doubled): that
-    file is read again, the other per-batch aggregates stay as they are."""
+    """Features of a store over files, refreshed after one of the eight folders of readings has changed (its power doubled): that
+    folder is read again, the other per-batch aggregates stay as they are."""
     base = scratch(spark, "incremental")
     number = F.substring("Batch_ID", 2, 18).cast("long")
     readings = process_readings(spark, sf)
     production_batches(spark, sf).write.parquet(f"{base}/production")
-    for k in range(FILES):
-        readings.filter(number % FILES == k).coalesce(1).write.parquet(f"{base}/process/f{k}")
+    folders = split_readings(readings, f"{base}/process")
     production = incremental.Source([f"{base}/production"], ["*"])
-    process = incremental.Source([f"{base}/process/f{k}" for k in range(FILES)], ["*"])
+    process = incremental.Source(folders, ["*"])
     incremental.refresh(spark, f"{base}/store", production, process, buckets=FILES)
     doubled = readings.filter(number % FILES == CHANGED).withColumn("Power_Consumption_kW", F.col("Power_Consumption_kW") * 2)
-    doubled.coalesce(1).write.mode("overwrite").parquet(f"{base}/process/f{CHANGED}")
+    doubled.write.mode("overwrite").parquet(folders[CHANGED])
     return incremental.refresh(spark, f"{base}/store", production, process).tables["features"]

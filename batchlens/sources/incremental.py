@@ -82,12 +82,22 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64(F.col("Batch_ID").cast("string")), F.lit(buckets)).cast("int")
 
 
+def _spread(spark: SparkSession, buckets: int):
+    """Part of a bucket that one task writes: as many parts a bucket as give every task of a shuffle one."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, buckets))
+    return F.pmod(F.hash("Batch_ID"), F.lit(parts))
+
+
 def _write_raw(spark: SparkSession, root: str, table: str, source: Source, files: Mapping[str, str], buckets: int) -> tuple[str, list[int]]:
     """Store the rows of some input files, one folder a file; the folder written and the buckets with rows."""
     path = f"{root}/raw/{table}/{uuid.uuid4().hex}"
     names = spark.createDataFrame(list(files.items()), "src_path string, src_file string")
-    rows = spark.read.parquet(*files).selectExpr(*source.exprs, "url_decode(replace(parse_url(_metadata.file_path, 'PATH'), '+', '%2B')) AS src_path")
-    rows = rows.join(names, "src_path").withColumn("src_bucket", _bucket(buckets)).drop("src_path")
+    found = spark.read.parquet(*files)
+    # a file's address is decoded once, not with each of its rows
+    uris = found.select(F.col("_metadata.file_path").alias("src_uri")).distinct()
+    names = uris.selectExpr("src_uri", "url_decode(replace(parse_url(src_uri, 'PATH'), '+', '%2B')) AS src_path").join(names, "src_path").drop("src_path")
+    rows = found.selectExpr(*source.exprs, "_metadata.file_path AS src_uri").join(F.broadcast(names), "src_uri")
+    rows = rows.withColumn("src_bucket", _bucket(buckets)).drop("src_uri")
     rows.repartition("src_file", "src_bucket").write.partitionBy("src_file", "src_bucket").parquet(path)
     return path, _buckets(spark.read.schema(rows.schema).parquet(path))
 
@@ -154,7 +164,7 @@ def refresh(spark: SparkSession, root: str, production: Source, process: Source,
         path = f"{root}/agg/{uuid.uuid4().hex}"
         if rows is not None:
             made = process_agg(rows.filter(F.col("src_bucket").isin(*sorted(touched))).drop("src_file", "src_bucket")).withColumn("src_bucket", _bucket(buckets))
-            made.repartition("src_bucket").write.partitionBy("src_bucket").parquet(path)
+            made.repartition("src_bucket", _spread(spark, len(touched))).write.partitionBy("src_bucket").parquet(path)
             agg |= dict.fromkeys(_buckets(spark.read.schema(made.schema).parquet(path)), path)
     shapes["process_agg"] = process_agg(spark.createDataFrame([], shapes[RAW[1]])).schema
     manifest = {"tree": now, "buckets": buckets, "raw": raw, "agg": {str(b): p for b, p in agg.items()}, "schemas": {t: x.json() for t, x in shapes.items()}}
