@@ -68,9 +68,9 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
 
 
 class Block:
-    """Words of a run of documents: ids exact within the block (per language), hashes and places."""
+    """Words of a run of documents: hashes and places and, if ``grouped``, ids exact within the block (per language)."""
 
-    def __init__(self, data: np.ndarray, doc_starts: np.ndarray, langs: np.ndarray, lang_hash: np.ndarray, bits: int):
+    def __init__(self, data: np.ndarray, doc_starts: np.ndarray, langs: np.ndarray, lang_hash: np.ndarray, bits: int, grouped: bool = True):
         self.bytes = b = LOWER[data]
         kind = KIND[b]
         first = np.zeros(len(b) + 1, bool)
@@ -94,14 +94,21 @@ class Block:
         h = mix64(h + size * np.uint64(0x9E3779B97F4A7C15)) + lang_hash[lang]
         if bits < 64:  # only for tests of collisions
             h &= np.uint64((1 << bits) - 1)
-        found, rep, ids = np.unique(h, return_index=True, return_inverse=True)
+        self.hash = h
+        if grouped:
+            self._group(lang, lang_hash)
+
+    def _group(self, lang: np.ndarray, lang_hash: np.ndarray) -> None:
+        """Ids of the words, and the first place, hash and check of each id."""
+        s, e, h = self.start, self.end, self.hash
+        _, rep, ids = np.unique(h, return_index=True, return_inverse=True)
         rep = rep.tolist()
         self._exact(ids, np.array(rep, np.int64), lang, rep)
         at = np.array(rep, np.int64)
         self.ids, self.n_ids, self.first = ids, len(rep), at
         self.word_hash = h[at]
-        self.word_check = mix64(word_hashes([bytes(b[i:j]) for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]) + lang_hash[lang[at]])
-        self.hash = h
+        raw = self.bytes.tobytes()  # cutting bytes is far cheaper than cutting an array for every word
+        self.word_check = mix64(word_hashes([raw[i:j] for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]) + lang_hash[lang[at]])
 
     def _exact(self, ids: np.ndarray, rep: np.ndarray, lang: np.ndarray, reps: list[int]) -> None:
         """Words that differ from the first word of their hash get ids of their own."""
@@ -140,7 +147,7 @@ class Block:
         return b" ".join(bytes(self.bytes[self.start[k] : self.end[k]]) for k in range(at, at + n)).decode("utf-8", "replace")
 
 
-def blocks(batch: pa.RecordBatch, bits: int = 64, size: int = BLOCK):
+def blocks(batch: pa.RecordBatch, bits: int = 64, size: int = BLOCK, grouped: bool = True):
     """(block, row of each document, language of each document) over the texts of a batch (row, lang, text)."""
     texts = batch.column(2)
     if not len(texts):
@@ -166,7 +173,7 @@ def blocks(batch: pa.RecordBatch, bits: int = 64, size: int = BLOCK):
         doc = int(np.searchsorted(offsets, at, "right")) - 1
         inside = np.maximum(offsets[doc : int(np.searchsorted(offsets, end, "left"))], at)
         keep = np.arange(doc, doc + len(inside))
-        yield Block(data[at:end], inside - at, codes[keep], lang_hash, bits), rows[keep], [langs[c] for c in codes[keep]]
+        yield Block(data[at:end], inside - at, codes[keep], lang_hash, bits, grouped), rows[keep], [langs[c] for c in codes[keep]]
         at = end
 
 
@@ -276,7 +283,7 @@ def locate(base: DataFrame, pointers: DataFrame, bits: int, size: int) -> DataFr
                 batch = whole.slice(at, 1000)
                 lists = [batch.column(2 + n) for n in range(1, LONGEST + 1)]
                 place = {int(r): k for k, r in enumerate(batch.column(0).to_numpy())}
-                for block, rows, langs in blocks(batch, bits, size):
+                for block, rows, langs in blocks(batch, bits, size, grouped=False):
                     spots = np.array([place[int(r)] for r in rows], np.int64)
                     out = []
                     for n, names in enumerate(lists, 1):
@@ -305,7 +312,7 @@ def recount(base: DataFrame, bad: DataFrame, bits: int, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, _, langs in blocks(batch, bits, size):
+            for block, _, langs in blocks(batch, bits, size, grouped=False):
                 out = [x for n, t in tables.items() for x in _texts(block, langs, n, bits, lambda doc, h, t=t: _in(t.value, h))]
                 if out:
                     yield emit(LOCATED, list(zip(*out, strict=True)))
