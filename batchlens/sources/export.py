@@ -21,8 +21,9 @@ def sanitize(df: DataFrame) -> DataFrame:
     return df.withColumns({c: safe_cell(F.col(c)) for c, t in df.dtypes if t == "string"})
 
 
-# Empty strings are written quoted ("") and NULLs as \N, so both survive a round trip.
-WRITE_OPTIONS = {"header": "true", "nullValue": "\\N", "escape": '"', "quote": '"'}
+# Empty strings are written quoted ("") and NULLs as \N, so both survive a round trip. A report repeats its texts for
+# every batch; compressed, the files are a small part of that.
+WRITE_OPTIONS = {"header": "true", "nullValue": "\\N", "escape": '"', "quote": '"', "compression": "gzip"}
 READ_OPTIONS = {"header": "true", "nullValue": "\\N", "emptyValue": "", "escape": '"', "quote": '"'}
 
 
