@@ -51,8 +51,9 @@ class Ensemble:
         return reach[self.roots].sum(axis=0)
 
 
-def flatten(spark: SparkSession, models: Mapping[str, GBTRegressionModel], weights: Mapping[str, float]) -> Ensemble:
-    """The weighted sum of some models as one ensemble, read from their saved nodes (bounded by the models' size)."""
+def flatten(spark: SparkSession, models: Mapping[str, GBTRegressionModel], weights: Mapping[str, float], sur: Surrogates | None = None) -> Ensemble:
+    """The weighted sum of some models as one ensemble, read from their saved nodes (bounded by the models' size). ``sur``: the
+    models' bins, if they read bin numbers; the ensemble reads values."""
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
     for target, model in models.items():
         if not weights.get(target):
@@ -71,7 +72,8 @@ def flatten(spark: SparkSession, models: Mapping[str, GBTRegressionModel], weigh
                 r = nodes[n]
                 inner = r["leftChild"] >= 0
                 feature.append(r["split"]["featureIndex"] if inner else -1)
-                threshold.append(r["split"]["leftCategoriesOrThreshold"][0] if inner else 0.0)
+                at = r["split"]["leftCategoriesOrThreshold"][0] if inner else 0.0
+                threshold.append(sur.threshold(r["split"]["featureIndex"], at) if inner and sur else at)
                 left.append(place[r["leftChild"]] if inner else -1)
                 right.append(place[r["rightChild"]] if inner else -1)
                 value.append(r["prediction"] * weight * weights[target])
@@ -175,7 +177,7 @@ def bounded_optimum(profiles: DataFrame, sur: Surrogates, spread: float = 0.10,
     """L3: for the golden profile of every scenario the controls within +-``spread`` with the best predicted composite: scenario,
     golden_batch, predicted composite at the profile and at the optimum, its bound, certified, and the controls."""
     spark = profiles.sparkSession
-    ensemble = flatten(spark, sur.models, composite_weights(sur.models, factor))
+    ensemble = flatten(spark, sur.models, composite_weights(sur.models, factor), sur)
     base = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in sur.inputs]
     ends = [(F.least(b * (1 - spread), b * (1 + spread)), F.greatest(b * (1 - spread), b * (1 + spread))) for b in base]
     boxes = stored(profiles.select(F.col("scenario").alias("key"), F.col("Batch_ID").alias("golden_batch"), F.array(*base).alias("base"),
