@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from batchlens.constants import DEFAULT_SCENARIOS, PRIMARY_OBJECTIVES
 from batchlens.functions.numeric import to_double
 from batchlens.functions.zones import zone_candidate, zone_feature
-from batchlens.operators import analytics, features, golden, pareto, ranking, sessions, stats
+from batchlens.operators import analytics, candidates, features, golden, pareto, ranking, sessions, stats
 from batchlens.sources import export
 
 
@@ -232,3 +232,21 @@ def test_decimate_and_stride_thin_long_batches(spark):
     # 2007 rows > 100 -> per batch 100 // 2 = 50 rows: k = n // 50
     st = {(r.Batch_ID, r.t) for r in sampling.stride_sample(df, 100, "Batch_ID", ["t"]).collect()}
     assert st == {("LONG", float(i)) for i in range(0, 2000, 40)} | {("SHORT", float(i)) for i in range(7)}
+
+
+def test_baseline_performance_comes_from_its_parts_when_entirely_missing(spark):
+    rows = [("a", 80.0, 90.0, 60.0, None), ("b", None, 100.0, 40.0, None)]
+    df = spark.createDataFrame(rows, "Batch_ID string, Quality_Score double, Yield_Percent double, Process_Health_Score double, Performance_Score string")
+    want = {"a": 0.4 * 80 + 0.35 * 90 + 0.25 * 60, "b": 0.4 * 86 + 0.35 * 100 + 0.25 * 40}
+    for table in (df, df.drop("Performance_Score"), df.withColumn("Performance_Score", F.lit("n/a"))):
+        assert {r.Batch_ID: r.Performance_Score for r in candidates.baseline_fill(table).collect()} == pytest.approx(want)
+    one = df.withColumn("Performance_Score", F.when(F.col("Batch_ID") == "a", F.lit("70.5")))
+    assert {r.Batch_ID: r.Performance_Score for r in candidates.baseline_fill(one).collect()} == {"a": 70.5, "b": 85.0}
+
+
+def test_baseline_rows_without_ids_are_numbered(spark):
+    df = spark.createDataFrame([(30.0,), (None,), (10.0,), (20.0,), (20.0,)], "Yield_Percent double").repartition(3)
+    got = sorted((r.Batch_ID, r.Yield_Percent) for r in candidates.baseline_fill(df).collect())
+    assert got == [("BATCH_0001", 90.0), ("BATCH_0002", 10.0), ("BATCH_0003", 20.0), ("BATCH_0004", 20.0), ("BATCH_0005", 30.0)]
+    back = candidates.baseline_fill(df.withColumn("nth", -F.coalesce("Yield_Percent", F.lit(0.0))), order=["nth"]).collect()
+    assert {r.Yield_Percent: r.Batch_ID for r in back}[30.0] == "BATCH_0001"
